@@ -55,19 +55,23 @@ def health_score(probability: Column, engagement: Column, highest: Column, nps:
     return (calm + engaged + promoter) * F.lit(100.0)
 
 
+def highest_engagement(batch: DataFrame) -> Column:
+    """The best ``email_engagement`` of a whole batch.
+
+    An uncorrelated scalar subquery: Spark runs one pruned aggregate and puts
+    its value into the generated code, with no join.
+    """
+    return batch.agg(F.max(F.nanvl("email_engagement", F.lit(None)))).scalar()
+
+
 def with_health_score(
     df: DataFrame, probability: str = "churn_probability", reference_max: float | None = None
 ) -> DataFrame:
     """Add ``customer_health_score``; ``df`` needs ``email_engagement`` and ``nps_score``.
 
-    The best engagement is taken over the whole batch: an uncorrelated scalar
-    subquery, so Spark runs one pruned aggregate and puts its value into the
-    generated code, with no join. ``reference_max`` gives a fixed value
-    instead, which makes a customer's score independent of the batch.
+    ``reference_max`` takes the place of the batch's best engagement and makes
+    a customer's score independent of the rest of the batch.
     """
-    if reference_max is None:
-        highest = df.agg(F.max(F.nanvl("email_engagement", F.lit(None)))).scalar()
-    else:
-        highest = F.lit(float(reference_max))
+    highest = highest_engagement(df) if reference_max is None else F.lit(float(reference_max))
     score = health_score(F.col(probability), F.col("email_engagement"), highest, F.col("nps_score"))
     return df.withColumn("customer_health_score", score)
