@@ -2,8 +2,9 @@
 
 Up to ``max_in_memory`` distinct labels are held by the driver and applied by
 Spark ML's indexer inside the scan's stage. A column with more is ranked by a
-distributed sort, kept as a table and applied by a salted join, so neither
-path needs the labels of a large column in one place.
+distributed sort, kept as a table and applied by a join that keeps frequent
+labels out of the way, so neither path needs the labels of a large column, or
+the rows of a frequent label, in one place.
 """
 
 from __future__ import annotations
@@ -19,27 +20,28 @@ from custspark.schema import CATEGORICALS
 from custspark.session import materialise
 
 MAX_IN_MEMORY = 100_000
-SALTS = 32
+HOT_SHARE = 1000
+SALTS = 1024
 UNSEEN = -1
 MAX_CLASSES = 100  # the forest's own bound on classes
 LABEL_SCHEMA = "column string, label string, idx bigint"
 
 
-def distinct_labels(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, label) pairs of all columns in one pass; repeats collapse before the shuffle."""
+def label_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, label, n) of all columns in one pass; repeats collapse before the shuffle."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), category(c).alias("label")) for c in columns])
-    return df.select(F.inline(pairs)).distinct()
+    return df.select(F.inline(pairs)).groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rank_labels(labels: DataFrame) -> DataFrame:
-    """(label, idx) for distinct ``label``s: the rank in sort order, without one task seeing all.
+    """Add ``idx`` to distinct ``label``s: the rank in sort order, without one task seeing all.
 
     Labels are range-partitioned; a label's rank is its place in its partition
     plus the sizes of the partitions before. The partitions are written first,
     because their sampled bounds may differ in another run of the same plan.
     """
     placed = materialise(
-        labels.select("label").repartitionByRange("label").withColumn("part", F.spark_partition_id()), "label-ranges"
+        labels.repartitionByRange("label").withColumn("part", F.spark_partition_id()), "label-ranges"
     )
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition, so both the window and the broadcast have at most as many rows as partitions.
@@ -52,13 +54,18 @@ def rank_labels(labels: DataFrame) -> DataFrame:
     return (
         placed.withColumn("inside", inside)
         .join(F.broadcast(offsets), "part")
-        .select("label", (F.col("offset") + F.col("inside") - 1).alias("idx"))
+        .withColumn("idx", F.col("offset") + F.col("inside") - 1)
+        .drop("part", "inside", "offset")
     )
 
 
 @dataclass(frozen=True)
 class CategoryEncoding:
-    """Fitted encoding; every fit makes a new one."""
+    """Fitted encoding; every fit makes a new one.
+
+    ``labels`` holds the sorted labels of small columns. ``tables`` holds
+    (label, idx, is_hot) for large ones.
+    """
 
     labels: dict[str, list[str]]
     tables: dict[str, DataFrame] = field(default_factory=dict)
@@ -91,17 +98,24 @@ class CategoryEncoding:
 
     @staticmethod
     def _join(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
-        """Each label is repeated once per salt, so a frequent one is spread over that many tasks."""
-        salted = table.select(
-            F.col("label").alias("_label"),
-            F.col("idx").alias("_idx"),
-            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_label_salt"),
+        """Frequent labels by a broadcast of fewer than ``HOT_SHARE`` rows, the others by a shuffle.
+
+        A row with a frequent label has its index before the shuffle; its salt,
+        which matches nothing, only spreads it over the tasks.
+        """
+        hot = table.filter("is_hot").select(F.col("label").alias("_hot_label"), F.col("idx").alias("_hot_idx"))
+        cold = table.filter("not is_hot").select(
+            F.col("label").alias("_label"), F.col("idx").alias("_idx"), F.lit(0).alias("_label_salt")
         )
-        rows = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-        joined = rows.join(salted, (category(column) == F.col("_label")) & (F.col("_salt") == F.col("_label_salt")), "left")
-        return joined.withColumn(f"{column}_encoded", F.coalesce("_idx", F.lit(UNSEEN).cast("bigint"))).drop(
-            "_label", "_idx", "_label_salt", "_salt"
+        salt = (F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)) + 1).cast("int")
+        rows = (
+            df.withColumn("_text", category(column))
+            .join(F.broadcast(hot), F.col("_text") == F.col("_hot_label"), "left")
+            .withColumn("_salt", F.when(F.col("_hot_idx").isNotNull(), salt).otherwise(F.lit(0)))
         )
+        joined = rows.join(cold, (F.col("_text") == F.col("_label")) & (F.col("_salt") == F.col("_label_salt")), "left")
+        index = F.coalesce("_hot_idx", "_idx", F.lit(UNSEEN).cast("bigint"))
+        return joined.withColumn(f"{column}_encoded", index).select(*df.columns, f"{column}_encoded")
 
     def save(self, path: str, spark: SparkSession) -> None:
         rows = [(c, label, i) for c, labels in self.labels.items() for i, label in enumerate(labels)]
@@ -126,40 +140,52 @@ def fit_encoding(
 ) -> CategoryEncoding:
     """Fit all columns at once; ``max_in_memory`` bounds the labels of all columns the driver may hold."""
     columns = CATEGORICALS if columns is None else columns
-    pairs = distinct_labels(df, columns)
+    counts = label_counts(df, columns)
     # At most one row beyond the bound reaches the driver.
-    found = pairs.limit(max_in_memory + 1).collect()
+    found = counts.select("column", "label").limit(max_in_memory + 1).collect()
     if len(found) <= max_in_memory:
-        return CategoryEncoding(_sorted_labels([tuple(row) for row in found], columns))
-    pairs = materialise(pairs, "labels")
-    sizes = {row["column"]: row["n"] for row in pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    large = [c for c in columns if sizes.get(c, 0) > max_in_memory // len(columns)]
-    small = pairs.filter(~F.col("column").isin(large)).collect()
-    tables = {
-        c: materialise(rank_labels(pairs.filter(F.col("column") == c)), "label-ranks") for c in large
+        return CategoryEncoding(_sorted_labels(found, columns))
+    counts = materialise(counts, "labels")
+    sizes = {
+        row["column"]: row
+        for row in counts.groupBy("column").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("rows")).collect()
     }
-    return CategoryEncoding(
-        _sorted_labels([tuple(row) for row in small], [c for c in columns if c not in large]), tables
-    )
+    large = [c for c in columns if c in sizes and sizes[c]["labels"] > max_in_memory // len(columns)]
+    small = counts.filter(~F.col("column").isin(large)).select("column", "label").collect()
+    tables = {}
+    for c in large:
+        ranked = rank_labels(counts.filter(F.col("column") == c).select("label", "n"))
+        is_hot = F.col("n") * HOT_SHARE > sizes[c]["rows"]
+        tables[c] = materialise(ranked.select("label", "idx", is_hot.alias("is_hot")), "label-ranks")
+    return CategoryEncoding(_sorted_labels(small, [c for c in columns if c not in large]), tables)
 
 
-def _sorted_labels(pairs: list[tuple[str, str]], columns: list[str]) -> dict[str, list[str]]:
+def _sorted_labels(pairs: list, columns: list[str]) -> dict[str, list[str]]:
     return {c: sorted(label for column, label in pairs if column == c) for c in columns}
 
 
 def fit_segment_labels(df: DataFrame, column: str = "segment") -> list[str]:
-    """The sorted class labels; a missing label or more classes than a forest takes is an error."""
-    rows = df.select(column).distinct().limit(MAX_CLASSES + 1).collect()
-    labels = [row[0] for row in rows]
-    if None in labels:
-        raise ValueError(f"{column} is missing in some rows")
-    if len(labels) > MAX_CLASSES:
+    """The sorted class labels; more classes than a forest takes are an error."""
+    fitted = fit_encoding(df.filter(F.col(column).isNotNull()), [column])
+    return _class_labels(fitted, column)
+
+
+def fit_encoding_and_segments(df: DataFrame, column: str = "segment") -> tuple[CategoryEncoding, list[str]]:
+    """Categories and class labels in one pass over the data."""
+    fitted = fit_encoding(df, [*CATEGORICALS, column])
+    labels = {c: values for c, values in fitted.labels.items() if c != column}
+    return CategoryEncoding(labels, {c: t for c, t in fitted.tables.items() if c != column}), _class_labels(fitted, column)
+
+
+def _class_labels(fitted: CategoryEncoding, column: str) -> list[str]:
+    labels = fitted.labels.get(column)
+    if labels is None or len(labels) > MAX_CLASSES:
         raise ValueError(f"{column} has more than {MAX_CLASSES} different values")
-    return sorted(labels)
+    return labels
 
 
 def encode_segment(df: DataFrame, labels: list[str], column: str = "segment") -> DataFrame:
-    """Add ``segment_label``; an unknown segment stops the job."""
+    """Add ``segment_label``; a missing or unknown segment stops the job."""
     model = StringIndexerModel.from_labels(
         labels, inputCol=column, outputCol="segment_label", handleInvalid="error"
     )

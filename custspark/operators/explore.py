@@ -79,30 +79,32 @@ def histogram(df: DataFrame, column: str, max_bins: int = 50, round_width: bool
     """Counts of ``column`` in bins of one width; empty bins are left out.
 
     By default ``max_bins`` equal bins between the least and the greatest value,
-    the last one closed. With ``round_width`` the bins have a round width and
-    start at a multiple of it, as charts draw them, and ``max_bins`` bounds
-    their number up to the one that is cut at an end. The bounds are one scalar subquery, so the
-    data is read twice and only bin counts are shuffled.
+    the last one closed. With ``round_width`` the bins have a round width of at
+    least a ``max_bins``-th of the range and start at a multiple of it, as
+    charts draw them. The place of the bins is one scalar subquery, so the data
+    is read twice and only bin counts are shuffled.
     """
     values = df.select(F.col(column).cast("double").alias("value")).filter(
         F.col("value").isNotNull() & ~F.isnan("value")
     )
-    bounds = values.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high"))).scalar()
-    low, high = bounds.getField("low"), bounds.getField("high")
-    rough = (high - low) / F.lit(float(max_bins))
-    flat = high == low
-    if round_width:
-        width = F.when(flat, F.lit(1.0)).otherwise(_round_width(rough))
-        start = F.floor(low / width) * width
-        bin_no = F.floor((F.col("value") - start) / width)
-    else:
-        width = F.when(flat, F.lit(1.0)).otherwise(rough)
-        start = low
-        bin_no = F.least(F.floor((F.col("value") - start) / width), F.lit(max_bins - 1))
-    counts = values.groupBy(bin_no.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n_customers"))
-    return counts.select(
-        "bin",
-        (start + F.col("bin") * width).alias("bin_start"),
-        (start + (F.col("bin") + 1) * width).alias("bin_end"),
-        "n_customers",
-    ).orderBy("bin")
+    spread = values.agg(F.min("value").alias("low"), F.max("value").alias("high")).withColumn(
+        "rough", F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / float(max_bins))
+    )
+    width = F.coalesce(_round_width(F.col("rough")) if round_width else F.col("rough"), F.lit(1.0))
+    start = F.floor(F.col("low") / F.col("width")) * F.col("width") if round_width else F.col("low")
+    place = spread.withColumn("width", width).select(F.struct(start.alias("start"), "width")).scalar()
+    placed = values.withColumn("place", place)
+    bin_no = F.floor((F.col("value") - F.col("place.start")) / F.col("place.width"))
+    if not round_width:
+        bin_no = F.least(bin_no, F.lit(max_bins - 1))
+    counts = placed.groupBy(bin_no.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n_customers"))
+    return (
+        counts.withColumn("place", place)
+        .select(
+            "bin",
+            (F.col("place.start") + F.col("bin") * F.col("place.width")).alias("bin_start"),
+            (F.col("place.start") + (F.col("bin") + 1) * F.col("place.width")).alias("bin_end"),
+            "n_customers",
+        )
+        .orderBy("bin")
+    )

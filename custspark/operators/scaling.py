@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,17 @@ def fit_standardizer(df: DataFrame, columns: list[str]) -> Standardizer:
         {c: stats[f"mean_{i}"] if stats[f"mean_{i}"] is not None else 0.0 for i, c in enumerate(columns)},
         {c: stats[f"dev_{i}"] or 1.0 for i, c in enumerate(columns)},
     )
+
+
+def fit_vector_standardizer(df: DataFrame, source: str, columns: list[str]) -> Standardizer:
+    """The same from a vector column whose entries are ``columns``, without unpacking the vectors."""
+    stats = df.select(
+        Summarizer.metrics("mean", "variance", "count").summary(F.col(source)).alias("s")
+    ).select("s.mean", "s.variance", "s.count").first()
+    n = stats["count"]
+    share = (n - 1) / n if n > 1 else 0.0  # from the sample to the population variance
+    deviations = [(v * share) ** 0.5 for v in stats["variance"]]
+    return Standardizer(
+        dict(zip(columns, map(float, stats["mean"]), strict=True)),
+        {c: float(d) or 1.0 for c, d in zip(columns, deviations, strict=True)},
+    )

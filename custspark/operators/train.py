@@ -9,16 +9,15 @@ from dataclasses import asdict, dataclass
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custspark.functions.churn import churn_label
-from custspark.operators.encoding import CategoryEncoding, encode_segment, fit_encoding, fit_segment_labels
+from custspark.operators.encoding import CategoryEncoding, encode_segment, fit_encoding_and_segments
 from custspark.operators.evaluate import accuracy, as_rows, mean_absolute_error, r2
 from custspark.operators.features import assemble, with_features
-from custspark.operators.scaling import Standardizer, fit_standardizer
+from custspark.operators.scaling import Standardizer, fit_vector_standardizer
 from custspark.operators.split import SEED, is_train
 from custspark.schema import FEATURES, KEY
 from custspark.session import materialise
@@ -157,20 +156,18 @@ def train(
 ) -> tuple[CustomerModels, DataFrame]:
     """Fit the four models on 80 % of the customers and evaluate them on the rest.
 
-    ``df`` is read three times (labels, segments, training table), so it should
-    be a table and not a long plan. Gives the models and a (model, metric,
+    ``df`` is read twice (labels, training table), so it should be a table and
+    not a long plan. Gives the models and a (model, metric,
     value) DataFrame. The fits are independent and each leaves executors idle
     between its stages, so ``parallel_fits`` of them run at a time.
     """
     spark = df.sparkSession
-    encoding = fit_encoding(df)
-    segment_labels = fit_segment_labels(df)
+    encoding, segment_labels = fit_encoding_and_segments(df)
     table = prepare(df, encoding, segment_labels, handle_invalid)
     _check_labels(table)
 
     training = table.filter("is_train")
-    entries = vector_to_array("features")
-    scaler = fit_standardizer(training.select(*[entries[i].alias(c) for i, c in enumerate(FEATURES)]), FEATURES)
+    scaler = fit_vector_standardizer(training, "features", FEATURES)
     left_out = FREQUENCY_TARGET_FEATURES if exclude_target_features else []
     frequency_features = [c for c in FEATURES if c not in left_out]
     rows = with_model_vectors(training, scaler, frequency_features)

@@ -36,9 +36,8 @@ FROM_ORDERS = {
     "churn_probability",
 }
 FROM_LINES = {"customer_lifetime_value", "returns_count", "favorite_category"}
-FROM_EVENTS = {
-    "session_count",
-    "avg_session_duration",
+FROM_SESSIONS = {"session_count", "avg_session_duration"}
+FROM_EVENTS = FROM_SESSIONS | {
     "cart_abandonment_rate",
     "email_open_rate",
     "click_through_rate",
@@ -104,8 +103,8 @@ def _epoch_second(ts: Column) -> Column:
     return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
-def _event_facts(events: DataFrame) -> DataFrame:
-    """Event counts and sessions per user, without sorting a user's events.
+def _event_facts(events: DataFrame, sessions: bool) -> DataFrame:
+    """Event counts and, if asked for, sessions per user, without sorting a user's events.
 
     Events are grouped into time slots as long as the session gap. Inside a
     slot no pause can exceed the gap, so a slot is part of one session and its
@@ -114,33 +113,37 @@ def _event_facts(events: DataFrame) -> DataFrame:
     shorter one adds to the time spent. The only ordered step runs over slots,
     and a user has at most four a day however many events there are.
     """
-    second = _epoch_second(F.col("ts"))
     kind = F.col("event_type")
+    counts = {
+        "n_errors": F.count_if(kind == "error"),
+        "n_clicks": F.count_if(kind == "click"),
+        "n_purchases": F.count_if(kind == "purchase"),
+        "n_views": F.count_if(kind == "view"),
+        "n_events": F.count(F.lit(1)),
+    }
+    rows = events.select(F.col("user_id").alias("e_ck"), "event_type", _epoch_second(F.col("ts")).alias("second"))
+    if not sessions:
+        return rows.groupBy("e_ck").agg(*[count.alias(name) for name, count in counts.items()])
     slots = (
-        events.select(F.col("user_id").alias("e_ck"), "event_type", second.alias("second"))
-        .withColumn("slot", F.floor(F.col("second") / SESSION_GAP_SECONDS))
+        rows.withColumn("slot", F.floor(F.col("second") / SESSION_GAP_SECONDS))
         .groupBy("e_ck", "slot")
         .agg(
             F.min("second").alias("first"),
             F.max("second").alias("last"),
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(kind == "error").alias("errors"),
-            F.count_if(kind == "click").alias("clicks"),
-            F.count_if(kind == "purchase").alias("purchases"),
-            F.count_if(kind == "view").alias("views"),
+            *[count.alias(name) for name, count in counts.items()],
         )
     )
     before = F.lag("last").over(Window.partitionBy("e_ck").orderBy("slot"))
     pause = F.col("first") - F.col("before")
-    inside = F.when(pause <= SESSION_GAP_SECONDS, pause).otherwise(0)
     return (
         slots.withColumn("before", before)
         .groupBy("e_ck")
         .agg(
             F.count_if(F.col("before").isNull() | (pause > SESSION_GAP_SECONDS)).alias("n_sessions"),
-            F.sum(F.col("last") - F.col("first") + inside).alias("session_seconds"),
-            *[F.sum(c).alias(f"n_{c}") for c in ("errors", "clicks", "purchases", "views")],
-            F.sum("n").alias("n_events"),
+            F.sum(
+                F.col("last") - F.col("first") + F.when(pause <= SESSION_GAP_SECONDS, pause).otherwise(0)
+            ).alias("session_seconds"),
+            *[F.sum(name).alias(name) for name in counts],
         )
     )
 
@@ -203,6 +206,7 @@ def customers(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None =
         facts = _line_facts(_table(spark, sf_dir, "lineitem"), orders, part)
         out = out.join(facts, F.col("c_custkey") == F.col("l_ck"), "left")
     if wanted & FROM_EVENTS:
-        out = out.join(_event_facts(_table(spark, sf_dir, "events")), F.col("c_custkey") == F.col("e_ck"), "left")
+        facts = _event_facts(_table(spark, sf_dir, "events"), bool(wanted & FROM_SESSIONS))
+        out = out.join(facts, F.col("c_custkey") == F.col("e_ck"), "left")
     definitions = _definitions()
     return out.select(*[definitions[c].alias(c) for c in names])

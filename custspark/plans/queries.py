@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custspark.functions.churn import churn_label, retention_priority, with_health_score
-from custspark.functions.scores import with_engagement, with_rfm_scores
+from custspark.functions.scores import email_engagement, with_engagement, with_rfm_scores
 from custspark.operators import encoding, evaluate, explore, quality, scaling
 from custspark.operators.features import assemble, project_features, with_features
 from custspark.operators.score import score
@@ -103,8 +103,9 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = [KEY, "churn_probability", "nps_score", *ENGAGEMENT_INPUTS]
-    rows = with_health_score(with_engagement(customers(spark, sf_dir, columns)))
+    columns = [KEY, "churn_probability", "nps_score", "email_open_rate", "click_through_rate"]
+    mail = email_engagement(F.col("email_open_rate"), F.col("click_through_rate"))
+    rows = with_health_score(customers(spark, sf_dir, columns).withColumn("email_engagement", mail))
     return _rounded(rows.select(KEY, "customer_health_score"), 6, "customer_health_score")
 
 
