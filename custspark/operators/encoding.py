@@ -101,13 +101,15 @@ class CategoryEncoding:
         """Frequent labels by a broadcast of fewer than ``HOT_SHARE`` rows, the others by a shuffle.
 
         A row with a frequent label has its index before the shuffle; its salt,
-        which matches nothing, only spreads it over the tasks.
+        which matches nothing, only spreads it over the tasks. The input
+        partition is part of the salt, so that copies are spread as well; it is
+        the same when a task runs again.
         """
         hot = table.filter("is_hot").select(F.col("label").alias("_hot_label"), F.col("idx").alias("_hot_idx"))
         cold = table.filter("not is_hot").select(
             F.col("label").alias("_label"), F.col("idx").alias("_idx"), F.lit(0).alias("_label_salt")
         )
-        salt = (F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)) + 1).cast("int")
+        salt = (F.pmod(F.xxhash64(F.spark_partition_id(), *df.columns), F.lit(SALTS)) + 1).cast("int")
         rows = (
             df.withColumn("_text", category(column))
             .join(F.broadcast(hot), F.col("_text") == F.col("_hot_label"), "left")

@@ -38,6 +38,7 @@ class ForestParams:
     feature_subset: str = "auto"
     max_bins: int = 32
     max_memory_mb: int = 256
+    cache_node_ids: bool = False  # quicker for deep trees, for 4 bytes per row and tree of cache
 
     def as_arguments(self) -> dict:
         return {
@@ -47,6 +48,7 @@ class ForestParams:
             "featureSubsetStrategy": self.feature_subset,
             "maxBins": self.max_bins,
             "maxMemoryInMB": self.max_memory_mb,
+            "cacheNodeIds": self.cache_node_ids,
         }
 
 
@@ -119,15 +121,15 @@ def with_model_vectors(df: DataFrame, scaler: Standardizer, frequency_features:
 def prepare(df: DataFrame, encoding: CategoryEncoding, segment_labels: list[str], handle_invalid: str) -> DataFrame:
     """The training table: key, vector, the four labels and the side of the split, written once.
 
-    Rows are placed by key and sorted, so a fit with the same seed and number
-    of partitions draws the same samples; the split is a folder level, so a fit
-    reads the training rows only.
+    Rows are dealt out evenly, whatever keys or copies they hold, and sorted, so
+    the fits' tasks are of one size and another run on the same files draws the
+    same samples. The split is a folder level: a fit reads training rows only.
     """
     rows = with_features(df, encoding)
     rows = encode_segment(rows, segment_labels).withColumn("churn_label", churn_label(F.col("churn_probability")))
     rows = assemble(rows, handle_invalid=handle_invalid).withColumn("is_train", is_train())
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.select(KEY, "features", *LABELS, "is_train").repartition(partitions, KEY)
+    placed = rows.select(KEY, "features", *LABELS, "is_train").repartition(partitions)
     return materialise(placed.sortWithinPartitions("is_train", KEY), "training", partition_by="is_train")
 
 
