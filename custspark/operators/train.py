@@ -25,6 +25,12 @@ from custspark.session import materialise
 # Features that give the purchase frequency away when it is the label.
 FREQUENCY_TARGET_FEATURES = ["purchase_frequency", "frequency_score"]
 
+# Bounds on the rows of one training task. Every task of a forest's fit sends the
+# statistics of all open nodes, so there should be no more tasks than it takes to
+# use all cores or to keep a task's rows in memory.
+MIN_ROWS_PER_TASK = 1_000
+MAX_ROWS_PER_TASK = 1_000_000
+
 LABELS = ["churn_label", "customer_lifetime_value", "purchase_frequency", "segment_label"]
 
 
@@ -118,7 +124,14 @@ def with_model_vectors(df: DataFrame, scaler: Standardizer, frequency_features:
     return slicer.transform(scaler.transform_vector(df, "features", "scaled_features"))
 
 
-def prepare(df: DataFrame, encoding: CategoryEncoding, segment_labels: list[str], handle_invalid: str) -> DataFrame:
+def task_count(rows: int, cores: int) -> int:
+    """How many tasks the fits should have for ``rows`` customers."""
+    return max(1, min(cores, rows // MIN_ROWS_PER_TASK), -(-rows // MAX_ROWS_PER_TASK))
+
+
+def prepare(
+    df: DataFrame, encoding: CategoryEncoding, segment_labels: list[str], tasks: int, handle_invalid: str
+) -> DataFrame:
     """The training table: key, vector, the four labels and the side of the split, written once.
 
     Rows are dealt out evenly, whatever keys or copies they hold, and sorted, so
@@ -128,8 +141,7 @@ def prepare(df: DataFrame, encoding: CategoryEncoding, segment_labels: list[str]
     rows = with_features(df, encoding)
     rows = encode_segment(rows, segment_labels).withColumn("churn_label", churn_label(F.col("churn_probability")))
     rows = assemble(rows, handle_invalid=handle_invalid).withColumn("is_train", is_train())
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.select(KEY, "features", *LABELS, "is_train").repartition(partitions)
+    placed = rows.select(KEY, "features", *LABELS, "is_train").repartition(tasks)
     return materialise(placed.sortWithinPartitions("is_train", KEY), "training", partition_by="is_train")
 
 
@@ -158,17 +170,18 @@ def train(
 ) -> tuple[CustomerModels, DataFrame]:
     """Fit the four models on 80 % of the customers and evaluate them on the rest.
 
-    ``df`` is read twice (labels, training table), so it should be a table and
-    not a long plan. Gives the models and a (model, metric,
+    ``df`` is read three times (rows, labels, training table), so it should be
+    a table and not a long plan. Gives the models and a (model, metric,
     value) DataFrame. The fits are independent and each leaves executors idle
     between its stages, so ``parallel_fits`` of them run at a time.
     """
     spark = df.sparkSession
     encoding, segment_labels = fit_encoding_and_segments(df)
-    table = prepare(df, encoding, segment_labels, handle_invalid)
+    tasks = task_count(df.count(), spark.sparkContext.defaultParallelism)
+    table = prepare(df, encoding, segment_labels, tasks, handle_invalid)
     _check_labels(table)
 
-    training = table.filter("is_train")
+    training = table.filter("is_train").coalesce(tasks)
     scaler = fit_vector_standardizer(training, "features", FEATURES)
     left_out = FREQUENCY_TARGET_FEATURES if exclude_target_features else []
     frequency_features = [c for c in FEATURES if c not in left_out]

@@ -15,7 +15,7 @@ from custspark.operators import encoding, evaluate, explore, quality, scaling
 from custspark.operators.features import assemble, project_features, with_features
 from custspark.operators.score import score
 from custspark.operators.split import is_train
-from custspark.operators.train import train
+from custspark.operators.train import SMALL_FORESTS, train
 from custspark.plans.customers import customers
 from custspark.schema import CATEGORICALS, DEFAULTS, FEATURES, KEY
 from custspark.session import materialise, shared_folder
@@ -220,6 +220,12 @@ def train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics
 
 
+def train_metrics_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smaller of the two forest sizes."""
+    _, metrics = train(materialise(customers(spark, sf_dir), "customers"), SMALL_FORESTS)
+    return metrics
+
+
 def score_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(customers(spark, sf_dir), "customers")
     models, _ = train(rows)
@@ -297,6 +303,7 @@ QUERIES: dict[str, Query] = {
     "split_rows": split_rows,
     "split_counts": split_counts,
     "train_metrics": train_metrics,
+    "train_metrics_small": train_metrics_small,
     "score_customers": score_customers,
     "eval_accuracy": eval_accuracy,
     "eval_regression": eval_regression,

@@ -35,6 +35,23 @@ def _typed(name: str, data_type: T.DataType, on_bad_cell: str) -> Column:
     return value.alias(name)
 
 
+FORMAT = {"quote": '"', "escape": '"'}  # a quote inside quotes is doubled
+MALFORMED = "_malformed"
+
+
+def _complete_lines(raw: DataFrame, names: list[str]) -> DataFrame:
+    """Stop at a line with more cells than the header, whose cells may be shifted.
+
+    Only lines that Spark marks as malformed are parsed a second time. A line
+    with fewer cells ends in missing ones.
+    """
+    cells = ", ".join(f"`{n}` string" for n in [*names, "_surplus"])
+    surplus = F.from_csv(MALFORMED, F.lit(cells), FORMAT).getField("_surplus")
+    message = F.concat(F.lit("more cells than columns: "), F.col(MALFORMED))
+    too_long = F.when(F.col(MALFORMED).isNotNull() & surplus.isNotNull(), F.raise_error(message).cast("boolean"))
+    return raw.filter(too_long.otherwise(F.lit(True)))
+
+
 def read_customers_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -48,26 +65,35 @@ def read_customers_csv(
     by the customer schema (no inference pass over the data), and cells that
     stand for "missing" become NULL. A cell that is no number where one is
     required stops the job that reads it, or becomes NULL with
-    ``on_bad_cell="null"``. Further columns are kept behind the known ones as
-    text. ``multi_line`` allows line breaks inside quotes, at the price of one
-    task per file.
+    ``on_bad_cell="null"``; a line with too many cells always does. Further
+    columns are kept behind the known ones as text. Files with another header
+    than the first are refused. ``multi_line`` allows line breaks inside
+    quotes, at the price of one task per file.
     """
     if on_bad_cell not in ("fail", "null"):
         raise ValueError("on_bad_cell is 'fail' or 'null'")
+    options = {"header": True, "multiLine": multi_line, **FORMAT}
     try:
-        raw = spark.read.csv(
-            path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line, enforceSchema=False
+        header = spark.read.csv(path, inferSchema=False, **options).schema.names
+        names = [n.removeprefix("\ufeff") for n in header]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*header, MALFORMED]])
+        # Without all cells parsed, a shifted line would go unnoticed in a query on few columns.
+        raw = (
+            spark.read.option("columnPruning", False)
+            .schema(schema)
+            .csv(path, enforceSchema=False, columnNameOfCorruptRecord=MALFORMED, **options)
         )
     except Exception as error:
         raise LoadError(f"cannot load customers from {path}: {error}") from error
-    missing = [f.name for f in required if f.name not in raw.columns]
+    missing = [f.name for f in required if f.name not in names]
     if missing:
         raise LoadError(f"cannot load customers from {path}: columns missing: {', '.join(missing)}")
+    rows = _complete_lines(raw, header).toDF(*names, MALFORMED)
     known = [_typed(f.name, f.dataType, on_bad_cell) for f in required]
-    further = [text_or_null(F.col(f"`{c}`")).alias(c) for c in raw.columns if c not in required.names]
-    return raw.select(*known, *further)
+    further = [text_or_null(F.col(f"`{c}`")).alias(c) for c in names if c not in required.names]
+    return rows.select(*known, *further)
 
 
 def write_customers_csv(df: DataFrame, path: str) -> None:
-    """One CSV folder with headers; quotes are doubled, as most CSV readers expect."""
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """One CSV folder with a header in every file."""
+    df.write.mode("overwrite").csv(path, header=True, **FORMAT)

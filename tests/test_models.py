@@ -3,7 +3,7 @@ from edge import edge_rows
 from pyspark.sql import functions as F
 
 from custspark.operators.score import score
-from custspark.operators.train import SMALL_FORESTS, CustomerModels, ForestParams, train
+from custspark.operators.train import SMALL_FORESTS, CustomerModels, ForestParams, task_count, train
 from custspark.pipeline import CustomerAnalytics
 from custspark.schema import KEY, SCORING_COLUMNS
 
@@ -117,6 +117,11 @@ def test_unusable_labels(spark, customer_rows):
         train(customer_rows.limit(1), QUICK)
 
 
+def test_task_count():
+    assert [task_count(n, 8) for n in (0, 999, 5000, 10**5, 10**7, 10**10)] == [1, 1, 5, 8, 10, 10**4]
+    assert task_count(10**7, 4000) == 4000
+
+
 def test_forest_sizes():
     assert (ForestParams().trees, ForestParams().depth, ForestParams().seed) == (100, 10, 42)
     assert (SMALL_FORESTS.trees, SMALL_FORESTS.depth) == (50, 8)

@@ -66,6 +66,29 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     assert csv.read_customers_csv(spark, path, multi_line=True).first()["city"] == "New\nYork"
 
 
+def test_long_and_short_lines(spark, tmp_path):
+    path = write(tmp_path / "a.csv", NAMES, line(), line(customer_id="c2", city='"New, York"'), "c3,Regular")
+    rows = {r["customer_id"]: r for r in csv.read_customers_csv(spark, path).collect()}
+    assert (rows["c2"]["city"], rows["c3"]["segment"], rows["c3"]["age"]) == ("New, York", "Regular", None)
+    path = write(tmp_path / "b.csv", NAMES, line(), line(city="New, York"))
+    with pytest.raises(PySparkException, match="more cells than columns"):
+        csv.read_customers_csv(spark, path).collect()
+    with pytest.raises(PySparkException, match="more cells than columns"):
+        csv.read_customers_csv(spark, path).select("customer_id").collect()
+
+
+def test_byte_order_mark(spark, tmp_path):
+    path = write(tmp_path / "a.csv", ["\ufeffcustomer_id", *NAMES[1:]], line())
+    assert csv.read_customers_csv(spark, path).first()["customer_id"] == "c1"
+
+
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    a = write(tmp_path / "a.csv", NAMES, line())
+    b = write(tmp_path / "b.csv", [NAMES[1], NAMES[0], *NAMES[2:]], line())
+    with pytest.raises(Exception, match="header"):
+        csv.read_customers_csv(spark, [a, b]).collect()
+
+
 def test_several_files(spark, tmp_path):
     paths = [write(tmp_path / f"{i}.csv", NAMES, line(customer_id=f"c{i}")) for i in range(3)]
     assert {r["customer_id"] for r in csv.read_customers_csv(spark, paths).collect()} == {"c0", "c1", "c2"}
