@@ -176,7 +176,8 @@ def fit_encoding_and_segments(df: DataFrame, column: str = "segment") -> tuple[C
     """Categories and class labels in one pass over the data."""
     fitted = fit_encoding(df, [*CATEGORICALS, column])
     labels = {c: values for c, values in fitted.labels.items() if c != column}
-    return CategoryEncoding(labels, {c: t for c, t in fitted.tables.items() if c != column}), _class_labels(fitted, column)
+    tables = {c: table for c, table in fitted.tables.items() if c != column}
+    return CategoryEncoding(labels, tables), _class_labels(fitted, column)
 
 
 def _class_labels(fitted: CategoryEncoding, column: str) -> list[str]:

@@ -104,7 +104,8 @@ _FEATURES = (
 
 def _encoded(ctes: list[str], lookup: str) -> str:
     """Ranks of the labels that ``lookup`` gives for each column, -1 for others."""
-    labels = [f"l_{c} as (select label, row_number() over (order by label) - 1 idx from ({lookup.format(c)}))" for c in CATEGORICALS]
+    ranked = "select label, row_number() over (order by label) - 1 idx from"
+    labels = [f"l_{c} as ({ranked} ({lookup.format(c)}))" for c in CATEGORICALS]
     joins = " ".join(f"left join l_{c} on l_{c}.label = coalesce({c}, 'nan')" for c in CATEGORICALS)
     columns = ", ".join(f"coalesce(l_{c}.idx, -1) {c}_encoded" for c in CATEGORICALS)
     return _over_customers(f"select customer_id, {columns} from customers {joins}", *ctes, *labels)
@@ -128,7 +129,8 @@ def _histogram_round() -> str:
         group by bin, st, w""",
         "bounds as (select min(total_spent) lo, (max(total_spent) - min(total_spent)) / 50.0 raw from customers)",
         "powers as (select lo, raw, pow(10.0, floor(log10(raw))) p from bounds)",
-        "widths as (select lo, case when raw / p <= 2 then 2 * p when raw / p <= 5 then 5 * p else 10 * p end w from powers)",
+        """widths as (select lo, case when raw / p <= 2 then 2 * p when raw / p <= 5 then 5 * p else 10 * p end w
+          from powers)""",
         "placed as (select w, floor(lo / w) * w st from widths)",
     )
 

@@ -236,10 +236,11 @@ def eval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of two rules of thumb, so that the value can be checked."""
     rows = customers(spark, sf_dir, ["segment", "churn_probability", "purchase_frequency", "total_spent"])
     lapsed = (F.col("purchase_frequency") < 9).cast("int")
-    loyal = F.col("total_spent") > 3000000
+    loyal = (F.col("segment") == "High-Value Loyal").cast("int")
+    big = (F.col("total_spent") > 3000000).cast("int")
     metrics = {
         ("churn", "accuracy"): evaluate.accuracy(churn_label(F.col("churn_probability")), lapsed),
-        ("segment", "accuracy"): evaluate.accuracy((F.col("segment") == "High-Value Loyal").cast("int"), loyal.cast("int")),
+        ("segment", "accuracy"): evaluate.accuracy(loyal, big),
     }
     return _rounded(evaluate.as_rows(rows, metrics), 9, "value")
 

@@ -88,7 +88,8 @@ def test_favourite_category_ties_and_hot_customer(spark):
     assert (hot["n_returns"], float(hot["lifetime_value"]), hot["top_category"]) == (300, 2700 * 9.0, "a")
     assert facts[3003]["top_category"] is None and len(facts) == 6001
     plain = {r["l_ck"]: r for r in _line_facts(lines, orders, None).collect()}
-    assert all((plain[k]["n_returns"], plain[k]["lifetime_value"]) == (v["n_returns"], v["lifetime_value"]) for k, v in facts.items())
+    for key, row in facts.items():
+        assert (plain[key]["n_returns"], plain[key]["lifetime_value"]) == (row["n_returns"], row["lifetime_value"])
 
 
 def plan_of(df):

@@ -14,16 +14,16 @@ def write(path, header, *lines):
 
 
 def line(**cells):
-    usual = {"customer_id": "c1", "segment": "Regular", "registration_date": "2024-01-01", "gender": "F", "city": "Dhaka"}
+    usual = {"customer_id": "c1", "segment": "Regular", "registration_date": "2024-01-01", "gender": "F"}
+    usual |= {"city": "Dhaka"}
     usual |= {"favorite_category": "Fashion", "preferred_channel": "Website", "device_type": "Mobile"}
     return ",".join(str(cells.get(c, usual.get(c, 1))) for c in NAMES)
 
 
 def test_missing_cells_are_null(spark, tmp_path):
     cells = ["NA", "None", "nan", "", "NULL", '""', "#N/A", "<NA>"]
-    path = write(
-        tmp_path / "a.csv", NAMES, *[line(customer_id=f"c{i}", age=c, total_spent=c, city=c) for i, c in enumerate(cells)]
-    )
+    lines = [line(customer_id=f"c{i}", age=c, total_spent=c, city=c) for i, c in enumerate(cells)]
+    path = write(tmp_path / "a.csv", NAMES, *lines)
     rows = csv.read_customers_csv(spark, path).collect()
     assert len(rows) == len(cells)
     assert {(r["age"], r["total_spent"], r["city"]) for r in rows} == {(None, None, None)}
