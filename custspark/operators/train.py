@@ -31,6 +31,9 @@ FREQUENCY_TARGET_FEATURES = ["purchase_frequency", "frequency_score"]
 MIN_ROWS_PER_TASK = 1_000
 MAX_ROWS_PER_TASK = 1_000_000
 
+# Up to this size per core, keeping each row's node in every tree beats finding it again.
+NODE_ID_BYTES_PER_CORE = 32 * 1024 * 1024
+
 LABELS = ["churn_label", "customer_lifetime_value", "purchase_frequency", "segment_label"]
 
 
@@ -44,9 +47,11 @@ class ForestParams:
     feature_subset: str = "auto"
     max_bins: int = 32
     max_memory_mb: int = 256
-    cache_node_ids: bool = False  # quicker for deep trees, for 4 bytes per row and tree of cache
+    cache_node_ids: bool | None = None  # None: if they are small; the models are the same either way
 
-    def as_arguments(self) -> dict:
+    def as_arguments(self, rows_per_core: int) -> dict:
+        node_ids = rows_per_core * self.trees * 4
+        cached = node_ids <= NODE_ID_BYTES_PER_CORE if self.cache_node_ids is None else self.cache_node_ids
         return {
             "numTrees": self.trees,
             "maxDepth": self.depth,
@@ -54,7 +59,7 @@ class ForestParams:
             "featureSubsetStrategy": self.feature_subset,
             "maxBins": self.max_bins,
             "maxMemoryInMB": self.max_memory_mb,
-            "cacheNodeIds": self.cache_node_ids,
+            "cacheNodeIds": cached,
         }
 
 
@@ -177,7 +182,8 @@ def train(
     """
     spark = df.sparkSession
     encoding, segment_labels = fit_encoding_and_segments(df)
-    tasks = task_count(df.count(), spark.sparkContext.defaultParallelism)
+    n_rows, cores = df.count(), spark.sparkContext.defaultParallelism
+    tasks = task_count(n_rows, cores)
     table = prepare(df, encoding, segment_labels, tasks, handle_invalid)
     _check_labels(table)
 
@@ -187,7 +193,7 @@ def train(
     frequency_features = [c for c in FEATURES if c not in left_out]
     rows = with_model_vectors(training, scaler, frequency_features)
 
-    size = params.as_arguments()
+    size = params.as_arguments(n_rows // cores)
     estimators = {
         "churn": RandomForestClassifier(
             featuresCol="features",

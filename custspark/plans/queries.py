@@ -152,7 +152,7 @@ def spend_histogram_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.preview(customers(spark, sf_dir))
+    return explore.preview(customers(spark, sf_dir, first=10), 10)
 
 
 def _encoded(df: DataFrame, fitted: encoding.CategoryEncoding) -> DataFrame:
@@ -191,9 +191,7 @@ def segment_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(customers(spark, sf_dir), "customers")
-    features = materialise(
-        with_features(rows, encoding.fit_encoding(rows)).select(KEY, *FEATURES), "features"
-    )
+    features = with_features(rows, encoding.fit_encoding(rows)).select(KEY, *FEATURES)
     scaled = scaling.fit_standardizer(features, FEATURES).transform(features)
     return _rounded(scaled, 6, *FEATURES)
 

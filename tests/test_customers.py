@@ -104,6 +104,12 @@ def test_only_needed_branches_are_planned(spark, small_dir):
     assert "l_quantity" not in plan.split("Physical Plan")[1]
 
 
+def test_first_customers_are_rows_of_the_whole_table(spark, small_dir):
+    few = {tuple(r) for r in customers(spark, small_dir, first=12).collect()}
+    every = sorted(tuple(r) for r in customers(spark, small_dir).collect())
+    assert few == set(every[:12])
+
+
 def test_schema_and_column_order(spark, small_dir):
     df = customers(spark, small_dir)
     assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in CUSTOMER_SCHEMA]

@@ -122,6 +122,13 @@ def test_task_count():
     assert task_count(10**7, 4000) == 4000
 
 
+def test_node_ids_are_cached_while_small():
+    assert ForestParams().as_arguments(80_000)["cacheNodeIds"]
+    assert not ForestParams().as_arguments(90_000)["cacheNodeIds"]
+    assert ForestParams(cache_node_ids=True).as_arguments(10**9)["cacheNodeIds"]
+    assert not ForestParams(cache_node_ids=False).as_arguments(1)["cacheNodeIds"]
+
+
 def test_forest_sizes():
     assert (ForestParams().trees, ForestParams().depth, ForestParams().seed) == (100, 10, 42)
     assert (SMALL_FORESTS.trees, SMALL_FORESTS.depth) == (50, 8)
