@@ -24,6 +24,8 @@ REGULAR_ORDERS = 10
 CHURN_HORIZON_DAYS = 730
 NEVER_ORDERED_DAYS = 9999
 
+MAX_BROADCAST_KEYS = 10_000
+
 # Which derived columns need which branch.
 FROM_ORDERS = {
     "segment",
@@ -197,8 +199,8 @@ def customers(
 ) -> DataFrame:
     """The customer table, or the named columns of it in table order.
 
-    ``first`` asks for the first customers by key alone: their few keys are
-    broadcast to the facts, which are then not aggregated for all others.
+    ``first`` asks for the first customers by key alone: their keys are sent to
+    the facts, which are then not aggregated for all others.
     """
     wanted = set(CUSTOMER_SCHEMA.names if columns is None else columns)
     names = [c for c in CUSTOMER_SCHEMA.names if c in wanted]
@@ -207,7 +209,9 @@ def customers(
     orders, events = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "events")
     if first is not None:
         out = out.orderBy("c_name").limit(first)
-        keys = F.broadcast(out.select(F.col("c_custkey").alias("key")))
+        keys = out.select(F.col("c_custkey").alias("key"))
+        if first <= MAX_BROADCAST_KEYS:
+            keys = F.broadcast(keys)
         orders = orders.join(keys, F.col("o_custkey") == F.col("key"), "left_semi")
         events = events.join(keys, F.col("user_id") == F.col("key"), "left_semi")
     if wanted & FROM_ORDERS:

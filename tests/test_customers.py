@@ -108,6 +108,8 @@ def test_first_customers_are_rows_of_the_whole_table(spark, small_dir):
     few = {tuple(r) for r in customers(spark, small_dir, first=12).collect()}
     every = sorted(tuple(r) for r in customers(spark, small_dir).collect())
     assert few == set(every[:12])
+    plan = customers(spark, small_dir, first=10_001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan
 
 
 def test_schema_and_column_order(spark, small_dir):

@@ -32,6 +32,18 @@ def test_unseen_is_minus_one(spark):
     assert (paris["city_encoded"], got["c00"]["city_encoded"]) == (-1, 0)
 
 
+def test_fit_on_no_rows(spark):
+    fitted = encoding.fit_encoding(edge_rows(spark, []))
+    assert set(fitted.labels) == set(CATEGORICALS)
+    assert {tuple(r) for r in fitted.transform(edge_rows(spark)).select(*ENCODED).collect()} == {(-1,) * 5}
+
+
+def test_exactly_as_many_labels_as_allowed(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("city"))
+    assert not encoding.fit_encoding(df, ["city"], max_in_memory=50).tables
+    assert encoding.fit_encoding(df, ["city"], max_in_memory=49).tables
+
+
 def test_order_is_by_code_point(spark):
     labels = ["Z", "a", "é", "￮", "\U0001f600", "", " b"]
     df = spark.createDataFrame([(v,) for v in labels], "city string")
