@@ -20,15 +20,17 @@ ENGAGEMENT_OFFSET = 0.01
 
 
 def _above(probability: Column, threshold: float) -> Column:
-    return F.nanvl(probability, F.lit(None)) > F.lit(threshold)
+    """True above the threshold, not for NaN; the comparison alone can be pushed into a scan."""
+    return (probability > F.lit(threshold)) & ~F.isnan(probability)
 
 
 def is_at_risk(probability: Column) -> Column:
-    return F.coalesce(_above(probability, HIGH_THRESHOLD), F.lit(False))
+    """As a filter; missing gives NULL."""
+    return _above(probability, HIGH_THRESHOLD)
 
 
 def churn_label(probability: Column) -> Column:
-    return is_at_risk(probability).cast("int")
+    return F.coalesce(is_at_risk(probability), F.lit(False)).cast("int")
 
 
 def _band(probability: Column, high: str, medium: str, low: str) -> Column:
