@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custspark.schema import CUSTOMER_SCHEMA, KEY
+from custspark.session import materialise
 
 DEFAULT_TABLE = "customers"
 
@@ -18,7 +20,17 @@ def create_table(spark: SparkSession, name: str = DEFAULT_TABLE, path: str | Non
 
 
 def save_table(df: DataFrame, name: str = DEFAULT_TABLE, path: str | None = None) -> None:
-    """Replace the table, schema included."""
+    """Replace the table, schema included; ``df`` may be made from the table itself."""
+    try:
+        _write(df, name, path)
+    except AnalysisException as error:
+        if not (error.getCondition() or "").startswith("UNSUPPORTED_OVERWRITE"):
+            raise
+        # The new rows come from the files about to be replaced: they are written elsewhere first.
+        _write(materialise(df, "replacement"), name, path)
+
+
+def _write(df: DataFrame, name: str, path: str | None) -> None:
     writer = df.write.mode("overwrite").format("parquet")
     if path:
         writer = writer.option("path", path)

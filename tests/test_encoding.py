@@ -63,6 +63,18 @@ def test_large_columns_give_the_same_result(spark, customer_rows, bound):
     assert encoded(large.transform(rows)) == encoded(small.transform(rows))
 
 
+def test_ranks_run_on_over_several_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        labels = spark.range(5000).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("label"))
+        ranked = encoding.rank_labels(labels).collect()
+        ranges = labels.repartitionByRange("label").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert ranges > 1
+    assert {r["label"]: r["idx"] for r in ranked} == {v: i for i, v in enumerate(sorted(r["label"] for r in ranked))}
+
+
 def test_frequent_and_rare_labels_of_a_large_column(spark):
     """One label holds a third of the rows, the others are rare; all copies alike."""
     rows = spark.range(6000).select(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from custspark.operators.score import score
 from custspark.operators.train import SMALL_FORESTS, CustomerModels, ForestParams, task_count, train
-from custspark.pipeline import CustomerAnalytics
+from custspark.app import CustomerAnalytics
 from custspark.schema import KEY, SCORING_COLUMNS
 
 QUICK = ForestParams(trees=10, depth=5)

@@ -2,6 +2,7 @@ import pytest
 from edge import edge_rows
 from pyspark.errors import PySparkException
 
+from custspark.operators import quality
 from custspark.schema import CUSTOMER_SCHEMA
 from custspark.sources import csv, tables
 
@@ -106,6 +107,16 @@ def test_table_is_created_once_and_replaced_on_save(spark):
     assert (again.columns, again.count()) == (["customer_id", "age"], 2)
 
 
+@pytest.mark.parametrize("external", [False, True])
+def test_table_is_replaced_by_rows_made_from_itself(spark, tmp_path, external):
+    name, path = f"own_{external}".lower(), str(tmp_path / "t") if external else None
+    tables.save_table(edge_rows(spark), name, path)
+    tables.save_table(quality.fill_defaults(tables.load_table(spark, name)).filter("age > 17"), name, path)
+    assert tables.load_table(spark, name).count() == 12
+    with pytest.raises(PySparkException):
+        tables.save_table(edge_rows(spark), "no_such_database.t")
+
+
 def test_key_checks(spark):
     df = edge_rows(spark).union(edge_rows(spark, [{"customer_id": None}]))
     assert [tuple(r) for r in tables.duplicate_keys(df).collect()] == [("c11", 2)]
