@@ -1,7 +1,8 @@
 """Label encoding: a category's rank among the sorted distinct values, from 0.
 
-Up to ``max_in_memory`` distinct labels are held by the driver and applied by
-Spark ML's indexer inside the scan's stage. A column with more is ranked by a
+Up to ``max_in_memory`` distinct labels are held by the driver and applied
+inside the scan's stage, by Spark ML's indexer or, where handing it the labels
+would take long, by a broadcast of them. A column with more is ranked by a
 distributed sort, kept as a table and applied by a join that keeps frequent
 labels out of the way, so neither path needs the labels of a large column, or
 the rows of a frequent label, in one place.
@@ -20,6 +21,7 @@ from custspark.schema import CATEGORICALS
 from custspark.session import materialise
 
 MAX_IN_MEMORY = 100_000
+MAX_INDEXER_LABELS = 1_000
 HOT_SHARE = 1000
 SALTS = 1024
 UNSEEN = -1
@@ -78,9 +80,22 @@ class CategoryEncoding:
         """Add ``<column>_encoded``; a label that was not there at fit time becomes -1."""
         for column, table in self.tables.items():
             df = self._join(df, column, table)
-        if not self.labels:
-            return df
-        names = list(self.labels)
+        names = [c for c, labels in self.labels.items() if len(labels) <= MAX_INDEXER_LABELS]
+        for column in self.labels:
+            if column not in names:
+                df = self._lookup(df, column)
+        return self._index(df, names) if names else df
+
+    def _lookup(self, df: DataFrame, column: str) -> DataFrame:
+        """By a broadcast of the labels; ``max_in_memory`` bounded their number at fit time."""
+        rows = list(enumerate(self.labels[column]))
+        table = df.sparkSession.createDataFrame(rows, "_idx bigint, _label string")
+        joined = df.join(F.broadcast(table), category(column) == F.col("_label"), "left")
+        index = F.coalesce("_idx", F.lit(UNSEEN).cast("bigint"))
+        return joined.withColumn(f"{column}_encoded", index).drop("_idx", "_label")
+
+    def _index(self, df: DataFrame, names: list[str]) -> DataFrame:
+        """By Spark ML's indexer."""
         # "keep" gives every unknown label the index behind the last one.
         model = StringIndexerModel.from_arrays_of_labels(
             [self.labels[c] for c in names],

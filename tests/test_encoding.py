@@ -63,6 +63,18 @@ def test_large_columns_give_the_same_result(spark, customer_rows, bound):
     assert encoded(large.transform(rows)) == encoded(small.transform(rows))
 
 
+def test_many_labels_in_memory_give_the_same_result(spark, customer_rows, monkeypatch):
+    fitted = encoding.fit_encoding(customer_rows)
+    rows = customer_rows.union(edge_rows(spark))
+    want = encoded(fitted.transform(rows))
+    monkeypatch.setattr(encoding, "MAX_INDEXER_LABELS", 5)
+    mixed = fitted.transform(rows)
+    assert encoded(mixed) == want
+    assert mixed._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
+    monkeypatch.setattr(encoding, "MAX_INDEXER_LABELS", 0)
+    assert encoded(fitted.transform(rows)) == want
+
+
 def test_ranks_run_on_over_several_ranges(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
