@@ -5,12 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custspark.llm import ring
+from custspark.llm import bpe, fertility, ring
 from custspark.llm.common import table
 
 SHARDS = 16
 
 
+def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and fertility bands of each document; see fertility.judge."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return fertility.judge(docs, ["doc_id", "lang"]).select(
+        "row.doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "n_tokens",
+        "chars_per_token",
+        "byte_share",
+        "token_entropy",
+        "band_failed",
+    )
+
+
+def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each text and the text decoded from them, as digests; see bpe.digests."""
+    return bpe.digests(table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
+    )
+
+
 def op10_consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of near-equal row counts; see ring.shard."""
     placed = ring.shard(table(spark, sf_dir, "documents"), SHARDS)
@@ -26,6 +53,8 @@ def op10_consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_tokeniser_fertility": op3_tokeniser_fertility,
+    "op6_chunked_bpe": op6_chunked_bpe,
     "op10_consistent_hash_ring": op10_consistent_hash_ring,
 }
 
