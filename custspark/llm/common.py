@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,15 @@ def column(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what crosses to Python at once; a smaller setting of the caller stays."""
+def prepare(spark: SparkSession) -> None:
+    """Bound what crosses to Python at once, and let Python workers find this package.
+
+    A smaller batch setting of the caller stays. The package's folder helps where the
+    machines share it; elsewhere the package is installed or given with --py-files.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
@@ -58,7 +67,7 @@ def extend(
     texts to one array per field. The struct keeps columns of the input from
     clashing with the new ones.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     packed = docs.select(
         F.struct(*[column(docs, c) for c in keep]).alias("row") if keep else F.lit(0).alias("row"),
         column(docs, id_col).alias("id"),
@@ -86,7 +95,7 @@ def emit(
     text_col: str = "text",
 ) -> DataFrame:
     """Any number of rows for each batch of ids and texts."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     fed = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

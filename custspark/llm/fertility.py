@@ -5,6 +5,8 @@ tokens. Symbols, shouting, encoded data or text in a wrong language fall apart i
 short tokens, into single bytes, or into the same few tokens. Measured per document:
 
 * chars_per_token: code points of the words by their tokens,
+* letters_per_token: the same without ASCII digits and punctuation, as a long run of
+  one symbol is a single token and so looks cheap,
 * byte_share: tokens that stand for one byte the vocabulary has no piece for,
 * token_entropy: bits of the document's distribution of tokens.
 
@@ -36,20 +38,23 @@ CACHE_WORDS = 150_000
 SPACE = b"\x20\t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 _CONTINUED = bytes(range(0x80, 0xC0))
+_NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 
 
 @dataclass(frozen=True)
 class Bands:
     """How far a document may be from its group's typical values.
 
-    chars_per_token: from `low` to `high` times the group's median; token_entropy: at
+    chars_per_token: from `low` to `high` times the group's median; letters_per_token: at
+    least `letters` times its median; token_entropy: at
     least `entropy` times the smaller of the group's median and the most that so many
     tokens can have; byte_share: at most the group's median plus `bytes`. `spread`
-    widens all three for a text of n tokens by 1 + spread / sqrt(n).
+    widens them all for a text of n tokens by 1 + spread / sqrt(n).
     """
 
-    low: float = 0.85
+    low: float = 0.82
     high: float = 1.35
+    letters: float = 0.66
     entropy: float = 0.6
     bytes: float = 0.10
     spread: float = 4.0
@@ -136,7 +141,7 @@ def repeated_words(words: list[bytes], window: int) -> int:
 
 FIELDS = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, script string"
+    "n_tokens bigint, chars_per_token double, letters_per_token double, byte_share double, token_entropy double, script string"
 )
 
 
@@ -160,6 +165,7 @@ def measure(
             ids = tokens.of(docs)
             lines = [[x for x in raw.split(b"\n") if x.strip(SPACE)] for raw in raws]
             chars = [len(raw.translate(None, SPACE + _CONTINUED)) for raw in raws]
+            letters = [len(raw.translate(None, _NO_LETTERS + _CONTINUED)) for raw in raws]
             counts = [len(i) for i in ids]
             numbers = (
                 [len(w) for w in docs],
@@ -171,6 +177,7 @@ def measure(
             )
             shares = (
                 [c / n if n else 0.0 for c, n in zip(chars, counts)],
+                [c / n if n else 0.0 for c, n in zip(letters, counts)],
                 [float(tokens.is_byte[i].mean()) if len(i) else 0.0 for i in ids],
                 [entropy(i) for i in ids],
             )
@@ -205,15 +212,17 @@ def verdict(measured: DataFrame, group: Column, bands: Bands = Bands(), rules: B
     """
     measured = measured.withColumn("group", group)
     typical = _median(measured, "chars_per_token", 0.01)
-    for name, step in (("byte_share", 0.005), ("token_entropy", 0.05)):
+    for name, step in (("letters_per_token", 0.01), ("byte_share", 0.005), ("token_entropy", 0.05)):
         typical = typical.join(_median(measured, name, step), "group")
     judged = measured.join(typical, "group", "left")
     wide = F.lit(1.0) + bands.spread / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)))
     ratio = F.col("chars_per_token") / F.col("typical_chars_per_token")
+    letters = F.col("letters_per_token") / F.col("typical_letters_per_token")
     most = F.least(F.col("typical_token_entropy"), F.log2(F.greatest(F.col("n_tokens"), F.lit(1))))
     failed = (
         F.when(ratio < 1 - (1 - bands.low) * wide, "chars_per_token_low")
         .when(ratio > 1 + (bands.high - 1) * wide, "chars_per_token_high")
+        .when(letters < 1 - (1 - bands.letters) * wide, "letters_per_token_low")
         .when(F.col("byte_share") > F.col("typical_byte_share") + bands.bytes * wide, "byte_share")
         .when(F.col("token_entropy") * wide < bands.entropy * most, "token_entropy")
     )

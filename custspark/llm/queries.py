@@ -25,6 +25,7 @@ def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept",
         "n_tokens",
         "chars_per_token",
+        "letters_per_token",
         "byte_share",
         "token_entropy",
         "band_failed",
