@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custspark.llm import bpe, fertility, ring
+from custspark.llm import bpe, fertility, fmindex, ring
 from custspark.llm.common import table
 
 SHARDS = 16
 
 
+def op1_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside benchmark passages; see fmindex.find."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fmindex.find(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return fmindex.digests(found).select(
+        "row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
+
+
 def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and fertility bands of each document; see fertility.judge."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -54,6 +63,7 @@ def op10_consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fm_index": op1_fm_index,
     "op3_tokeniser_fertility": op3_tokeniser_fertility,
     "op6_chunked_bpe": op6_chunked_bpe,
     "op10_consistent_hash_ring": op10_consistent_hash_ring,
