@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custspark.llm import bpe, fertility, fmindex, ring
+from custspark.llm import bpe, fertility, fmindex, ring, warc
 from custspark.llm.common import table
+from custspark.session import shared_folder
 
 SHARDS = 16
 
@@ -41,6 +42,19 @@ def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, and what is read back from them; see warc.write and warc.read."""
+    path = shared_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payloads=False).select(
+        F.col("page").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers").cast("bigint").alias("refers_to"),
+    )
+
+
 def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each text and the text decoded from them, as digests; see bpe.digests."""
     return bpe.digests(table(spark, sf_dir, "documents")).select(
@@ -65,8 +79,19 @@ def op10_consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fm_index": op1_fm_index,
     "op3_tokeniser_fertility": op3_tokeniser_fertility,
+    "op4_warc_segments": op4_warc_segments,
     "op6_chunked_bpe": op6_chunked_bpe,
     "op10_consistent_hash_ring": op10_consistent_hash_ring,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_warc_segments": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        d as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha1(html) as payload_digest from p),
+        h as (select payload_digest, max(page_id) as head from d where payload_bytes >= 1000 group by payload_digest)
+        select page_id, payload_bytes, payload_digest,
+            case when page_id < head then 'revisit' else 'response' end as record_type,
+            case when page_id < head then head end as refers_to
+        from d left join h using (payload_digest)
+    """,
+}
