@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custspark.llm import bpe, fertility, fmindex, ring, warc
+from custspark.llm import bpe, fertility, fmindex, perspective, ring, warc
 from custspark.llm.common import table
 from custspark.session import shared_folder
 
@@ -62,6 +62,22 @@ def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from each speaker's perspective, its text as a digest; see perspective.rotate."""
+    rendered = perspective.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string")))
+    return rendered.select(
+        "conv_id",
+        "speaker",
+        "block",
+        "part",
+        "n_turns",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        F.array_join(spans, ",").alias("mask"),
+    )
+
+
 def op10_consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of near-equal row counts; see ring.shard."""
     placed = ring.shard(table(spark, sf_dir, "documents"), SHARDS)
@@ -81,6 +97,7 @@ QUERIES = {
     "op3_tokeniser_fertility": op3_tokeniser_fertility,
     "op4_warc_segments": op4_warc_segments,
     "op6_chunked_bpe": op6_chunked_bpe,
+    "op9_perspective_rotation": op9_perspective_rotation,
     "op10_consistent_hash_ring": op10_consistent_hash_ring,
 }
 
@@ -94,4 +111,37 @@ ORACLE: dict[str, str] = {
             case when page_id < head then head end as refers_to
         from d left join h using (payload_digest)
     """,
+    "op9_perspective_rotation": """
+        with t as (
+            select conv_id, turn, coalesce(role, 'unknown') as role,
+                replace(coalesce(text, ''), '<|im_', '<| im_') as said,
+                cast(coalesce(floor(turn / 64.0), -1) as bigint) as block
+            from conversations
+        ),
+        n as (
+            select *, row_number() over (partition by conv_id, block order by turn nulls first, role, said) as pos from t
+        ),
+        s as (select distinct conv_id, role as speaker from t where role <> 'system'),
+        m as (
+            select n.conv_id, speaker, block, cast((pos - 1) // 64 as bigint) as part, pos, role, said,
+                case when role = 'system' then '<|im_start|>system' when role = speaker then '<|im_start|>assistant'
+                    else '<|im_start|>user name=' || role end || chr(10) as head
+            from n join s on n.conv_id is not distinct from s.conv_id
+        ),
+        e as (
+            select *, sum(length(head) + length(said) + 11) over (
+                partition by conv_id, speaker, block, part order by pos rows unbounded preceding) as stop
+            from m
+        ),
+        r as (
+            select conv_id, speaker, block, part, count(*) as n_turns,
+                string_agg(head || said || '<|im_end|>' || chr(10), '' order by pos) as txt,
+                coalesce(string_agg(case when role = speaker then
+                    cast(stop - length(said) - 11 as bigint) || ':' || cast(stop as bigint) end, ',' order by pos), '') as mask
+            from e group by conv_id, speaker, block, part
+        )
+        select conv_id, speaker, block, part, n_turns, cast(length(txt) as bigint) as n_chars,
+            sha256(txt) as text_sha256, mask
+        from r
+    """,
 }
