@@ -91,12 +91,13 @@ def emit(
     docs: DataFrame,
     start: Callable[[], Callable[[pa.Array, pa.Array], Iterator[dict[str, pa.Array]]]],
     schema: str,
-    id_col: str = "doc_id",
+    id_col: str | None = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Any number of rows for each batch of ids and texts."""
     prepare(docs.sparkSession)
-    fed = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"))
+    ids = column(docs, id_col) if id_col else F.lit(0)
+    fed = docs.select(ids.alias("id"), column(docs, text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()

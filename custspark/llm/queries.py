@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custspark.llm import bpe, fertility, fmindex, perspective, ring, warc
+from custspark.llm import bpe, disclosure, fertility, fmindex, perspective, ring, warc
 from custspark.llm.common import table
 from custspark.session import shared_folder
 
@@ -62,6 +62,21 @@ def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it; see disclosure.sanitise."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return disclosure.sanitise(docs, ["doc_id"], texts=False).select(
+        "row.doc_id",
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+        "n_terms",
+    )
+
+
 def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialogue from each speaker's perspective, its text as a digest; see perspective.rotate."""
     rendered = perspective.rotate(table(spark, sf_dir, "conversations"))
@@ -97,6 +112,7 @@ QUERIES = {
     "op3_tokeniser_fertility": op3_tokeniser_fertility,
     "op4_warc_segments": op4_warc_segments,
     "op6_chunked_bpe": op6_chunked_bpe,
+    "op8_disclosure": op8_disclosure,
     "op9_perspective_rotation": op9_perspective_rotation,
     "op10_consistent_hash_ring": op10_consistent_hash_ring,
 }
