@@ -140,8 +140,9 @@ class Windows:
 
     def _grow(self, size: int) -> None:
         inverse = pow(self.BASE, -1, 1 << 64)
-        self._powers = np.cumprod(np.concatenate([[1], np.full(size, self.BASE)]).astype(np.uint64), dtype=np.uint64)
-        self._inverse = np.cumprod(np.concatenate([[1], np.full(size, inverse)]).astype(np.uint64), dtype=np.uint64)
+        self._powers, self._inverse = np.ones(size + 1, np.uint64), np.ones(size + 1, np.uint64)
+        np.cumprod(np.full(size, self.BASE, np.uint64), out=self._powers[1:])
+        np.cumprod(np.full(size, inverse, np.uint64), out=self._inverse[1:])
         self._size = size
 
     def of(self, hashes: np.ndarray, k: int) -> np.ndarray:

@@ -214,7 +214,8 @@ def verdict(measured: DataFrame, group: Column, bands: Bands = Bands(), rules: B
     typical = _median(measured, "chars_per_token", 0.01)
     for name, step in (("letters_per_token", 0.01), ("byte_share", 0.005), ("token_entropy", 0.05)):
         typical = typical.join(_median(measured, name, step), "group")
-    judged = measured.join(typical, "group", "left")
+    # Written, so that its size is known: a row for each group, which Spark then broadcasts and no language is dealt out by key.
+    judged = measured.join(materialise(typical, "fertility-bands"), "group", "left")
     wide = F.lit(1.0) + bands.spread / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)))
     ratio = F.col("chars_per_token") / F.col("typical_chars_per_token")
     letters = F.col("letters_per_token") / F.col("typical_letters_per_token")
