@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custspark.llm import bpe, disclosure, fertility, fmindex, perspective, ring, warc
+from custspark.llm import bpe, disclosure, fertility, fmindex, jaccard, perspective, ring, warc
 from custspark.llm.common import table
 from custspark.session import shared_folder
 
@@ -62,6 +62,12 @@ def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_adaptive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their 4-word shingles; see jaccard.join."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.join(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and the terms that reveal it; see disclosure.sanitise."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -112,6 +118,7 @@ QUERIES = {
     "op3_tokeniser_fertility": op3_tokeniser_fertility,
     "op4_warc_segments": op4_warc_segments,
     "op6_chunked_bpe": op6_chunked_bpe,
+    "op7_adaptive_jaccard": op7_adaptive_jaccard,
     "op8_disclosure": op8_disclosure,
     "op9_perspective_rotation": op9_perspective_rotation,
     "op10_consistent_hash_ring": op10_consistent_hash_ring,
