@@ -239,8 +239,7 @@ def _block_links(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     fed = tasks.join(sets.select("cid", "tokens"), "cid")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
+    def compare(table: pa.Table) -> pa.Table:
         second = table.column("second").to_numpy(zero_copy_only=False).astype(bool)
         order = np.argsort(second, kind="stable")
         cids = table.column("cid").to_numpy()[order]
@@ -249,12 +248,11 @@ def _block_links(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         parts = [flat[ends[k] : ends[k + 1]] for k in order.tolist()]
         other = int((~second).sum()) if second.any() else 0
         links = overlap_links(percent, cids, parts, other) if len(parts) > 1 else []
-        yield pa.RecordBatch.from_pydict(
+        return pa.table(
             {"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())}
         )
 
-    grouped = fed.groupBy("token", "i", "j")
-    return grouped.applyInArrow(lambda batches: compare(batches), "a bigint, b bigint")
+    return fed.groupBy("token", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
