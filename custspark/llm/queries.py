@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custspark.llm import bpe, disclosure, fertility, fmindex, jaccard, perspective, ring, warc
+from custspark.llm import bpe, debruijn, disclosure, fertility, fmindex, jaccard, perspective, ring, warc
 from custspark.llm.common import table
 from custspark.session import shared_folder
 
@@ -55,6 +55,13 @@ def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_debruijn_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 50-word passages removed from later documents; see debruijn.remove."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = debruijn.remove(docs, ["doc_id"], texts=False)
+    return removed.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each text and the text decoded from them, as digests; see bpe.digests."""
     return bpe.digests(table(spark, sf_dir, "documents")).select(
@@ -117,6 +124,7 @@ QUERIES = {
     "op1_fm_index": op1_fm_index,
     "op3_tokeniser_fertility": op3_tokeniser_fertility,
     "op4_warc_segments": op4_warc_segments,
+    "op5_debruijn_compaction": op5_debruijn_compaction,
     "op6_chunked_bpe": op6_chunked_bpe,
     "op7_adaptive_jaccard": op7_adaptive_jaccard,
     "op8_disclosure": op8_disclosure,
