@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custspark.llm import bpe, debruijn, disclosure, fertility, fmindex, jaccard, perspective, ring, warc
+from custspark.llm import bpe, debruijn, disclosure, fertility, fmindex, jaccard, lm, perspective, ring, warc
 from custspark.llm.common import table
 from custspark.session import shared_folder
 
@@ -21,6 +21,11 @@ def op1_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and recurrent-model scores of whole texts; see lm.score."""
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and fertility bands of each document; see fertility.judge."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -122,6 +127,7 @@ def op10_consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fm_index": op1_fm_index,
+    "op2_gated_recurrent_lm": op2_gated_recurrent_lm,
     "op3_tokeniser_fertility": op3_tokeniser_fertility,
     "op4_warc_segments": op4_warc_segments,
     "op5_debruijn_compaction": op5_debruijn_compaction,
