@@ -282,3 +282,12 @@ def sanitise(
     bound = packed.mapInArrow(having(True), packed.schema).withColumn("text_key", F.md5(F.col("text").cast("binary")))
     bound = bound.join(rules, "text_key", "left").select("row", "text", "rules").mapInArrow(finish, schema)
     return free.unionByName(bound)
+
+
+def cleaned(docs: DataFrame, limits: Thresholds = Thresholds(), text_col: str = "text") -> DataFrame:
+    """The documents with their texts sanitised, and their own columns; a null text stays null."""
+    done = sanitise(docs, docs.columns, limits, True, text_col)
+    own = [
+        F.col("sanitised").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns
+    ]
+    return done.select(*own)

@@ -317,3 +317,31 @@ def join(
         {"component_id": F.col("doc_id"), "root": F.lit(None).cast(placed.schema["root"].dataType)}
     )
     return full.select(*out).unionByName(none.select(*out))
+
+
+def first_of_each(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The document with the smallest id of each component, with its own columns.
+
+    Documents without words are all kept. Of rows that repeat the smallest id inside a
+    component one is kept; a component of null ids keeps one of them.
+    """
+    placed = materialise(
+        join(docs, width, percent, id_col, text_col)
+        .filter("root is not null")
+        .groupBy("k1", "k2", "root", "component_id")
+        .agg(F.min("doc_id").alias("class_id")),
+        "jaccard-classes-placed",
+    )
+    # Classes that hold none of their component's smallest id have nothing to keep; of those that do, one.
+    chosen = placed.filter(F.col("class_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    chosen = materialise(chosen.select("class_id", "k1", "k2"), "jaccard-chosen")
+    marked = keyed(docs, docs.columns, width, False, id_col, text_col).select("row", "k1", "k2")
+    marked = marked.withColumn("doc_id", F.col("row").getField(id_col))
+    # By id and set together, so that the copies of one text are dealt to all tasks.
+    a, b = marked.alias("a"), chosen.alias("b")
+    met = a.join(b, F.expr("a.doc_id <=> b.class_id and a.k1 = b.k1 and a.k2 = b.k2")).select("a.*")
+    kept = met.dropDuplicates(["doc_id", "k1", "k2"]).select("row")
+    empty = marked.filter("k1 is null").select("row")
+    return kept.unionByName(empty).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
