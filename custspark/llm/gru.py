@@ -71,7 +71,7 @@ class Model:
         padded[: len(counts)] = counts
         # A place without a word gets no probability.
         model.word_bias[:] = np.where(padded > 0, np.log(np.maximum(padded, 1)), -1e4)
-        mass = np.concatenate([padded.reshape(model.word_classes, -1).sum(1), other_counts])
+        mass = np.concatenate([padded.reshape(model.word_classes, shape.class_words).sum(1), other_counts])
         model.class_bias[:] = np.log(mass + 1)
         return model
 
