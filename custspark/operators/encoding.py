@@ -2,7 +2,7 @@
 
 Up to ``max_in_memory`` distinct labels are held by the driver and applied
 inside the scan's stage, by Spark ML's indexer or, where handing it the labels
-would take long, by a broadcast of them. A column with more is ranked by a
+would take long, by a join with them. A column with more is ranked by a
 distributed sort, kept as a table and applied by a join that keeps frequent
 labels out of the way, so neither path needs the labels of a large column, or
 the rows of a frequent label, in one place.
@@ -25,7 +25,6 @@ MAX_INDEXER_LABELS = 1_000
 HOT_SHARE = 1000
 SALTS = 1024
 UNSEEN = -1
-MAX_CLASSES = 100  # the forest's own bound on classes
 LABEL_SCHEMA = "column string, label string, idx bigint"
 
 
@@ -87,10 +86,10 @@ class CategoryEncoding:
         return self._index(df, names) if names else df
 
     def _lookup(self, df: DataFrame, column: str) -> DataFrame:
-        """By a broadcast of the labels; ``max_in_memory`` bounded their number at fit time."""
+        """By a join with the labels; whether they are broadcast is decided by their size in bytes."""
         rows = list(enumerate(self.labels[column]))
         table = df.sparkSession.createDataFrame(rows, "_idx bigint, _label string")
-        joined = df.join(F.broadcast(table), category(column) == F.col("_label"), "left")
+        joined = df.join(table, category(column) == F.col("_label"), "left")
         index = F.coalesce("_idx", F.lit(UNSEEN).cast("bigint"))
         return joined.withColumn(f"{column}_encoded", index).drop("_idx", "_label")
 
@@ -182,7 +181,7 @@ def _sorted_labels(pairs: list, columns: list[str]) -> dict[str, list[str]]:
 
 
 def fit_segment_labels(df: DataFrame, column: str = "segment") -> list[str]:
-    """The sorted class labels; more classes than a forest takes are an error."""
+    """The sorted class labels, however many: a forest holds a count for each class anyway."""
     fitted = fit_encoding(df.filter(F.col(column).isNotNull()), [column])
     return _class_labels(fitted, column)
 
@@ -196,16 +195,15 @@ def fit_encoding_and_segments(df: DataFrame, column: str = "segment") -> tuple[C
 
 
 def _class_labels(fitted: CategoryEncoding, column: str) -> list[str]:
-    labels = fitted.labels.get(column)
-    if labels is None or len(labels) > MAX_CLASSES:
-        raise ValueError(f"{column} has more than {MAX_CLASSES} different values")
-    return labels
+    if column in fitted.labels:
+        return fitted.labels[column]
+    return [row["label"] for row in fitted.tables[column].orderBy("idx").select("label").collect()]
 
 
-def encode_segment(df: DataFrame, labels: list[str], column: str = "segment") -> DataFrame:
-    """Add ``segment_label``; a missing or unknown segment stops the job."""
+def encode_segment(df: DataFrame, labels: list[str], column: str = "segment", skip: bool = False) -> DataFrame:
+    """Add ``segment_label``; a missing or unknown segment stops the job, or its row is left out with ``skip``."""
     model = StringIndexerModel.from_labels(
-        labels, inputCol=column, outputCol="segment_label", handleInvalid="error"
+        labels, inputCol=column, outputCol="segment_label", handleInvalid="skip" if skip else "error"
     )
     return model.transform(df)
 

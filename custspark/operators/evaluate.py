@@ -16,8 +16,9 @@ def mean_absolute_error(label: Column, prediction: Column) -> Column:
 
 
 def r2(label: Column, prediction: Column) -> Column:
-    """1 - residual / total sum of squares; for a constant label 1 if all is right, else 0."""
-    label, prediction = label.cast("double"), prediction.cast("double")
+    """1 - residual / total sum of squares, over rows with both; for a constant label 1 if all is right, else 0."""
+    both = label.isNotNull() & prediction.isNotNull()
+    label, prediction = F.when(both, label.cast("double")), F.when(both, prediction.cast("double"))
     residual = F.avg(F.pow(label - prediction, F.lit(2.0)))
     total = F.var_pop(label)
     constant = F.when(residual == 0, F.lit(1.0)).otherwise(F.lit(0.0))

@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custspark.functions.churn import is_at_risk, risk_band
+from custspark.functions.missing import nan_to_null
 from custspark.schema import HIGH_VALUE_SEGMENT, KEY
 
 
-def kpi_summary(df: DataFrame) -> DataFrame:
-    """All KPI cards in one pass over the data."""
-    return df.agg(
+def kpi_summary(df: DataFrame, total_columns: int | None = None) -> DataFrame:
+    """All KPI cards in one pass over the data; NaN counts as missing.
+
+    ``total_columns`` is the table's number of columns where ``df`` has only those that are read.
+    """
+    columns = len(df.columns) if total_columns is None else total_columns
+    return nan_to_null(df).agg(
         F.count(F.lit(1)).alias("total_customers"),
-        F.lit(len(df.columns)).cast("bigint").alias("total_columns"),
+        F.lit(columns).cast("bigint").alias("total_columns"),
         F.avg("customer_lifetime_value").alias("avg_lifetime_value"),
         (F.avg("churn_probability") * 100).alias("avg_churn_percent"),
         F.count_if(F.col("segment") == HIGH_VALUE_SEGMENT).alias("high_value_customers"),
@@ -35,8 +40,8 @@ def row_count(df: DataFrame, name: str) -> DataFrame:
 
 
 def mean_by_segment(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Mean per segment in segment order; rows without a segment belong to none."""
-    return df.filter(F.col("segment").isNotNull()).groupBy("segment").agg(F.avg(column).alias(name)).orderBy("segment")
+    """Mean per segment in segment order; rows without a segment belong to none, NaN is missing."""
+    return nan_to_null(df.select("segment", column)).filter(F.col("segment").isNotNull()).groupBy("segment").agg(F.avg(column).alias(name)).orderBy("segment")
 
 
 def segment_distribution(df: DataFrame) -> DataFrame:
@@ -76,7 +81,7 @@ def _round_width(rough: Column) -> Column:
 
 
 def histogram(df: DataFrame, column: str, max_bins: int = 50, round_width: bool = False) -> DataFrame:
-    """Counts of ``column`` in bins of one width; empty bins are left out.
+    """Counts of ``column`` in bins of one width, empty ones included; NaN and infinite values are in none.
 
     By default ``max_bins`` equal bins between the least and the greatest value,
     the last one closed. With ``round_width`` the bins have a round width of at
@@ -85,21 +90,31 @@ def histogram(df: DataFrame, column: str, max_bins: int = 50, round_width: bool
     is read twice and only bin counts are shuffled.
     """
     values = df.select(F.col(column).cast("double").alias("value")).filter(
-        F.col("value").isNotNull() & ~F.isnan("value")
+        F.abs("value") < float("inf")  # neither missing nor NaN, which is above all numbers
     )
     spread = values.agg(F.min("value").alias("low"), F.max("value").alias("high")).withColumn(
         "rough", F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / float(max_bins))
     )
     width = F.coalesce(_round_width(F.col("rough")) if round_width else F.col("rough"), F.lit(1.0))
     start = F.floor(F.col("low") / F.col("width")) * F.col("width") if round_width else F.col("low")
-    place = spread.withColumn("width", width).select(F.struct(start.alias("start"), "width")).scalar()
+    placed_at = spread.withColumn("width", width).withColumn("start", start)
+    place = placed_at.select(F.struct("start", "width")).scalar()
     placed = values.withColumn("place", place)
     bin_no = F.floor((F.col("value") - F.col("place.start")) / F.col("place.width"))
     if not round_width:
         bin_no = F.least(bin_no, F.lit(max_bins - 1))
     counts = placed.groupBy(bin_no.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n_customers"))
+    # A range is a few dozen rows, whatever the data.
+    last = F.when(F.lit(round_width), F.floor((F.col("high") - F.col("start")) / F.col("width"))).otherwise(
+        F.when(F.col("high") > F.col("low"), F.lit(max_bins - 1)).otherwise(F.lit(0))
+    )
+    bins = placed_at.filter("low is not null").select(
+        F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("bin")
+    )
     return (
-        counts.withColumn("place", place)
+        bins.join(counts, "bin", "left")
+        .withColumn("place", place)
+        .withColumn("n_customers", F.coalesce("n_customers", F.lit(0).cast("bigint")))
         .select(
             "bin",
             (F.col("place.start") + F.col("bin") * F.col("place.width")).alias("bin_start"),

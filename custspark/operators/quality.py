@@ -9,11 +9,11 @@ from custspark.schema import DEFAULTS, DOMAINS, RANGES
 
 
 def _violations(df: DataFrame, ranges: dict, domains: dict) -> dict[str, Column]:
-    """Rule name to condition; a missing value breaks no rule."""
+    """Rule name to condition; a missing value, NaN included, breaks no rule."""
     rules: dict[str, Column] = {}
     for name, (low, high) in ranges.items():
         if name in df.columns:
-            value = F.col(name)
+            value = F.nanvl(name, F.lit(None)) if dict(df.dtypes)[name] in ("double", "float") else F.col(name)
             if low is not None:
                 rules[f"{name}_below_{low}"] = value < low
             if high is not None:

@@ -24,15 +24,18 @@ def score(
     """One row per customer: probabilities, predictions, health score and priority.
 
     One plan without a shuffle; the best engagement of the batch is the only
-    other pass and reads two columns. Known labels of the input, such as its
+    other pass and reads two columns, or all features where rows may be skipped. Known labels of the input, such as its
     own ``churn_probability``, do not reach the result.
     """
     inputs = df.drop(*NOT_NEEDED_FOR_SCORING)
-    if reference_max is None:
-        highest = highest_engagement(with_engagement(nan_to_null(inputs)))
-    else:
-        highest = F.lit(float(reference_max))
     rows = assemble(with_features(inputs, models.encoding), handle_invalid=handle_invalid)
+    if reference_max is not None:
+        highest = F.lit(float(reference_max))
+    elif handle_invalid == "skip":
+        # Only customers that are scored set the scale; which these are depends on all features.
+        highest = highest_engagement(rows)
+    else:
+        highest = highest_engagement(with_engagement(nan_to_null(inputs)))
     predicted = decode_segment(
         models.predict(rows), models.segment_labels, "predicted_segment_label", "predicted_segment"
     ).withColumn("churn_probability", vector_to_array("churn_vector")[1])

@@ -25,14 +25,16 @@ from custspark.session import materialise
 # Features that give the purchase frequency away when it is the label.
 FREQUENCY_TARGET_FEATURES = ["purchase_frequency", "frequency_score"]
 
-# Bounds on the rows of one training task. Every task of a forest's fit sends the
-# statistics of all open nodes, so there should be no more tasks than it takes to
-# use all cores or to keep a task's rows in memory.
+# Bounds on the rows of one training task, and the tasks of a table that needs no more.
+# Every task of a forest's fit sends the statistics of all open nodes, so there should
+# be few. The number follows the rows alone: a forest's samples depend on it, and must
+# not depend on the cluster.
 MIN_ROWS_PER_TASK = 1_000
 MAX_ROWS_PER_TASK = 1_000_000
+USUAL_TASKS = 8
 
-# Up to this size per core, keeping each row's node in every tree beats finding it again.
-NODE_ID_BYTES_PER_CORE = 32 * 1024 * 1024
+# Up to this size per task, keeping each row's node in every tree beats finding it again.
+NODE_ID_BYTES_PER_TASK = 32 * 1024 * 1024
 
 LABELS = ["churn_label", "customer_lifetime_value", "purchase_frequency", "segment_label"]
 
@@ -44,28 +46,29 @@ class ForestParams:
     trees: int = 100
     depth: int = 10
     seed: int = SEED
-    feature_subset: str = "auto"
+    feature_subset: str = "auto"  # the classifiers' features per split
+    regression_subset: str = "auto"  # the regressors'
     max_bins: int = 32
     max_memory_mb: int = 256
     cache_node_ids: bool | None = None  # None: if they are small; the models are the same either way
 
-    def as_arguments(self, rows_per_core: int) -> dict:
-        node_ids = rows_per_core * self.trees * 4
-        cached = node_ids <= NODE_ID_BYTES_PER_CORE if self.cache_node_ids is None else self.cache_node_ids
+    def as_arguments(self, rows_per_task: int, regression: bool = False) -> dict:
+        node_ids = rows_per_task * self.trees * 4
+        cached = node_ids <= NODE_ID_BYTES_PER_TASK if self.cache_node_ids is None else self.cache_node_ids
         return {
             "numTrees": self.trees,
             "maxDepth": self.depth,
             "seed": self.seed,
-            "featureSubsetStrategy": self.feature_subset,
+            "featureSubsetStrategy": self.regression_subset if regression else self.feature_subset,
             "maxBins": self.max_bins,
             "maxMemoryInMB": self.max_memory_mb,
             "cacheNodeIds": cached,
         }
 
 
-# The two forest sizes in use.
+# The two forest sizes in use. The smaller one's regressors see all features at each split.
 LARGE_FORESTS = ForestParams(trees=100, depth=10)
-SMALL_FORESTS = ForestParams(trees=50, depth=8)
+SMALL_FORESTS = ForestParams(trees=50, depth=8, feature_subset="sqrt", regression_subset="all")
 
 
 @dataclass(frozen=True)
@@ -129,9 +132,9 @@ def with_model_vectors(df: DataFrame, scaler: Standardizer, frequency_features:
     return slicer.transform(scaler.transform_vector(df, "features", "scaled_features"))
 
 
-def task_count(rows: int, cores: int) -> int:
-    """How many tasks the fits should have for ``rows`` customers."""
-    return max(1, min(cores, rows // MIN_ROWS_PER_TASK), -(-rows // MAX_ROWS_PER_TASK))
+def task_count(rows: int) -> int:
+    """How many tasks the fits have for ``rows`` customers, on any cluster."""
+    return max(1, min(USUAL_TASKS, rows // MIN_ROWS_PER_TASK), -(-rows // MAX_ROWS_PER_TASK))
 
 
 def prepare(
@@ -144,7 +147,7 @@ def prepare(
     same samples. The split is a folder level: a fit reads training rows only.
     """
     rows = with_features(df, encoding)
-    rows = encode_segment(rows, segment_labels).withColumn("churn_label", churn_label(F.col("churn_probability")))
+    rows = encode_segment(rows, segment_labels, skip=handle_invalid == "skip").withColumn("churn_label", churn_label(F.col("churn_probability")))
     rows = assemble(rows, handle_invalid=handle_invalid).withColumn("is_train", is_train())
     placed = rows.select(KEY, "features", *LABELS, "is_train").repartition(tasks)
     return materialise(placed.sortWithinPartitions("is_train", KEY), "training", partition_by="is_train")
@@ -182,8 +185,8 @@ def train(
     """
     spark = df.sparkSession
     encoding, segment_labels = fit_encoding_and_segments(df)
-    n_rows, cores = df.count(), spark.sparkContext.defaultParallelism
-    tasks = task_count(n_rows, cores)
+    n_rows = df.count()
+    tasks = task_count(n_rows)
     table = prepare(df, encoding, segment_labels, tasks, handle_invalid)
     _check_labels(table)
 
@@ -193,7 +196,8 @@ def train(
     frequency_features = [c for c in FEATURES if c not in left_out]
     rows = with_model_vectors(training, scaler, frequency_features)
 
-    size = params.as_arguments(n_rows // cores)
+    size = params.as_arguments(n_rows // tasks)
+    regression = params.as_arguments(n_rows // tasks, regression=True)
     estimators = {
         "churn": RandomForestClassifier(
             featuresCol="features",
@@ -204,13 +208,13 @@ def train(
             **size,
         ),
         "clv": RandomForestRegressor(
-            featuresCol="features", labelCol="customer_lifetime_value", predictionCol="predicted_clv", **size
+            featuresCol="features", labelCol="customer_lifetime_value", predictionCol="predicted_clv", **regression
         ),
         "frequency": RandomForestRegressor(
             featuresCol="frequency_vector",
             labelCol="purchase_frequency",
             predictionCol="predicted_frequency",
-            **size,
+            **regression,
         ),
         "segment": RandomForestClassifier(
             featuresCol="scaled_features",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from custspark.schema import CUSTOMER_SCHEMA
+from custspark.session import materialise
 
 # Fixed values of the derived table.
 REFERENCE_DATE = "2001-08-02"  # one day after the last order
@@ -24,8 +25,6 @@ REGULAR_ORDERS = 10
 CHURN_HORIZON_DAYS = 730
 NEVER_ORDERED_DAYS = 9999
 
-MAX_BROADCAST_KEYS = 10_000
-
 # Which derived columns need which branch.
 FROM_ORDERS = {
     "segment",
@@ -204,15 +203,17 @@ def customers(
     """
     wanted = set(CUSTOMER_SCHEMA.names if columns is None else columns)
     names = [c for c in CUSTOMER_SCHEMA.names if c in wanted]
-    nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    out = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    out = _table(spark, sf_dir, "customer")
+    if "city" in wanted:
+        nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        out = out.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     orders, events = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "events")
     if first is not None:
         out = out.orderBy("c_name").limit(first)
-        keys = out.select(F.col("c_custkey").alias("key"))
-        if first <= MAX_BROADCAST_KEYS:
-            keys = F.broadcast(keys)
-        orders = orders.join(keys, F.col("o_custkey") == F.col("key"), "left_semi")
+        # Written, so that their sizes are known when the joins are planned: no large table is
+        # shuffled for a few customers, and nothing is broadcast that is not small.
+        keys = materialise(out.select(F.col("c_custkey").alias("key")), "first-keys")
+        orders = materialise(orders.join(keys, F.col("o_custkey") == F.col("key"), "left_semi"), "first-orders")
         events = events.join(keys, F.col("user_id") == F.col("key"), "left_semi")
     if wanted & FROM_ORDERS:
         out = out.join(_order_facts(orders), F.col("c_custkey") == F.col("o_ck"), "left")

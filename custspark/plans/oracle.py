@@ -48,7 +48,7 @@ b as (
     coalesce(datediff('day', o.ld, date '2001-08-02'), 9999) idle,
     coalesce(li.r, 0) r, coalesce(cast(li.clv as double), 0.0) clv, cat.p_type,
     coalesce(se.sc, 0) sc, coalesce(se.ad, 0) ad, coalesce(ev.er, 0) er, ev.cl, ev.pu, ev.vi, ev.n en
-  from customer c join nation n on c_nationkey = n_nationkey
+  from customer c left join nation n on c_nationkey = n_nationkey
     left join o on o.ck = c_custkey left join li on li.ck = c_custkey left join cat on cat.ck = c_custkey
     left join se on se.ck = c_custkey left join ev on ev.ck = c_custkey)
 select c_name customer_id,
@@ -113,9 +113,11 @@ def _encoded(ctes: list[str], lookup: str) -> str:
 
 def _histogram() -> str:
     return _over_customers(
-        """select bin, round(lo + bin * w, 4) bin_start, round(lo + (bin + 1) * w, 4) bin_end, count(*) n_customers
-        from (select lo, w, cast(least(floor((total_spent - lo) / w), 49) as bigint) bin from customers, bounds)
-        group by bin, lo, w""",
+        """select b.bin, round(lo + b.bin * w, 4) bin_start, round(lo + (b.bin + 1) * w, 4) bin_end, count(c.bin) n_customers
+        from bounds, (select unnest(range(50)) bin) b
+          left join (select cast(least(floor((total_spent - lo) / w), 49) as bigint) bin from customers, bounds) c
+          on b.bin = c.bin
+        group by b.bin, lo, w""",
         """bounds as (select min(total_spent) lo,
           case when max(total_spent) = min(total_spent) then 1.0
             else (max(total_spent) - min(total_spent)) / 50.0 end w from customers)""",
@@ -124,9 +126,11 @@ def _histogram() -> str:
 
 def _histogram_round() -> str:
     return _over_customers(
-        """select bin, round(st + bin * w, 4) bin_start, round(st + (bin + 1) * w, 4) bin_end, count(*) n_customers
-        from (select st, w, cast(floor((total_spent - st) / w) as bigint) bin from customers, placed)
-        group by bin, st, w""",
+        """select b.bin, round(st + b.bin * w, 4) bin_start, round(st + (b.bin + 1) * w, 4) bin_end, count(c.bin) n_customers
+        from placed, (select unnest(range(cast(floor((max(total_spent) - min(st)) / min(w)) as bigint) + 1)) bin
+            from customers, placed) b
+          left join (select cast(floor((total_spent - st) / w) as bigint) bin from customers, placed) c on b.bin = c.bin
+        group by b.bin, st, w""",
         "bounds as (select min(total_spent) lo, (max(total_spent) - min(total_spent)) / 50.0 raw from customers)",
         "powers as (select lo, raw, pow(10.0, floor(log10(raw))) p from bounds)",
         """widths as (select lo, case when raw / p <= 2 then 2 * p when raw / p <= 5 then 5 * p else 10 * p end w
@@ -156,22 +160,31 @@ def _assembled() -> str:
     return _over_customers(" union all ".join(parts), _FEATURES)
 
 
-def _violations() -> str:
+def _violations(domains: dict = DOMAINS, source: str = "customers", select: str | None = None) -> str:
     rules = []
     for c, (low, high) in RANGES.items():
         if low is not None:
             rules.append(f"case when {c} < {low} then '{c}_below_{low}' end")
         if high is not None:
             rules.append(f"case when {c} > {high} then '{c}_above_{high}' end")
-    for c, allowed in DOMAINS.items():
+    for c, allowed in domains.items():
         texts = ", ".join(f"'{v}'" for v in allowed)
         rules.append(f"case when {c} not in ({texts}) then '{c}_unknown' end")
     return _over_customers(
-        "select customer_id, violations, violations = '' as is_valid from checked",
-        f"checked as (select customer_id, concat_ws(',', {', '.join(rules)}) violations from customers)",
+        select or "select customer_id, violations, violations = '' as is_valid from checked",
+        f"checked as (select customer_id, concat_ws(',', {', '.join(rules)}) violations from {source})",
     )
 
 
+_GAPS = """(select segment, purchase_frequency,
+    case age % 5 when 0 then null when 1 then null when 2 then 0.3 when 3 then 0.5
+      else churn_probability end::double as churn_probability,
+    case age % 5 when 1 then null when 2 then null else customer_lifetime_value end as customer_lifetime_value
+  from customers)"""
+_ODD_RATES = """(select * replace (case age % 5 when 0 then null when 1 then null when 2 then 1.2 when 3 then 1.0
+    else email_open_rate end as email_open_rate) from customers)"""
+
+
 def _defaults() -> str:
     unknown = [
         "session_count",
@@ -307,5 +320,41 @@ ORACLE: dict[str, str] = {
         )
     ),
     "validate_inputs": _violations(),
+    "validate_missing": _violations({"gender": ["M", "F"]}, _ODD_RATES),
+    "rejected_rows": _violations(
+        {"gender": ["M", "F"]}, _ODD_RATES, "select customer_id, violations from checked where violations <> ''"
+    ),
+    "quality_flags": _over_customers(
+        """select customer_id, concat_ws(',',
+          case when age % 5 = 0 or (age % 5 <> 1 and last_purchase_days = -1) then 'recency_undefined' end,
+          case when purchase_frequency <= -1 then 'frequency_undefined' end,
+          case when age % 5 in (0, 2) or total_spent <= -1 then 'monetary_undefined' end) score_flags from customers"""
+    ),
+    "duplicate_keys": _over_customers(
+        "select customer_id, 2::bigint n_rows from customers where age % 5 = 0"
+    ),
+    "scan_csv_fractions": _over_customers(
+        """select customer_id, age::double age, session_count::double session_count,
+          avg_session_duration + 0.5::double avg_session_duration from customers"""
+    ),
+    "kpi_summary_missing": _over_customers(
+        f"""select count(*) total_customers, 24::bigint total_columns,
+          round(avg(customer_lifetime_value), 4) avg_lifetime_value,
+          round(avg(churn_probability) * 100, 4) avg_churn_percent,
+          count(*) filter (segment = 'High-Value Loyal') high_value_customers,
+          count(*) filter (churn_probability > 0.5) at_risk_customers,
+          round(avg(purchase_frequency), 4) avg_purchase_frequency from {_GAPS}"""
+    ),
+    "means_missing": _over_customers(
+        f"""select segment, round(avg(churn_probability), 9) avg_churn_probability,
+          round(avg(customer_lifetime_value), 4) avg_lifetime_value
+        from {_GAPS} where segment is not null group by segment"""
+    ),
+    "score_contract": _over_customers(
+        """select customer_id, true probability_fits, true class_fits, true priority_fits, true health_fits,
+          true clv_fits, true frequency_fits, true segment_fits from customers"""
+    ),
+    "train_floors": """select model, metric, true as beats_trivial from (values ('churn', 'accuracy'), ('clv', 'r2'),
+        ('clv', 'mae'), ('frequency', 'r2'), ('frequency', 'mae'), ('segment', 'accuracy')) t(model, metric)""",
     "fill_defaults": _defaults(),
 }

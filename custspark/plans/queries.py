@@ -8,23 +8,26 @@ from collections.abc import Callable
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from custspark.functions.churn import churn_label, retention_priority, with_health_score
+from custspark.functions.churn import churn_label, health_score, retention_priority, with_health_score
 from custspark.functions.scores import email_engagement, with_engagement, with_rfm_scores
 from custspark.operators import encoding, evaluate, explore, quality, scaling
 from custspark.operators.features import assemble, project_features, with_features
 from custspark.operators.score import score
 from custspark.operators.split import is_train
-from custspark.operators.train import SMALL_FORESTS, train
+from custspark.operators.train import SMALL_FORESTS, ForestParams, train
 from custspark.plans.customers import customers
-from custspark.schema import CATEGORICALS, DEFAULTS, FEATURES, KEY
+from custspark.schema import CATEGORICALS, CUSTOMER_SCHEMA, DEFAULTS, FEATURES, KEY
 from custspark.session import materialise, shared_folder
 from custspark.sources.csv import read_customers_csv, write_customers_csv
-from custspark.sources.tables import create_table, key_report, load_table, save_table
+from custspark.sources.tables import create_table, duplicate_keys, key_report, load_table, save_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 RFM_INPUTS = ["last_purchase_days", "purchase_frequency", "total_spent"]
+WHOLE_NUMBERS = ["age", "session_count", "avg_session_duration"]
+KPI_INPUTS = ["segment", "customer_lifetime_value", "churn_probability", "purchase_frequency"]
 ENGAGEMENT_INPUTS = ["session_count", "avg_session_duration", "email_open_rate", "click_through_rate"]
 
 
@@ -47,7 +50,9 @@ def table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "table")
     create_table(spark, name, path)
     save_table(customers(spark, sf_dir), name, path)
-    return load_table(spark, name)
+    rows = load_table(spark, name)
+    spark.sql(f"DROP TABLE {name}")  # the name goes; the rows stay in the folder
+    return rows
 
 
 def key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +116,7 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kpi_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(
-        explore.kpi_summary(customers(spark, sf_dir)),
+        explore.kpi_summary(customers(spark, sf_dir, KPI_INPUTS), len(CUSTOMER_SCHEMA.names)),
         4,
         "avg_lifetime_value",
         "avg_churn_percent",
@@ -270,6 +275,129 @@ def fill_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.fill_defaults(rows.withColumns({c: F.when(known, F.col(c)) for c in unknown}))
 
 
+def scan_csv_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-number columns with fractions, kept."""
+    path = shared_folder(spark, "csv")
+    rows = customers(spark, sf_dir, [KEY, *WHOLE_NUMBERS])
+    halves = rows.withColumn("avg_session_duration", F.col("avg_session_duration") + F.lit(0.5))
+    write_customers_csv(halves, path)
+    required = T.StructType([f for f in CUSTOMER_SCHEMA if f.name in rows.columns])
+    return read_customers_csv(spark, path, required, fractions="keep")
+
+
+def _by_age(cases: dict[int, Column | None], usual: Column) -> Column:
+    """A value by age modulo five, to set gaps and edge values by a rule."""
+    picked = F.when(F.lit(False), usual)
+    for rest, value in cases.items():
+        picked = picked.when(F.col("age") % 5 == rest, F.lit(None) if value is None else value)
+    return picked.otherwise(usual)
+
+
+def _with_gaps(rows: DataFrame) -> DataFrame:
+    """Churn and lifetime value with NaN, NULL and threshold values."""
+    nan = F.lit(float("nan"))
+    churn = _by_age({0: nan, 1: None, 2: F.lit(0.3), 3: F.lit(0.5)}, F.col("churn_probability"))
+    clv = _by_age({1: nan, 2: None}, F.col("customer_lifetime_value"))
+    return rows.withColumns({"churn_probability": churn, "customer_lifetime_value": clv})
+
+
+def kpi_summary_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_gaps(customers(spark, sf_dir, [*KPI_INPUTS, "age"])).drop("age")
+    summary = explore.kpi_summary(rows, len(CUSTOMER_SCHEMA.names))
+    return _rounded(summary, 4, "avg_lifetime_value", "avg_churn_percent", "avg_purchase_frequency")
+
+
+def means_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_gaps(customers(spark, sf_dir, [*KPI_INPUTS, "age"]))
+    churn = explore.mean_by_segment(rows, "churn_probability", "avg_churn_probability")
+    clv = explore.mean_by_segment(rows, "customer_lifetime_value", "avg_lifetime_value")
+    return _rounded(_rounded(churn.join(clv, "segment"), 9, "avg_churn_probability"), 4, "avg_lifetime_value")
+
+
+SOME_VALID = {"gender": ["M", "F"]}
+
+
+def _odd_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nan = F.lit(float("nan"))
+    rate = _by_age({0: nan, 1: None, 2: F.lit(1.2), 3: F.lit(1.0)}, F.col("email_open_rate"))
+    return customers(spark, sf_dir).withColumn("email_open_rate", rate)
+
+
+def validate_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = quality.with_violations(_odd_rates(spark, sf_dir), domains=SOME_VALID)
+    return checked.select(KEY, F.array_join("violations", ",").alias("violations"), "is_valid")
+
+
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rejected = quality.split_valid(_odd_rates(spark, sf_dir), domains=SOME_VALID)
+    return rejected.select(KEY, F.array_join("violations", ",").alias("violations"))
+
+
+def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = customers(spark, sf_dir, [KEY, "age", *RFM_INPUTS]).withColumns(
+        {
+            "last_purchase_days": _by_age({0: F.lit(-1).cast("bigint"), 1: None}, F.col("last_purchase_days")),
+            "total_spent": _by_age({0: F.lit(-2.0), 2: F.lit(-1.0)}, F.col("total_spent")),
+        }
+    )
+    flagged = quality.with_quality_flags(rows)
+    return flagged.select(KEY, F.array_join("score_flags", ",").alias("score_flags"))
+
+
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of some ages are there twice."""
+    rows = customers(spark, sf_dir, [KEY, "age"])
+    return duplicate_keys(rows.union(rows.filter(F.col("age") % 5 == 0)))
+
+
+FEW_TREES = ForestParams(trees=8, depth=5)
+
+
+def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each customer's scores agree with each other, with the formulas and with the labels' range."""
+    rows = materialise(customers(spark, sf_dir), "customers")
+    models, _ = train(rows, FEW_TREES)
+    inputs = ["email_open_rate", "click_through_rate", "nps_score"]
+    best = rows.agg(F.max(F.col("email_open_rate") * F.col("click_through_rate"))).scalar()
+    low, high = (rows.agg(f("customer_lifetime_value")).scalar() for f in (F.min, F.max))
+    least, most = (rows.agg(f("purchase_frequency")).scalar() for f in (F.min, F.max))
+    p, mail = F.col("churn_probability"), F.col("email_open_rate") * F.col("click_through_rate")
+    scored = score(rows, models).join(rows.select(KEY, *inputs), KEY)
+    return scored.select(
+        KEY,
+        p.between(0, 1).alias("probability_fits"),
+        (F.col("will_churn") == (p > 0.5).cast("int")).alias("class_fits"),
+        (F.col("retention_priority") == retention_priority(p)).alias("priority_fits"),
+        (F.abs(F.col("customer_health_score") - health_score(p, mail, best, F.col("nps_score"))) < 1e-9).alias("health_fits"),
+        F.col("predicted_clv").between(low, high).alias("clv_fits"),
+        F.col("predicted_frequency").between(least, most).alias("frequency_fits"),
+        F.col("predicted_segment").isin(models.segment_labels).alias("segment_fits"),
+    )
+
+
+def train_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each model beats the prediction that knows the labels' distribution alone."""
+    rows = materialise(customers(spark, sf_dir), "customers")
+    _, metrics = train(rows, FEW_TREES)
+    test = rows.filter(~is_train())
+    share = F.greatest(F.avg((F.col("churn_probability") > 0.5).cast("int")), F.avg((F.col("churn_probability") <= 0.5).cast("int")))
+    churn = test.agg(share).scalar()
+    segment = test.groupBy("segment").count().agg(F.max("count") / F.sum("count")).scalar()
+    clv, frequency = (
+        test.agg(F.avg(F.abs(F.col(c) - rows.agg(F.avg(c)).scalar()))).scalar()
+        for c in ("customer_lifetime_value", "purchase_frequency")
+    )
+    floor = (
+        F.when(F.col("model") == "churn", churn)
+        .when(F.col("model") == "segment", segment)
+        .when(F.col("metric") == "r2", F.lit(0.0))
+        .when(F.col("model") == "clv", clv)
+        .otherwise(frequency)
+    )
+    better = F.when(F.col("metric") == "mae", F.col("value") < floor).otherwise(F.col("value") > floor)
+    return metrics.select("model", "metric", better.alias("beats_trivial"))
+
+
 QUERIES: dict[str, Query] = {
     "customer_table": customer_table,
     "scan_csv": scan_csv,
@@ -308,4 +436,13 @@ QUERIES: dict[str, Query] = {
     "eval_regression": eval_regression,
     "validate_inputs": validate_inputs,
     "fill_defaults": fill_defaults,
+    "scan_csv_fractions": scan_csv_fractions,
+    "kpi_summary_missing": kpi_summary_missing,
+    "means_missing": means_missing,
+    "validate_missing": validate_missing,
+    "rejected_rows": rejected_rows,
+    "quality_flags": quality_flags,
+    "duplicate_keys": repeated_keys,
+    "score_contract": score_contract,
+    "train_floors": train_floors,
 }

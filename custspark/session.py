@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,22 +26,15 @@ def local_session(cpus: int | str = 8, app: str = "custspark", **conf: str) -> S
     return spark
 
 
-@lru_cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"custspark-{application}-")
-
-
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local session without that setting gets a temporary folder: there
-    driver and executors are one process. On a cluster the setting is required.
+    Without that setting it is below the context's checkpoint folder, or else below the
+    warehouse, which the executors must reach as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = _local_folder(spark.sparkContext.applicationId)
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

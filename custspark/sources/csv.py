@@ -20,11 +20,13 @@ def _whole_number(text: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), F.when(value == F.floor(value), value.try_cast("bigint")))
 
 
-def _typed(name: str, data_type: T.DataType, on_bad_cell: str) -> Column:
+def _typed(name: str, data_type: T.DataType, on_bad_cell: str, fractions: str) -> Column:
     text = text_or_null(F.col(f"`{name}`"))
     if isinstance(data_type, T.StringType):
         return text.alias(name)
     trimmed = F.trim(text)
+    if fractions == "keep" and isinstance(data_type, T.LongType):
+        data_type = T.DoubleType()
     if isinstance(data_type, T.LongType):
         value = _whole_number(trimmed)
     else:
@@ -57,6 +59,7 @@ def read_customers_csv(
     path: str | list[str],
     required: T.StructType = CUSTOMER_SCHEMA,
     on_bad_cell: str = "fail",
+    fractions: str = "fail",
     multi_line: bool = False,
 ) -> DataFrame:
     """Customers from one or more CSV files with a header row.
@@ -65,13 +68,17 @@ def read_customers_csv(
     by the customer schema (no inference pass over the data), and cells that
     stand for "missing" become NULL. A cell that is no number where one is
     required stops the job that reads it, or becomes NULL with
-    ``on_bad_cell="null"``; a line with too many cells always does. Further
+    ``on_bad_cell="null"``; a line with too many cells always does. A fraction in a
+    whole-number column is such a cell, unless ``fractions="keep"`` reads all those
+    columns as doubles. Further
     columns are kept behind the known ones as text. Files with another header
     than the first are refused. ``multi_line`` allows line breaks inside
     quotes, at the price of one task per file.
     """
     if on_bad_cell not in ("fail", "null"):
         raise ValueError("on_bad_cell is 'fail' or 'null'")
+    if fractions not in ("fail", "keep"):
+        raise ValueError("fractions is 'fail' or 'keep'")
     options = {"header": True, "multiLine": multi_line, **FORMAT}
     try:
         header = spark.read.csv(path, inferSchema=False, **options).schema.names
@@ -89,7 +96,7 @@ def read_customers_csv(
     if missing:
         raise LoadError(f"cannot load customers from {path}: columns missing: {', '.join(missing)}")
     rows = _complete_lines(raw, header).toDF(*names, MALFORMED)
-    known = [_typed(f.name, f.dataType, on_bad_cell) for f in required]
+    known = [_typed(f.name, f.dataType, on_bad_cell, fractions) for f in required]
     further = [text_or_null(F.col(f"`{c}`")).alias(c) for c in names if c not in required.names]
     return rows.select(*known, *further)
 

@@ -54,12 +54,15 @@ def test_histogram_counts_every_value_once(spark, round_width, values):
 
 
 def test_histogram_bounds(spark):
-    df = spark.createDataFrame([(float(v),) for v in range(101)] + [(float("nan"),), (None,)], "x double")
+    odd = [(float("nan"),), (None,), (float("inf"),), (float("-inf"),)]
+    df = spark.createDataFrame([(float(v),) for v in range(101)] + odd, "x double")
     bins = explore.histogram(df, "x", 50).collect()
     assert [b["n_customers"] for b in bins] == [2] * 49 + [3]
     assert (bins[0]["bin_start"], bins[-1]["bin_end"]) == (0.0, 100.0)
     rounded = explore.histogram(df.filter("x > 2"), "x", 30, round_width=True).collect()
     assert [(b["bin_start"], b["n_customers"]) for b in rounded[:2]] == [(0.0, 2), (5.0, 5)]
+    gaps = explore.histogram(df.filter("x in (0, 100)"), "x", 10).collect()
+    assert [b["n_customers"] for b in gaps] == [1, 0, 0, 0, 0, 0, 0, 0, 0, 1]
     flat = explore.histogram(df.filter("x = 7"), "x").collect()
     assert [tuple(b) for b in flat] == [(0, 7.0, 8.0, 1)]
 

@@ -118,8 +118,31 @@ def test_unusable_labels(spark, customer_rows):
 
 
 def test_task_count():
-    assert [task_count(n, 8) for n in (0, 999, 5000, 10**5, 10**7, 10**10)] == [1, 1, 5, 8, 10, 10**4]
-    assert task_count(10**7, 4000) == 4000
+    assert [task_count(n) for n in (0, 999, 5000, 10**5, 10**7, 10**10)] == [1, 1, 5, 8, 10, 10**4]
+
+
+def test_features_per_split_by_kind_of_model():
+    assert SMALL_FORESTS.as_arguments(1)["featureSubsetStrategy"] == "sqrt"
+    assert SMALL_FORESTS.as_arguments(1, regression=True)["featureSubsetStrategy"] == "all"
+    assert ForestParams().as_arguments(1, regression=True)["featureSubsetStrategy"] == "auto"
+
+
+def test_many_segments_train_and_score(customer_rows):
+    many = customer_rows.withColumn("segment", F.concat(F.lit("s"), F.pmod(F.xxhash64(KEY), F.lit(150))))
+    models, metrics = train(many, ForestParams(trees=2, depth=3))
+    assert len(models.segment_labels) == 150 and metrics.count() == 6
+    assert score(many, models).count() == many.count()
+
+
+def test_skipped_rows_set_no_scale_and_missing_segments_can_be_skipped(customer_rows, trained):
+    best = customer_rows.agg(F.max(F.col("email_open_rate") * F.col("click_through_rate"))).first()[0]
+    usual = rows_of(score(customer_rows, trained[0], reference_max=best))
+    odd = customer_rows.limit(1).withColumns(
+        {KEY: F.lit("odd"), "email_open_rate": F.lit(9.0), "click_through_rate": F.lit(9.0), "age": F.lit(None).cast("bigint")}
+    )
+    assert rows_of(score(customer_rows.union(odd), trained[0], handle_invalid="skip")) == usual
+    gaps = customer_rows.withColumn("segment", F.when(F.col("age") > 20, F.col("segment")))
+    assert train(gaps, QUICK, handle_invalid="skip")[1].count() == 6
 
 
 def test_node_ids_are_cached_while_small():

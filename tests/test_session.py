@@ -1,16 +1,16 @@
 from types import SimpleNamespace
 
-import pytest
 from pyspark.sql import functions as F
 
 from custspark.session import materialise, shared_folder
 
 
-def session(master, folder=None):
+def session(folder=None, context_folder=None):
     """What ``shared_folder`` looks at of a session."""
+    settings = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": "hdfs:///warehouse"}
     return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default: folder or default),
-        sparkContext=SimpleNamespace(master=master, applicationId="app-1"),
+        conf=SimpleNamespace(get=lambda key, default=None: settings[key] or default),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: context_folder),
     )
 
 
@@ -20,12 +20,10 @@ def test_folders_are_new_and_below_the_shared_one(spark):
     assert one != two and one.startswith(f"{base}/x-") and two.startswith(f"{base}/x-")
 
 
-def test_only_a_local_session_may_lack_a_shared_folder():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_folder(session("yarn"), "x")
-    assert shared_folder(session("yarn", "hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
-    one, two = (shared_folder(session("local[2]"), "x").rpartition("/")[0] for _ in range(2))
-    assert one == two
+def test_folders_are_always_shared_ones():
+    assert shared_folder(session("hdfs:///shared/", "hdfs:///other"), "x").startswith("hdfs:///shared/x-")
+    assert shared_folder(session(None, "hdfs:///other"), "x").startswith("hdfs:///other/x-")
+    assert shared_folder(session(), "x").startswith("hdfs:///warehouse/_intermediate/x-")
 
 
 def test_materialise_keeps_rows_schema_and_empty_tables(spark):
