@@ -138,7 +138,79 @@ QUERIES = {
     "op10_consistent_hash_ring": op10_consistent_hash_ring,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE: dict[str, str] = {
+    "op1_fm_index": rf"""
+        with d as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+            from documents
+        ),
+        i as (
+            select item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+            from benchmark
+        ),
+        p as (select item_id, words, unnest(range(1, greatest(len(words) - 8, 2))) as pos from i where len(words) > 0),
+        w as (select distinct item_id, array_to_string(words[pos:pos + 9], ' ') as win, len(words[pos:pos + 9]) as n from p),
+        sizes as (select distinct n from w),
+        o as (select doc_id, words, unnest(range(1, len(words) + 1)) as pos from d),
+        found as (
+            select doc_id, pos, n, item_id
+            from (select doc_id, pos, n, array_to_string(words[pos:pos + n - 1], ' ') as win
+                from o, sizes where pos + n - 1 <= len(words)) join w using (win, n)
+        ),
+        hit as (
+            select doc_id, count(distinct pos + k) as n_hit
+            from (select distinct doc_id, pos, n, unnest(range(n)) as k from found) group by doc_id
+        ),
+        items as (
+            select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+            from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id
+        )
+        select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+            sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (doc_id) left join items using (doc_id)
+    """,
+    "op5_debruijn_compaction": r"""
+        with d as (
+            select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+        ),
+        s as (select doc_id, words, unnest(range(1, len(words) - 48)) as pos from d where len(words) >= 50),
+        w as (select doc_id, pos, array_to_string(words[pos:pos + 49], ' ') as win from s),
+        f as (select doc_id, pos, min(doc_id) over (partition by win) as first from w),
+        gone as (select distinct doc_id, pos + k as pos from (select doc_id, pos, unnest(range(50)) as k from f where first < doc_id)),
+        o as (select doc_id, words, unnest(range(1, len(words) + 1)) as pos from d),
+        kept as (
+            select o.doc_id, string_agg(words[o.pos], ' ' order by o.pos) filter (g.pos is null) as txt, count(g.pos) as n
+            from o left join gone g on o.doc_id = g.doc_id and o.pos = g.pos group by o.doc_id
+        )
+        select doc_id, cast(len(words) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(txt, '')) as kept_sha256
+        from d left join kept using (doc_id)
+    """,
+    "op7_adaptive_jaccard": rf"""
+        with recursive d as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as words
+            from documents
+        ),
+        s as (
+            select distinct doc_id, array_to_string(words[pos:pos + 3], ' ') as shingle
+            from (select doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) as pos from d where len(words) > 0)
+        ),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        shared as (
+            select a.doc_id as a, b.doc_id as b, count(*) as met
+            from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2
+        ),
+        links as (
+            select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b
+            where 100 * met >= 85 * (x.n + y.n - met)
+        ),
+        reach as (select doc_id, doc_id as other from d union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+        select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(other) as component_id
+        from d join reach on reach.doc_id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
+    """,
     "op4_warc_segments": """
         with p as (select page_id, coalesce(html, '') as html from pages),
         d as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha1(html) as payload_digest from p),
