@@ -30,8 +30,8 @@ class CustomerAnalytics:
     def create_table(self) -> None:
         tables.create_table(self.spark, self.table)
 
-    def save(self, df: DataFrame) -> None:
-        tables.save_table(df, self.table)
+    def save(self, df: DataFrame, check_key: bool = False) -> None:
+        tables.save_table(df, self.table, check_key=check_key)
 
     def load(self) -> DataFrame:
         return tables.load_table(self.spark, self.table)
@@ -53,6 +53,11 @@ class CustomerAnalytics:
             raise RuntimeError("train or load models first")
         return score(self.load() if df is None else df, self.models, **options)
 
+    def score_inputs(self, df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+        """Scores of new inputs, completed by the defaults and checked; and the rejected ones with their reasons."""
+        valid, rejected = quality.split_valid(quality.fill_defaults(df))
+        return self.score(valid, **options), rejected
+
     def save_models(self, path: str) -> None:
         if self.models is None:
             raise RuntimeError("train or load models first")

@@ -37,12 +37,16 @@ def label_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def rank_labels(labels: DataFrame) -> DataFrame:
     """Add ``idx`` to distinct ``label``s: the rank in sort order, without one task seeing all.
 
-    Labels are range-partitioned; a label's rank is its place in its partition
-    plus the sizes of the partitions before. The partitions are written first,
-    because their sampled bounds may differ in another run of the same plan.
+    Labels are range-partitioned and numbered in order; a label's rank is its
+    number in its partition plus the sizes of the partitions before. The numbers
+    are written, because the ranges' sampled bounds may differ in another run of
+    the same plan; nothing is shuffled a second time.
     """
-    placed = materialise(
-        labels.repartitionByRange("label").withColumn("part", F.spark_partition_id()), "label-ranges"
+    ordered = labels.repartitionByRange("label").sortWithinPartitions("label")
+    numbered = materialise(ordered.withColumn("number", F.monotonically_increasing_id()), "label-ranges")
+    # The number holds the partition in its upper bits, and the place in it in the lower 33.
+    placed = numbered.withColumns(
+        {"part": F.shiftright("number", 33), "inside": F.col("number").bitwiseAND((1 << 33) - 1)}
     )
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition, so both the window and the broadcast have at most as many rows as partitions.
@@ -51,12 +55,10 @@ def rank_labels(labels: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("size"))
         .select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     )
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("label"))
     return (
-        placed.withColumn("inside", inside)
-        .join(F.broadcast(offsets), "part")
-        .withColumn("idx", F.col("offset") + F.col("inside") - 1)
-        .drop("part", "inside", "offset")
+        placed.join(F.broadcast(offsets), "part")
+        .withColumn("idx", F.col("offset") + F.col("inside"))
+        .drop("number", "part", "inside", "offset")
     )
 
 

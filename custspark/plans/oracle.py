@@ -337,6 +337,12 @@ ORACLE: dict[str, str] = {
         """select customer_id, age::double age, session_count::double session_count,
           avg_session_duration + 0.5::double avg_session_duration from customers"""
     ),
+    "health_score_fixed_max": _over_customers(
+        """select customer_id, round(((1 - churn_probability) * 0.4::double
+          + email_engagement / (0.5::double + 0.01::double) * 0.3::double
+          + (nps_score + 100) / 200.0::double * 0.3::double) * 100, 6) customer_health_score from features""",
+        _FEATURES,
+    ),
     "kpi_summary_missing": _over_customers(
         f"""select count(*) total_customers, 24::bigint total_columns,
           round(avg(customer_lifetime_value), 4) avg_lifetime_value,

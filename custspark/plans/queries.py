@@ -114,6 +114,14 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows.select(KEY, "customer_health_score"), 6, "customer_health_score")
 
 
+def health_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The health score on a fixed scale, independent of the batch."""
+    columns = [KEY, "churn_probability", "nps_score", "email_open_rate", "click_through_rate"]
+    mail = email_engagement(F.col("email_open_rate"), F.col("click_through_rate"))
+    rows = customers(spark, sf_dir, columns).withColumn("email_engagement", mail)
+    return _rounded(with_health_score(rows, reference_max=0.5).select(KEY, "customer_health_score"), 6, "customer_health_score")
+
+
 def kpi_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(
         explore.kpi_summary(customers(spark, sf_dir, KPI_INPUTS), len(CUSTOMER_SCHEMA.names)),
@@ -436,6 +444,7 @@ QUERIES: dict[str, Query] = {
     "eval_regression": eval_regression,
     "validate_inputs": validate_inputs,
     "fill_defaults": fill_defaults,
+    "health_score_fixed_max": health_fixed,
     "scan_csv_fractions": scan_csv_fractions,
     "kpi_summary_missing": kpi_summary_missing,
     "means_missing": means_missing,

@@ -19,8 +19,15 @@ def create_table(spark: SparkSession, name: str = DEFAULT_TABLE, path: str | Non
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{location}")
 
 
-def save_table(df: DataFrame, name: str = DEFAULT_TABLE, path: str | None = None) -> None:
-    """Replace the table, schema included; ``df`` may be made from the table itself."""
+def save_table(df: DataFrame, name: str = DEFAULT_TABLE, path: str | None = None, check_key: bool = False) -> None:
+    """Replace the table, schema included; ``df`` may be made from the table itself.
+
+    With ``check_key`` rows without a key, or with one that is there twice, stop it before anything is replaced.
+    """
+    if check_key:
+        report = key_report(df).first()
+        if report["n_missing_keys"] or report["n_duplicate_keys"]:
+            raise ValueError(f"{report['n_missing_keys']} rows without a key, {report['n_duplicate_keys']} keys repeated")
     try:
         _write(df, name, path)
     except AnalysisException as error:

@@ -175,5 +175,10 @@ def test_whole_flow(spark, customer_rows, tmp_path):
     assert rows_of(other.score()) == scored
     assert {name: df.count() for name, df in app.report().items()}["preview"] == 10
     assert app.features(app.load()).columns[-1] == "email_engagement"
+    with pytest.raises(ValueError, match="1 keys repeated"):
+        app.save(customer_rows.union(customer_rows.limit(1)), check_key=True)
+    form = edge_rows(spark, [{"age": None, "city": "Dhaka"}, {"age": 17}]).select(*SCORING_COLUMNS)
+    scores, refused = app.score_inputs(form)
+    assert (scores.count(), refused.count()) == (1, 1)
     valid, rejected = app.validate(app.load())
     assert valid.count() + rejected.count() == customer_rows.count()
