@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
@@ -48,6 +51,26 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on from task to task, and share an executor with its heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep theirs
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The same function on batches, with memory given back at a task's end."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from batches(rows)
+        finally:
+            release()
+
+    return run
+
+
 def raw_texts(texts: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
@@ -68,10 +91,12 @@ def extend(
     clashing with the new ones.
     """
     prepare(docs.sparkSession)
+    # A text that is kept crosses to Python once, in its row.
+    inside = text_col in keep and docs.schema[text_col].dataType == T.StringType()
     packed = docs.select(
         F.struct(*[column(docs, c) for c in keep]).alias("row") if keep else F.lit(0).alias("row"),
         column(docs, id_col).alias("id"),
-        column(docs, text_col).cast("string").alias("text"),
+        *([] if inside else [column(docs, text_col).cast("string").alias("text")]),
     )
     added = T._parse_datatype_string(fields)
     schema = T.StructType([packed.schema["row"], *added.fields])
@@ -81,10 +106,11 @@ def extend(
         measure = start()
         for batch in batches:
             if batch.num_rows:
-                arrays = measure(batch.column("id"), batch.column("text"))
+                texts = batch.column("row").field(text_col) if inside else batch.column("text")
+                arrays = measure(batch.column("id"), texts)
                 yield pa.RecordBatch.from_arrays([batch.column("row"), *arrays], names=names)
 
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(released(run), schema)
 
 
 def emit(
@@ -106,7 +132,7 @@ def emit(
                 for arrays in each(batch.column("id"), batch.column("text")):
                     yield pa.RecordBatch.from_pydict(arrays)
 
-    return fed.mapInArrow(run, schema)
+    return fed.mapInArrow(released(run), schema)
 
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

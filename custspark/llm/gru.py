@@ -18,7 +18,7 @@ import numpy as np
 class Shape:
     """Sizes of the model: they bound its memory and what a task sends."""
 
-    words: int = 2048
+    words: int = 1024
     class_words: int = 64
     other_classes: int = 32
     hidden: int = 16
@@ -100,41 +100,50 @@ def windows_of(docs: list[np.ndarray], shape: Shape, start: int) -> Iterator[tup
     at different times; a lane's last window is filled up with owner -1.
     """
     lanes, lengths = lanes_of(docs, shape.lanes)
-    targets = [np.concatenate([docs[i] for i in lane]) for lane in lanes]
-    owners = [np.repeat(np.array(lane), [len(docs[i]) for i in lane]) for lane in lanes]
+    order = [i for lane in lanes for i in lane]
+    sizes = np.array([len(docs[i]) for i in order])
+    # All lanes one behind the other; a lane's window is a slice from its begin on.
+    targets = np.concatenate([docs[i] for i in order]).astype(np.int64)
+    owners = np.repeat(np.array(order), sizes)
+    firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    inputs = np.concatenate([[start], targets[:-1]])
+    inputs[firsts] = start
+    begins = np.zeros(len(targets), bool)
+    begins[firsts] = True
+    lane_begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     for low in range(0, int(lengths[0]), shape.window):
-        live = int((lengths > low).sum())
+        live = int(np.searchsorted(-lengths, -low, "left"))
         span = min(shape.window, int(lengths[0]) - low)
-        y, who = np.zeros((span, live), np.int64), np.full((span, live), -1, np.int64)
-        x, fresh = np.full((span, live), start, np.int64), np.zeros((span, live), bool)
-        for k in range(live):
-            t, o = targets[k], owners[k]
-            n = min(span, len(t) - low)
-            y[:n, k], who[:n, k] = t[low : low + n], o[low : low + n]
-            before = o[low - 1 : low + n - 1] if low else np.concatenate([[-1], o[: n - 1]])
-            fresh[:n, k] = who[:n, k] != before
-            x[:n, k] = t[low - 1 : low + n - 1] if low else np.concatenate([[start], t[: n - 1]])
-        x[fresh] = start
-        yield x, y, fresh, who
+        step = low + np.arange(span)[:, None]
+        real = step < lengths[:live]
+        at = np.where(real, lane_begins[:live] + step, 0)
+        who = np.where(real, owners[at], -1)
+        yield np.where(real, inputs[at], start), np.where(real, targets[at], 0), begins[at] & real, who
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
+#: Logits are cut here before exp: far above what bounded states and trained weights give, and safe in single precision.
+_MOST_LOGIT = np.float32(60)
+
+
+def _exp_sum(x: np.ndarray) -> np.ndarray:
+    """Each row's exps, in place; their sums (as a product, which is the fastest reduction)."""
+    np.minimum(x, _MOST_LOGIT, out=x)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+    return x @ np.ones(x.shape[1], np.float32)
 
 
-def forward(model: Model, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
+def forward(
+    model: Model, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, learn: bool = True
+) -> tuple[np.ndarray, dict]:
     """The states after each input of a window, and what the way back needs."""
     n, k, hid = *x.shape, model.shape.hidden
     fed = model.inputs[x] + model.gates
     states = np.empty((n, k, hid), np.float32)
-    kept = {name: np.empty((n, k, hid), np.float32) for name in ("before", "z", "r", "new", "inner")}
+    kept = {name: np.empty((n, k, hid) if learn else 0, np.float32) for name in ("before", "z", "r", "new", "inner")}
     for t in range(n):
         if fresh[t].any():
             h = np.where(fresh[t][:, None], np.float32(0), h)
@@ -142,8 +151,9 @@ def forward(model: Model, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tu
         gates = _sigmoid(fed[t, :, : 2 * hid] + turned[:, : 2 * hid])
         z, r, inner = gates[:, :hid], gates[:, hid:], turned[:, 2 * hid :]
         new = np.tanh(fed[t, :, 2 * hid :] + r * inner)
-        for name, value in (("before", h), ("z", z), ("r", r), ("new", new), ("inner", inner)):
-            kept[name][t] = value
+        if learn:
+            for name, value in (("before", h), ("z", z), ("r", r), ("new", new), ("inner", inner)):
+                kept[name][t] = value
         h = new + z * (h - new)
         states[t] = h
     return states, kept
@@ -152,14 +162,18 @@ def forward(model: Model, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tu
 def output(model: Model, states: np.ndarray, y: np.ndarray, grad: Model | None) -> tuple[np.ndarray, np.ndarray | None]:
     """log10 of each target's class and word given the state; with `grad`, gradients too."""
     cls = model.class_of(y)
-    p = _softmax(states @ model.class_out + model.class_bias)
+    p = states @ model.class_out
+    p += model.class_bias
     every = np.arange(len(y))
-    logs = np.log10(np.maximum(p[every, cls], 1e-30))
+    logs = np.minimum(p[every, cls], _MOST_LOGIT)
+    sums = _exp_sum(p)
+    logs = logs.astype(np.float64) - np.log(sums)
     back = None
     if grad is not None:
+        p *= (1 / sums)[:, None]
         p[every, cls] -= 1
         grad.class_out += states.T @ p
-        grad.class_bias += p.sum(0)
+        grad.class_bias += np.ones(len(y), np.float32) @ p
         back = p @ model.class_out.T
     size = model.shape.class_words
     order = np.argsort(cls, kind="stable")
@@ -167,15 +181,20 @@ def output(model: Model, states: np.ndarray, y: np.ndarray, grad: Model | None)
     for c in np.flatnonzero(np.diff(edges)).tolist():
         at = order[edges[c] : edges[c + 1]]
         block = slice(c * size, (c + 1) * size)
-        q = _softmax(states[at] @ model.word_out[block].T + model.word_bias[block])
-        mine, own = np.arange(len(at)), y[at] - c * size
-        logs[at] += np.log10(np.maximum(q[mine, own], 1e-30))
+        mine = states[at]
+        q = mine @ model.word_out[block].T
+        q += model.word_bias[block]
+        rows, own = every[: len(at)], y[at] - c * size
+        inside = np.minimum(q[rows, own], _MOST_LOGIT)
+        sums = _exp_sum(q)
+        logs[at] += inside - np.log(sums)
         if grad is not None:
-            q[mine, own] -= 1
-            grad.word_out[block] += q.T @ states[at]
-            grad.word_bias[block] += q.sum(0)
+            q *= (1 / sums)[:, None]
+            q[rows, own] -= 1
+            grad.word_out[block] += q.T @ mine
+            grad.word_bias[block] += np.ones(len(at), np.float32) @ q
             back[at] += q @ model.word_out[block]
-    return logs, back
+    return logs / np.log(10), back
 
 
 def backward(model: Model, x: np.ndarray, fresh: np.ndarray, kept: dict, back: np.ndarray, grad: Model) -> None:
@@ -237,7 +256,7 @@ def log10_likelihood(model: Model, docs: list[np.ndarray], start: int) -> np.nda
     h = None
     for x, y, fresh, who in windows_of(docs, model.shape, start):
         h = np.zeros((x.shape[1], model.shape.hidden), np.float32) if h is None else h[: x.shape[1]]
-        states, _ = forward(model, x, fresh, h)
+        states, _ = forward(model, x, fresh, h, learn=False)
         h = states[-1]
         real = who.ravel() >= 0
         logs, _ = output(model, states.reshape(-1, model.shape.hidden)[real], y.ravel()[real], None)

@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custspark.llm.common import ASCII_LOWER, column, prepare, raw_texts, signed
+from custspark.llm.common import ASCII_LOWER, column, prepare, raw_texts, released, signed
 from custspark.llm.gru import Model, Shape, Trainer, log10_likelihood
 from custspark.session import materialise
 
 #: Frequent words known to every task, the bytes such a word may have, and distinct words a task counts before it passes them on.
 FREQUENT, FREQUENT_BYTES, WORDS_AT_ONCE = 1 << 17, 64, 300_000
 #: Tokens that are dealt to the model's lanes at once, and the share of documents of the first round.
-TOKENS_AT_ONCE, FIRST_ROUND = 1_500_000, 16
+TOKENS_AT_ONCE, FIRST_ROUND = 1_500_000, 32
 #: Parameters per row on their way to the average, and partial averages of each such block.
 BLOCK, PARTIAL = 8192, 32
 
@@ -60,12 +61,16 @@ class Lexicon:
     def other_class(self, word: bytes) -> int:
         return zlib.crc32(word[-2:]) % self.shape.other_classes
 
+    def __post_init__(self) -> None:
+        words = list(self.index)
+        outside = [self.model_words + self.other_class(w) for w in words[self.model_words :]]
+        self.model_id = np.array([*range(self.model_words), *outside, 0], np.int64)
+
     def ids(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The model's input ids, and each token's number among frequent words or -1."""
-        get = self.index.get
-        number = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
-        model = number.copy()
-        for at in np.flatnonzero((number < 0) | (number >= self.model_words)).tolist():
+        number = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
+        model = self.model_id[number]
+        for at in np.flatnonzero(number < 0).tolist():
             model[at] = self.model_words + self.other_class(tokens[at])
         return model, number
 
@@ -94,7 +99,7 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield batch_of(counts)
 
     learned = docs.filter(~held_out(column(docs, id_col))).select(column(docs, text_col).cast("string").alias("text"))
-    return learned.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return learned.mapInArrow(released(run), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon_of(counts: DataFrame, shape: Shape, frequent: int = FREQUENT) -> tuple[Lexicon, int, int]:
@@ -182,7 +187,7 @@ def _round(docs: DataFrame, lexicon: object, begin: np.ndarray | None, text_col:
         )
 
     schema = "block int, salt int, tokens bigint, sums binary"
-    parts = docs.select(column(docs, text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    parts = docs.select(column(docs, text_col).cast("string").alias("text")).mapInArrow(released(run), schema)
     some = parts.groupBy("block", "salt").applyInArrow(add, schema)
     blocks = some.groupBy("block").applyInArrow(add, schema).orderBy("block").collect()  # the model's own, fixed size
     if not blocks:
@@ -266,7 +271,7 @@ def score(
             yield from made.to_batches(max_chunksize=2000)
 
     # Stored, so that a row keeps its number from here to the end.
-    stored = materialise(packed.mapInArrow(run, schema), "lm-scores").withColumn("row", F.monotonically_increasing_id())
+    stored = materialise(packed.mapInArrow(released(run), schema), "lm-scores").withColumn("row", F.monotonically_increasing_id())
     rare = counts.select(F.xxhash64("word").alias("word"), "n")
     joined = (
         stored.select("row", F.explode("others").alias("word"))
