@@ -161,13 +161,16 @@ def forward(
 
 def output(model: Model, states: np.ndarray, y: np.ndarray, grad: Model | None) -> tuple[np.ndarray, np.ndarray | None]:
     """log10 of each target's class and word given the state; with `grad`, gradients too."""
+    # In order of the classes, so that each class's states are one slice.
     cls = model.class_of(y)
+    order = np.argsort(cls, kind="stable")
+    states, y, cls = states[order], y[order], cls[order]
     p = states @ model.class_out
     p += model.class_bias
     every = np.arange(len(y))
-    logs = np.minimum(p[every, cls], _MOST_LOGIT)
+    logs = np.minimum(p[every, cls], _MOST_LOGIT).astype(np.float64)
     sums = _exp_sum(p)
-    logs = logs.astype(np.float64) - np.log(sums)
+    logs -= np.log(sums)
     back = None
     if grad is not None:
         p *= (1 / sums)[:, None]
@@ -176,25 +179,28 @@ def output(model: Model, states: np.ndarray, y: np.ndarray, grad: Model | None)
         grad.class_bias += np.ones(len(y), np.float32) @ p
         back = p @ model.class_out.T
     size = model.shape.class_words
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(model.word_classes + 1))
+    edges = np.searchsorted(cls, np.arange(model.word_classes + 1))
     for c in np.flatnonzero(np.diff(edges)).tolist():
-        at = order[edges[c] : edges[c + 1]]
-        block = slice(c * size, (c + 1) * size)
-        mine = states[at]
+        rows, block = slice(edges[c], edges[c + 1]), slice(c * size, (c + 1) * size)
+        mine, own, at = states[rows], y[rows] - c * size, every[: edges[c + 1] - edges[c]]
         q = mine @ model.word_out[block].T
         q += model.word_bias[block]
-        rows, own = every[: len(at)], y[at] - c * size
-        inside = np.minimum(q[rows, own], _MOST_LOGIT)
+        inside = np.minimum(q[at, own], _MOST_LOGIT)
         sums = _exp_sum(q)
-        logs[at] += inside - np.log(sums)
+        logs[rows] += inside - np.log(sums)
         if grad is not None:
             q *= (1 / sums)[:, None]
-            q[rows, own] -= 1
+            q[at, own] -= 1
             grad.word_out[block] += q.T @ mine
             grad.word_bias[block] += np.ones(len(at), np.float32) @ q
-            back[at] += q @ model.word_out[block]
-    return logs / np.log(10), back
+            back[rows] += q @ model.word_out[block]
+    out = np.empty_like(logs)
+    out[order] = logs / np.log(10)
+    if back is None:
+        return out, None
+    unsorted = np.empty_like(back)
+    unsorted[order] = back
+    return out, unsorted
 
 
 def backward(model: Model, x: np.ndarray, fresh: np.ndarray, kept: dict, back: np.ndarray, grad: Model) -> None:
@@ -208,8 +214,9 @@ def backward(model: Model, x: np.ndarray, fresh: np.ndarray, kept: dict, back: n
         dnew = dh * (1 - z) * (1 - new * new)
         dz = dh * (before - new) * z * (1 - z)
         dr = dnew * inner * r * (1 - r)
-        turned = np.concatenate([dz, dr, dnew * r], 1)
-        fed[t] = np.concatenate([dz, dr, dnew], 1)
+        fed[t, :, :hid], fed[t, :, hid : 2 * hid], fed[t, :, 2 * hid :] = dz, dr, dnew
+        turned = fed[t].copy()
+        turned[:, 2 * hid :] *= r
         grad.recurrent += before.T @ turned
         dh = dh * z + turned @ model.recurrent.T
         if fresh[t].any():
