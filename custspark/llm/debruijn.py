@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custspark.llm.common import Windows, column, emit, mixed, prepare, raw_texts, signed, word_hashes
+from custspark.llm.common import Windows, column, emit, mixed, prepare, raw_texts, released, signed, word_hashes
 from custspark.session import materialise
 
 #: Words of a window, words of an anchor.
@@ -111,7 +111,7 @@ def _edges(docs: DataFrame, forks: DataFrame, window: int, id_col: str, text_col
                     }
                 )
 
-    return named.join(wanted, "doc_id").mapInArrow(run, f"doc_id {kind}, edge bigint, start int")
+    return named.join(wanted, "doc_id").mapInArrow(released(run), f"doc_id {kind}, edge bigint, start int")
 
 
 def verified(hashes: np.ndarray, spans: list[dict], windows: Windows, window: int) -> list[tuple[int, int]]:
@@ -256,4 +256,4 @@ def remove(
 
     with_id = packed.filter("doc_id is not null").join(spans, "doc_id", "left").select("row", "text", "spans")
     without = packed.filter("doc_id is null").select("row", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    return with_id.mapInArrow(run, schema).unionByName(without.mapInArrow(run, schema))
+    return with_id.mapInArrow(released(run), schema).unionByName(without.mapInArrow(released(run), schema))

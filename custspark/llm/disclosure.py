@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custspark.llm.common import column, emit, prepare
+from custspark.llm.common import column, emit, prepare, released
 from custspark.session import materialise
 
 # The kinds in their order, and their patterns. Possessive and look-behind forms find
@@ -164,7 +164,7 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if counts:
             yield batch_of(counts)
 
-    return docs.select(column(docs, text_col).cast("string").alias("text")).mapInArrow(run, "term string, n bigint")
+    return docs.select(column(docs, text_col).cast("string").alias("text")).mapInArrow(released(run), "term string, n bigint")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, limits: Thresholds = Thresholds(), text_col: str = "text") -> DataFrame:
@@ -278,9 +278,10 @@ def sanitise(
 
     schema = T.StructType([packed.schema["row"], *T._parse_datatype_string(FIELDS).fields])
     out_names = ["row", *[x.split(" ")[0] for x in FIELDS.split(", ")]]
-    free = packed.mapInArrow(having(False), packed.schema).mapInArrow(finish, schema)
-    bound = packed.mapInArrow(having(True), packed.schema).withColumn("text_key", F.md5(F.col("text").cast("binary")))
-    bound = bound.join(rules, "text_key", "left").select("row", "text", "rules").mapInArrow(finish, schema)
+    # One function where there is nothing to join, so that a task needs one worker.
+    free = packed.mapInArrow(released(lambda batches: finish(having(False)(batches))), schema)
+    bound = packed.mapInArrow(released(having(True)), packed.schema).withColumn("text_key", F.md5(F.col("text").cast("binary")))
+    bound = bound.join(rules, "text_key", "left").select("row", "text", "rules").mapInArrow(released(finish), schema)
     return free.unionByName(bound)
 
 

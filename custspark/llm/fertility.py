@@ -76,24 +76,25 @@ def default_vocabulary() -> str:
 
 
 class WordTokens:
-    """Tokens of single words; those met last are kept."""
+    """Tokens of single words."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.kept: dict[bytes, list[int]] = {}
+        self.kind = np.uint16 if len(self.is_byte) <= 1 << 16 else np.uint32
 
-    def of(self, docs: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.kept) > CACHE_WORDS:
-            self.kept = {}
-        kept = self.kept
+    def of(self, docs: list[list[bytes]], kept: dict[bytes, bytes]) -> list[np.ndarray]:
+        """The ids of each document's words; `kept` has those of words met before, as bytes."""
+        if len(kept) > CACHE_WORDS:
+            kept.clear()
         new = [w for w in set(chain.from_iterable(docs)) if w not in kept]
         for low in range(0, len(new), 10_000):
             part = new[low : low + 10_000]
-            kept.update(zip(part, self.model.encode([w.decode() for w in part], num_threads=1)))
-        return [np.fromiter(chain.from_iterable([kept[w] for w in words]), np.int32) for words in docs]
+            coded = self.model.encode([w.decode() for w in part], num_threads=1)
+            kept.update(zip(part, [np.array(c, self.kind).tobytes() for c in coded]))
+        return [np.frombuffer(b"".join([kept[w] for w in words]), self.kind) for words in docs]
 
 
 @lru_cache(maxsize=2)
@@ -158,11 +159,12 @@ def measure(
 
     def start() -> Measure:
         tokens = word_tokens(where)
+        kept: dict[bytes, bytes] = {}  # of this task alone
 
         def each(_: pa.Array, texts: pa.Array) -> list[pa.Array]:
             raws = raw_texts(texts)
             docs = [raw.split() for raw in raws]
-            ids = tokens.of(docs)
+            ids = tokens.of(docs, kept)
             lines = [[x for x in raw.split(b"\n") if x.strip(SPACE)] for raw in raws]
             chars = [len(raw.translate(None, SPACE + _CONTINUED)) for raw in raws]
             letters = [len(raw.translate(None, _NO_LETTERS + _CONTINUED)) for raw in raws]

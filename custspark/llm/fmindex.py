@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custspark.llm.common import ASCII_LOWER, column, prepare, raw_texts
+from custspark.llm.common import ASCII_LOWER, column, prepare, raw_texts, released
 
 #: Words of a phrase, words of text per index, distance of sampled positions, occurrences located at once.
 WINDOW, SHARD_WORDS, SAMPLE, LOCATE = 10, 1_000_000, 16, 1_000_000
@@ -254,8 +254,8 @@ def spans(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
 
 
-def _pass(packed: DataFrame, phrases: Phrases, last: bool) -> DataFrame:
-    """Search one block, and add to what the blocks before it have found."""
+def _pass(packed: DataFrame, phrases: Phrases, last: bool, clean: bool = False) -> DataFrame:
+    """Search one block, and add to what the blocks before it have found; the last gives cleaned texts or none."""
     shared = packed.sparkSession.sparkContext.broadcast(phrases)
     schema = packed.schema
     names = [f.name for f in schema.fields]
@@ -282,16 +282,22 @@ def _pass(packed: DataFrame, phrases: Phrases, last: bool) -> DataFrame:
                     out_spans.append(spans(hit))
                     out_items.append(sorted({*found, *(items_before or [])}))
                 low = high
+            texts = batch.column("text")
+            if last and clean:
+                raw = texts.cast(pa.binary()).to_pylist()
+                texts = pa.array([None if t is None else without(t, s).decode() for t, s in zip(raw, out_spans)], pa.string())
+            elif last:
+                texts = pa.nulls(batch.num_rows, pa.string())
             arrays = [
                 batch.column("row"),
-                pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text"),
+                texts,
                 pa.array([len(w) for w in words], pa.int64()),
                 pa.array(out_spans, pa.list_(pa.int64())),
                 pa.array(out_items, pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(released(run), schema)
 
 
 def find(
@@ -303,8 +309,9 @@ def find(
     item_col: str = "item_id",
     item_text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    clean: bool = False,
 ) -> DataFrame:
-    """Struct ``row`` of the columns kept, n_words, spans, items of each document.
+    """Struct ``row`` of the columns kept, n_words, spans, items of each document; with ``clean`` its cleaned text.
 
     spans holds the starts and ends (exclusive) of the runs of hit words, alternating;
     items the sorted ids of items with a window in the text. A null or empty text has
@@ -324,7 +331,8 @@ def find(
         if len(pending.lengths):
             packed = _pass(packed, pending, last=False)
         pending = Phrases.of(block, window)
-    return _pass(packed, pending, last=True).drop("text")
+    found = _pass(packed, pending, last=True, clean=clean)
+    return found if clean else found.drop("text")
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -350,24 +358,9 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **opt
     A removal span runs from its first hit word to its last; what stood around it is
     joined by one space. Texts without hits are unchanged, nulls included.
     """
-    found = find(docs, benchmark, docs.columns, text_col=text_col, **options)
-    schema = docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column("row")
-            columns = {f.name: row.field(i) for i, f in enumerate(row.type)}
-            texts = columns[text_col].cast(pa.binary()).to_pylist()
-            columns[text_col] = pa.array(
-                [
-                    None if t is None else without(t, s).decode()
-                    for t, s in zip(texts, batch.column("spans").to_pylist())
-                ],
-                pa.string(),
-            )
-            yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], names=schema.names)
-
-    return found.select("row", "spans").mapInArrow(run, schema)
+    others = [c for c in docs.columns if c != text_col]  # the text goes to the tasks once
+    found = find(docs, benchmark, others or [text_col], text_col=text_col, clean=True, **options)
+    return found.select(*[F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def without(raw: bytes, spans: list[int]) -> bytes:

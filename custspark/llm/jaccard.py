@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custspark.llm.common import ASCII_LOWER, Measure, Windows, extend, mixed, prepare, raw_texts, signed, word_hashes
+from custspark.llm.common import ASCII_LOWER, Measure, Windows, extend, mixed, prepare, raw_texts, released, signed, word_hashes
 from custspark.llm.components import components
 from custspark.session import materialise
 
@@ -121,7 +121,7 @@ def _sets(docs: DataFrame, rows: DataFrame, width: int, percent: int, id_col: st
     reps = materialise(classes.select("rep").distinct(), "jaccard-representatives")
     named = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = named.join(reps, named.rep.eqNullSafe(reps.rep), "left_semi").select("text")
-    full = texts.mapInArrow(tokens, "k1 bigint, k2 bigint, tokens array<bigint>")
+    full = texts.mapInArrow(released(tokens), "k1 bigint, k2 bigint, tokens array<bigint>")
     # An id that several texts share brings them all; the class keys sort them out.
     sets = classes.join(full, ["k1", "k2"]).dropDuplicates(["cid"])
     prepare(spark)
