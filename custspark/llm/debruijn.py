@@ -8,8 +8,8 @@ Equal windows have equal anchors, wherever they are, so:
 * anchors that only one document has are dropped: their paths are not repeated,
 * a path whose words are those of an earlier document's is repeated as a whole; it does
   not branch, and stays one row through the joins,
-* only anchors at which paths differ are forks; their distinct paths alone are spread
-  into single edges, which a join compares.
+* only anchors at which paths differ are forks; their paths alone are spread into single
+  edges, wherever the first document that has them has them, and a join compares these.
 
 Each repeated path or edge carries the coordinates of the occurrence it repeats. Paths
 that go on together in both documents are compacted into one span, and every span's
@@ -84,7 +84,7 @@ def chunks(docs: DataFrame, window: int, anchor: int, id_col: str, text_col: str
 
 def _edges(docs: DataFrame, forks: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, edge, start: single windows of the paths at forks, found in their source texts."""
-    wanted = forks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "content")).alias("spans"))
+    wanted = forks.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "content")).alias("spans"))
     wanted = materialise(wanted, "repeats-forks")
     named = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     kind = wanted.schema["doc_id"].dataType.simpleString()
@@ -153,7 +153,9 @@ def repeats(
     whole = near.join(copied, ["anchor", "content"]).filter("doc_id > source.doc_id")
     branching = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1")
     forks = contents.join(materialise(branching.select("anchor"), "repeats-branching"), "anchor", "left_semi")
-    forks = forks.select(F.col("source.doc_id").alias("doc_id"), F.col("source.start").alias("start"), "n", "content")
+    # Every place of such a path in the document that has it first: the later documents' are repeated as a whole.
+    forks = forks.select("anchor", "content", F.col("source.doc_id").alias("doc_id"))
+    forks = near.join(materialise(forks, "repeats-fork-paths"), ["anchor", "content", "doc_id"], "left_semi")
     edges = materialise(_edges(docs, forks, window, id_col, text_col), "repeats-edges")
     earliest = (
         edges.groupBy("edge")

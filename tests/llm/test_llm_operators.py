@@ -350,6 +350,24 @@ def test_repeats_equal_brute_force(spark, docs, texts, none):
     assert debruijn.remove(none, ["doc_id"]).count() == 0
 
 
+def test_all_places_of_a_path_in_its_first_document_are_compared(spark):
+    rng = random.Random(8)
+    p, x, y, z = ([f"{c}{rng.random()}" for _ in range(n)] for c, n in zip("pxyz", (70, 60, 60, 60)))
+    texts = {3: y + p + z, 5: (x + p) * 3 + x, 6: x + p + x, 7: p + y + p}
+    docs = _docs(spark, [(i, " ".join(words)) for i, words in texts.items()])
+    first = {}
+    for i, words in texts.items():
+        for s in range(len(words) - 49):
+            first.setdefault(tuple(words[s : s + 50]), i)
+    want = []
+    for i, words in texts.items():
+        gone = {s + k for s in range(len(words) - 49) if first[tuple(words[s : s + 50])] < i for k in range(50)}
+        want.append((i, len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
+    got = debruijn.remove(docs, ["doc_id"]).select("row.doc_id", "n_removed", "kept_text").collect()
+    assert _sorted(got) == _sorted(want)
+    assert dict((i, n) for i, n, _ in want)[5] == 210
+
+
 def test_spans_point_at_equal_words(docs, texts):
     by_id = {i: t.encode().split() for i, t in texts if i is not None and t and i != 3}
     spans = debruijn.compacted(debruijn.repeats(docs.filter("doc_id <> 3"))).collect()
