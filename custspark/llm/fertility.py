@@ -186,7 +186,7 @@ def measure(
             return [
                 *(pa.array(x, pa.int64()) for x in numbers),
                 *(pa.array(x, pa.float64()) for x in shares),
-                pa.array([script(raw[:4096].decode("utf-8", "ignore")) for raw in raws], pa.string()),
+                pa.array([script(raw.decode("utf-8", "ignore")) for raw in raws], pa.string()),
             ]
 
         return each

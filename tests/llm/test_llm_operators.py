@@ -250,6 +250,13 @@ def test_quality_measures_and_verdicts(docs, texts, none):
     assert fertility.judge(docs.drop("lang"), ["doc_id"]).count() == len(texts)
 
 
+def test_script_is_that_of_the_whole_text(spark):
+    text = "header of latin words " * 300 + "слово за словом " * 2000
+    docs = spark.createDataFrame([(1, text, None), (2, "one two", None)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["group"] for r in fertility.judge(docs, ["doc_id"]).select("row.doc_id", "group").collect()}
+    assert got == {1: "script:cyrillic", 2: "script:latin"}
+
+
 def test_bands_reject_symbols_and_keep_text(spark, data_dir):
     docs = table(spark, data_dir, "documents").select("doc_id", "text", "lang")
     noise = docs.filter("doc_id < 20").select(
