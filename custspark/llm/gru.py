@@ -18,7 +18,7 @@ import numpy as np
 class Shape:
     """Sizes of the model: they bound its memory and what a task sends."""
 
-    words: int = 1024
+    words: int = 2048
     class_words: int = 64
     other_classes: int = 32
     hidden: int = 16

@@ -209,6 +209,10 @@ def test_scores_of_a_table(docs, texts, none):
     assert lm.score(none).count() == 0
 
 
+def test_the_model_and_its_first_round_are_not_cut():
+    assert gru.Shape().words >= 2048 and lm.FIRST_ROUND <= 16
+
+
 def test_held_out_texts_are_likelier_than_by_their_words_alone(spark, data_dir):
     rows = lm.score(table(spark, data_dir, "documents")).filter("held_out").collect()
     assert sum(r["score"] for r in rows) > 0.985 * sum(r["base_score"] for r in rows)
