@@ -189,7 +189,7 @@ def disclosing(docs: DataFrame, found: DataFrame, limits: Thresholds = Threshold
     given = F.col("n_both") / F.col("n_contexts")
     pmi = F.log2(given * n_docs / F.col("n_term"))
     information = F.log2(F.lit(n_docs) / F.col("n_entity"))
-    share = F.when(information > 0, pmi * given / information)
+    share = F.when(information > 0, pmi / information)
     kind = F.when(share >= limits.remove, F.lit("remove")).when(share >= limits.generalise, F.lit("generalise"))
     return known.select("entity", "term", share.alias("share"), kind.alias("kind")).filter("kind is not null")
 

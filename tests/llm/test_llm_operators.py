@@ -569,6 +569,21 @@ def test_revealing_terms_are_removed(spark):
     assert disclosure.sanitise(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def _prose(rng, n):
+    return " ".join(rng.choice("abcdefghij") + rng.choice("klmno") + "word" for _ in range(n))
+
+
+def test_terms_in_half_of_an_entitys_texts_are_removed(spark):
+    rng = random.Random(4)
+    rows = [(i, _prose(rng, 80)) for i in range(150)]
+    for i in range(10):
+        name = "Zanzibarus" if i % 2 else "somebody"
+        rows.append((200 + i, f"{_prose(rng, 20)} {name} mailed from 10.1.2.3 {_prose(rng, 20)}"))
+    got = {r["doc_id"]: r["sanitised"] for r in disclosure.sanitise(_docs(spark, rows), ["doc_id"]).select("row.doc_id", "*").collect()}
+    assert not any("Zanzibarus" in got[i] for i in range(200, 210))
+    assert all("word" in got[i] for i in range(200, 210))
+
+
 # ---- dialogues ----
 
 
