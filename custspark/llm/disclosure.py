@@ -3,14 +3,16 @@
 Base spans (mail addresses, IP addresses, card and phone numbers) are the protected
 entities. What words near an entity tell about it is estimated from the whole corpus:
 
-    p(t|e)  share of the entity's distinct contexts that have the term
+    p(t|e)  share of the entity's distinct contexts that have the term, smoothed by one
+            more context that has it as often as any text
     PMI     log2(p(t|e) / p(t)), p(t) from the term's document frequency
     IC(e)   log2(documents / documents with the entity)
 
 PMI / IC(e) is the share of the entity's information that the term gives away. In a
 text that holds the entity, terms above one threshold are removed, above a lower one
-generalised. Contexts count once however often they are copied, and a term needs
-several of them, so that a text met once loses none of its words.
+generalised. Contexts count once however often they are copied. Every entity is judged,
+by every term that stands in a second context of it, or in a document without it: a word
+that only copies of one context have leads from nowhere else to the entity, and stays.
 """
 
 from __future__ import annotations
@@ -56,11 +58,11 @@ TERMS_AT_ONCE = 300_000
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Shares of an entity's information, and the distinct contexts a term needs with it."""
+    """Shares of an entity's information, and the contexts that smooth what is met with it."""
 
     generalise: float = 0.6
     remove: float = 0.85
-    contexts: int = 3
+    smoothing: float = 1.0
 
 
 def luhn(digits: str) -> bool:
@@ -119,7 +121,7 @@ def text_key(text: str) -> str:
 
 
 def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """text_key, entity, context, terms: one row for each base span."""
+    """text_key, entity, context, terms: one row for each entity of a text, by its first place there."""
 
     def start():
         def each(_: pa.Array, texts: pa.Array) -> Iterator[dict[str, pa.Array]]:
@@ -127,12 +129,15 @@ def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for text in texts.to_pylist():
                 spans = base_spans(text) if text else []
                 key = text_key(text) if spans else ""
+                places: dict[str, tuple[int, int]] = {}
                 for a, kind, b in spans:
+                    places.setdefault(entity(kind, text[a:b]), (a, b))
+                for name, (a, b) in places.items():
                     left = _TERM.findall(text[max(0, a - SIDE_CHARS) : a])[-SIDE_WORDS:]
                     right = _TERM.findall(text[b : b + SIDE_CHARS])[:SIDE_WORDS]
                     words = [w.lower() for w in (*left, "", *right)]
                     context = hashlib.md5(" ".join(words).encode()).hexdigest()
-                    rows.append((key, entity(kind, text[a:b]), context, sorted({w for w in words if w})))
+                    rows.append((key, name, context, sorted({w for w in words if w})))
             columns = list(zip(*rows)) if rows else [(), (), (), ()]
             types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
             names = ["text_key", "entity", "context", "terms"]
@@ -173,11 +178,13 @@ def disclosing(docs: DataFrame, found: DataFrame, limits: Thresholds = Threshold
     ``found`` is the stored table of contexts. Counts are over all documents.
     """
     pairs = (
-        found.select("entity", "context", F.explode("terms").alias("term"))
-        .distinct()
+        found.groupBy("text_key", "entity", "context", "terms")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("entity", "context", F.explode("terms").alias("term"), "n")
+        .groupBy("entity", "context", "term")
+        .agg(F.sum("n").alias("n"))
         .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_both"))
-        .filter(F.col("n_both") >= limits.contexts)
+        .agg(F.count(F.lit(1)).alias("n_both"), F.sum("n").alias("n_docs"))
     )
     pairs = materialise(pairs, "disclosure-pairs")
     met = found.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_contexts"))
@@ -185,9 +192,14 @@ def disclosing(docs: DataFrame, found: DataFrame, limits: Thresholds = Threshold
     candidates = pairs.select("term").distinct()
     terms = term_counts(docs, text_col).join(candidates, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
     n_docs = docs.count()
-    known = pairs.join(met, "entity").join(entities, "entity").join(terms, "term")
-    given = F.col("n_both") / F.col("n_contexts")
-    pmi = F.log2(given * n_docs / F.col("n_term"))
+    # Written, so that their sizes are known before the joins.
+    sizes = materialise(met.join(entities, "entity"), "disclosure-entities")
+    known = pairs.join(sizes, "entity").join(materialise(terms, "disclosure-terms"), "term")
+    # Judged is what also stands elsewhere: in another context of the entity, or without it.
+    known = known.filter((F.col("n_both") > 1) | (F.col("n_term") > F.col("n_docs")))
+    usual = F.col("n_term") / F.lit(n_docs)
+    given = (F.col("n_both") + limits.smoothing * usual) / (F.col("n_contexts") + limits.smoothing)
+    pmi = F.log2(given / usual)
     information = F.log2(F.lit(n_docs) / F.col("n_entity"))
     share = F.when(information > 0, pmi / information)
     kind = F.when(share >= limits.remove, F.lit("remove")).when(share >= limits.generalise, F.lit("generalise"))
@@ -241,12 +253,12 @@ def sanitise(
     """
     prepare(docs.sparkSession)
     found = materialise(contexts(docs, text_col), "disclosure-contexts")
-    harmful = disclosing(docs, found, limits, text_col)
+    harmful = materialise(disclosing(docs, found, limits, text_col), "disclosure-harmful")
     # Written, so that its size is known before the join with the texts, and a hot text's rows can be split.
     rules = materialise(
-        found.select("text_key", "entity")
+        found.select("text_key", "entity", F.explode("terms").alias("term"))
         .distinct()
-        .join(harmful, "entity")
+        .join(harmful, ["entity", "term"])
         .groupBy("text_key")
         .agg(F.collect_set(F.struct("term", "kind")).alias("rules")),
         "disclosure-rules",

@@ -584,6 +584,16 @@ def test_terms_in_half_of_an_entitys_texts_are_removed(spark):
     assert all("word" in got[i] for i in range(200, 210))
 
 
+def test_entities_met_once_are_judged(spark):
+    rng = random.Random(6)
+    rows = [(i, _prose(rng, 80)) for i in range(300)]
+    rows += [(400, f"{_prose(rng, 20)} Zanzibarus wrote from 10.1.2.3 {_prose(rng, 20)}")]
+    rows += [(401, f"{_prose(rng, 20)} Zanzibarus {_prose(rng, 20)}")]
+    got = {r["doc_id"]: r["sanitised"] for r in disclosure.sanitise(_docs(spark, rows), ["doc_id"]).select("row.doc_id", "*").collect()}
+    assert "Zanzibarus" not in got[400] and got[400].count("word") == 40
+    assert "[TERM] wrote from [IP]" in got[400] and got[401] == dict(rows)[401]
+
+
 # ---- dialogues ----
 
 
