@@ -1,7 +1,9 @@
 """Information-theoretic sanitisation of personal data.
 
 Base spans (mail addresses, IP addresses, card and phone numbers) are the protected
-entities. What words near an entity tell about it is estimated from the whole corpus:
+entities. What a text's words tell about an entity in it, however far off they stand, is
+estimated from the whole corpus. The words on both sides of the entity name a context,
+which has the terms of all texts it stands in:
 
     p(t|e)  share of the entity's distinct contexts that have the term, smoothed by one
             more context that has it as often as any text
@@ -50,9 +52,9 @@ LABELS = {
     "remove": "",
 }
 
-#: Characters looked at on each side of an entity for its context, and words taken from them.
+#: Characters looked at on each side of an entity to tell copies of its context, and words taken from them.
 SIDE_CHARS, SIDE_WORDS = 200, 10
-#: Terms a task counts before it passes the counts on.
+#: Terms a task counts, or has beside entities, before it passes them on.
 TERMS_AT_ONCE = 300_000
 
 
@@ -123,12 +125,20 @@ def text_key(text: str) -> str:
 def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """text_key, entity, context, terms: one row for each entity of a text, by its first place there."""
 
+    def table_of(rows: list[tuple]) -> dict[str, pa.Array]:
+        columns = list(zip(*rows)) if rows else [(), (), (), ()]
+        types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+        names = ["text_key", "entity", "context", "terms"]
+        return {n: pa.array(list(c), t) for n, c, t in zip(names, columns, types)}
+
     def start():
         def each(_: pa.Array, texts: pa.Array) -> Iterator[dict[str, pa.Array]]:
             rows: list[tuple] = []
+            size = 0
             for text in texts.to_pylist():
                 spans = base_spans(text) if text else []
                 key = text_key(text) if spans else ""
+                terms = sorted(set(_TERM.findall(text.lower()))) if spans else []
                 places: dict[str, tuple[int, int]] = {}
                 for a, kind, b in spans:
                     places.setdefault(entity(kind, text[a:b]), (a, b))
@@ -137,11 +147,12 @@ def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     right = _TERM.findall(text[b : b + SIDE_CHARS])[:SIDE_WORDS]
                     words = [w.lower() for w in (*left, "", *right)]
                     context = hashlib.md5(" ".join(words).encode()).hexdigest()
-                    rows.append((key, name, context, sorted({w for w in words if w})))
-            columns = list(zip(*rows)) if rows else [(), (), (), ()]
-            types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
-            names = ["text_key", "entity", "context", "terms"]
-            yield {n: pa.array(list(c), t) for n, c, t in zip(names, columns, types)}
+                    rows.append((key, name, context, terms))
+                    size += len(terms)
+                    if size >= TERMS_AT_ONCE:
+                        yield table_of(rows)
+                        rows, size = [], 0
+            yield table_of(rows)
 
         return each
 

@@ -594,6 +594,14 @@ def test_entities_met_once_are_judged(spark):
     assert "[TERM] wrote from [IP]" in got[400] and got[401] == dict(rows)[401]
 
 
+def test_terms_far_from_an_entity_are_removed(spark):
+    rng = random.Random(9)
+    rows = [(i, _prose(rng, 80)) for i in range(150)]
+    rows += [(200 + i, f"Zanzibarus {_prose(rng, 60)} seen at 10.1.2.3 {_prose(rng, 20)}") for i in range(5)]
+    got = {r["doc_id"]: r["sanitised"] for r in disclosure.sanitise(_docs(spark, rows), ["doc_id"]).select("row.doc_id", "*").collect()}
+    assert all("Zanzibarus" not in got[i] and got[i].count("word") == 80 for i in range(200, 205))
+
+
 # ---- dialogues ----
 
 
