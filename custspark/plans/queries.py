@@ -362,7 +362,7 @@ FEW_TREES = ForestParams(trees=8, depth=5)
 
 
 def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each customer's scores agree with each other, with the formulas and with the labels' range."""
+    """Whether each customer's scores agree with each other, with the formulas and with the labels' range; for ``FEW_TREES`` alone."""
     rows = materialise(customers(spark, sf_dir), "customers")
     models, _ = train(rows, FEW_TREES)
     inputs = ["email_open_rate", "click_through_rate", "nps_score"]
@@ -384,7 +384,7 @@ def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each model beats the prediction that knows the labels' distribution alone."""
+    """Whether each model beats the prediction that knows the labels' distribution alone; for ``FEW_TREES`` alone."""
     rows = materialise(customers(spark, sf_dir), "customers")
     _, metrics = train(rows, FEW_TREES)
     test = rows.filter(~is_train())
