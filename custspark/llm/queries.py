@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custspark.llm import bpe, debruijn, disclosure, fertility, fmindex, jaccard, lm, perspective, ring, warc
+from custspark.llm import (
+    bpe,
+    debruijn,
+    disclosure,
+    fertility,
+    fim,
+    fmindex,
+    jaccard,
+    ledger,
+    lm,
+    perspective,
+    ring,
+    skyband,
+    warc,
+)
 from custspark.llm.common import table
 from custspark.session import shared_folder
 
@@ -125,6 +139,43 @@ def op10_consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_counted_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle forms of every text, as digests; see fim.transform."""
+    made = fim.transform(table(spark, sf_dir, "documents"), ["doc_id"])
+    made = made.select("row.doc_id", "n", "form", "output", fim.parts(F.col("output"), F.col("form")).alias("parts"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.length("parts.prefix").cast("bigint").alias("prefix_chars"),
+        F.length("parts.middle").cast("bigint").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("parts")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_dominance_skyband(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ; see skyband.audit."""
+    return skyband.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text, through a ledger that begins empty; see ledger.scan."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ledger.scan(docs, shared_folder(spark, "ledger"), ["doc_id"])
+    joined = F.array_join(F.expr("transform(spans, s -> concat_ws(':', s.rule, s.start, s.end))"), ",")
+
+    def number(rule: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["rule"] == rule)).cast("bigint").alias(f"n_{rule}")
+
+    return found.select(
+        "row.doc_id",
+        *[number(r.name) for r in ledger.RULES],
+        F.sha2(joined.cast("binary"), 256).alias("base_sha256"),
+        joined.alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_fm_index": op1_fm_index,
     "op2_gated_recurrent_lm": op2_gated_recurrent_lm,
@@ -136,10 +187,42 @@ QUERIES = {
     "op8_disclosure": op8_disclosure,
     "op9_perspective_rotation": op9_perspective_rotation,
     "op10_consistent_hash_ring": op10_consistent_hash_ring,
+    "op11_counted_infilling": op11_counted_infilling,
+    "op12_dominance_skyband": op12_dominance_skyband,
+    "op13_blob_ledger": op13_blob_ledger,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# The rules for secrets in SQL (kind, pattern, group, least length).
+_RULES = [
+    (
+        "assign",
+        "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"
+        r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        6,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+]
+# Places of matches: the lengths of all that is between and in the matches before.
+_MATCHES = """{name} as (
+    select id, {kind} as kind, '{name}' as name, stop - length(hit) as start, stop
+    from (
+        select id, hit, part, cast(sum(length(gap) + length(hit)) over (partition by id order by i) as bigint) as stop
+        from (
+            select id, unnest(range(1, len(found) + 1)) as i, unnest(found) as hit, unnest(parts) as part, unnest(gaps[:len(found)]) as gap
+            from (
+                select id, regexp_extract_all(txt, '{pattern}') as found, regexp_extract_all(txt, '{pattern}', {grp}) as parts,
+                    string_split_regex(txt, '{pattern}') as gaps
+                from d
+            )
+        )
+    )
+    where length(part) >= {least}
+)"""
+
 ORACLE: dict[str, str] = {
     "op1_fm_index": rf"""
         with d as (
@@ -253,4 +336,84 @@ ORACLE: dict[str, str] = {
             sha256(txt) as text_sha256, mask
         from r
     """,
+    "op11_counted_infilling": r"""
+        with d as (
+            select doc_id, coalesce(text, '') as txt, sha256('42:' || doc_id) as h,
+                regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units
+            from documents
+        ),
+        r as (
+            select *, len(units) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+                cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4
+            from d
+        ),
+        c as (
+            select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+                case when txt = '' or contains(txt, '<P>') or contains(txt, '<S>') or contains(txt, '<M>') or h3 % 100 >= 50
+                    then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form
+            from r
+        ),
+        p as (
+            select *, array_to_string(units[1:a], '') as pre, array_to_string(units[a + 1:b], '') as mid,
+                array_to_string(units[b + 1:], '') as suf
+            from c
+        )
+        select doc_id, cast(n as bigint) as n, form,
+            case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars,
+            case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+            sha256(case form when 'plain' then txt when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+                else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+            sha256(txt) as restored_sha256
+        from p
+    """,
+    "op12_dominance_skyband": rf"""
+        with d as (
+            select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words
+            from documents
+        ),
+        w as (select id, lang, source, unnest(words) as term from d),
+        kept as (select lang, term, count(*) as n_lang from w group by lang, term having count(distinct id) >= 30),
+        c as (select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by all),
+        l as (select lang, cast(count(*) as hugeint) as v, sum(n_lang) as total from kept group by lang),
+        g as (
+            select lang, source, coalesce(v, 0) as v, coalesce(total, 0) as total, coalesce(size, 0) as size
+            from (select distinct lang, source from d) left join l using (lang)
+                left join (select lang, source, sum(n) as size from c group by lang, source) using (lang, source)
+        ),
+        p as (
+            select g.lang, g.source, kept.term, coalesce(c.n, 0) as n,
+                cast(1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.size + 5 * g.v) as bigint) as p,
+                cast(1 + (1000000000::hugeint * (n_lang + 5)) // (g.total + 5 * g.v) as bigint) as q
+            from g join kept using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term
+        ),
+        far as (
+            select a.lang, a.source, b.source as item, cast(sum(abs(a.p - b.p)) as bigint) as value
+            from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ),
+        pairs as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+            from g a join g b on a.lang = b.lang and a.source <> b.source
+                left join far on far.lang = a.lang and far.source = a.source and far.item = b.source
+        ),
+        parts as (select * from pairs union all select lang, source, 'term', term, p - q from p where n > 0 and p > q),
+        ranked as (
+            select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+            from parts
+        )
+        select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
+    """,
+    "op13_blob_ledger": f"""
+        with d as (select row_number() over () as id, doc_id, coalesce(text, '') as txt from documents),
+        {", ".join(_MATCHES.format(name=n, kind=k, pattern=p, grp=g, least=l) for k, (n, p, g, l) in enumerate(_RULES))},
+        spans as (select * from assign union all select * from access union all select * from hex),
+        done as (
+            select id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+                string_agg(name || ':' || start || ':' || stop, ',' order by start, kind) as spans
+            from spans group by id
+        )
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+            sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+        from d left join done using (id)
+    """,
 }

@@ -18,6 +18,9 @@ COLUMNS = {
     "op7": "doc_id n_shingles component_id",
     "op8": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op10": "doc_id size text_crc32 law shard slot grown_shard",
+    "op11": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op12": "lang source part item value rank",
+    "op13": "doc_id n_assign n_access n_hex base_sha256 spans",
 }
 
 
