@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,43 +98,40 @@ def _share(count: Column, total: Column, kept: Column) -> Column:
     return 1 + F.call_function("div", above, below)
 
 
-def skyband(high: np.ndarray, low: np.ndarray, names: list[bytes], k: int) -> np.ndarray:
-    """The rows that fewer than k others dominate: not lower in ``high``, not higher in ``low``, earlier in ``names``.
+def skyband(high: np.ndarray, low: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The rows that fewer than k others dominate: not lower in ``high``, not higher in ``low``, earlier in ``place``.
 
-    Names differ. Rows are gone through so that whatever dominates a row comes before it; of a row's
-    dominators the first k are in the skyband themselves, so only its members need counting.
+    Places differ. Rows are gone through so that whatever dominates a row comes before it; of a row's
+    dominators the first k are in the skyband themselves, so it is enough to count its members so far and
+    all rows of the block at hand.
     """
-    n = len(high)
-    place = np.empty(n, np.int64)
-    place[sorted(range(n), key=names.__getitem__)] = np.arange(n)
     order = np.lexsort((place, low, -high))
     low, place = low[order], place[order]
-    kept = np.zeros(n, bool)
+    kept: list[np.ndarray] = []
     kept_low, kept_place = low[:0], place[:0]
-    for at in range(0, n, 256):
+    for at in range(0, len(order), 256):
         own_low, own_place = low[at : at + 256], place[at : at + 256]
-        above = ((kept_low <= own_low[:, None]) & (kept_place < own_place[:, None])).sum(1)
-        inside: list[int] = []
-        for i in np.flatnonzero(above < k).tolist():
-            if above[i] + sum(own_low[j] <= own_low[i] and own_place[j] < own_place[i] for j in inside) < k:
-                inside.append(i)
-        kept[at : at + 256][inside] = True
-        kept_low, kept_place = np.append(kept_low, own_low[inside]), np.append(kept_place, own_place[inside])
-    return np.sort(order[kept])
+        above = np.count_nonzero((kept_low <= own_low[:, None]) & (kept_place < own_place[:, None]), axis=1)
+        inside = np.tril((own_low <= own_low[:, None]) & (own_place < own_place[:, None]), -1)
+        few = above + np.count_nonzero(inside, axis=1) < k
+        kept.append(order[at : at + 256][few])
+        kept_low, kept_place = np.append(kept_low, own_low[few]), np.append(kept_place, own_place[few])
+    return np.sort(np.concatenate(kept)) if kept else order
 
 
 def _skyband_of(table: pa.Table, k: int) -> pa.Table:
     """The skybands of the sources in a table of lang, source, term, n, n_lang."""
-    groups: dict[tuple[str, str], list[int]] = {}
-    for i, key in enumerate(zip(table.column("lang").to_pylist(), table.column("source").to_pylist())):
-        groups.setdefault(key, []).append(i)
+    if not table.num_rows:
+        return table
+    lang, source = (table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "source"))
+    group = lang.astype(np.int64) * (int(source.max()) + 1) + source
+    # Arrow orders texts by their bytes.
+    place = np.empty(len(group), np.int64)
+    place[pc.sort_indices(table.column("term")).to_numpy()] = np.arange(len(group))
     high, low = table.column("n").to_numpy(), table.column("n_lang").to_numpy()
-    terms = [t.encode() for t in table.column("term").to_pylist()]
-    kept = []
-    for at in groups.values():
-        rows = np.array(at)
-        kept.append(rows[skyband(high[rows], low[rows], [terms[i] for i in at], k)])
-    return table.take(pa.array(np.concatenate(kept))) if kept else table
+    order = np.argsort(group, kind="stable")
+    kept = [rows[skyband(high[rows], low[rows], place[rows], k)] for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1)]
+    return table.take(pa.array(np.concatenate(kept)))
 
 
 def standing_out(shares: DataFrame, k: int) -> DataFrame:
