@@ -32,7 +32,7 @@ UNIT, SMOOTHING = 1_000_000_000, 5
 #: Counts a task holds before it passes them on, candidates whose skyband it takes at once.
 COUNTS_AT_ONCE, CANDIDATES_AT_ONCE = 400_000, 200_000
 #: Sources and terms of a comparison of two blocks, and terms that are compared at once inside it.
-BLOCK_SOURCES, BLOCK_TERMS, TERMS_AT_ONCE = 128, 20_000, 2_048
+BLOCK_SOURCES, BLOCK_TERMS, TERMS_AT_ONCE = 128, 4_000, 2_048
 #: Lanes in which a source's skybands are merged before they meet.
 LANES = 8
 
