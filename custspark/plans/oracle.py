@@ -211,6 +211,13 @@ _FREQUENCY = ("purchase_frequency", "total_spent / 250000.0")
 ORACLE: dict[str, str] = {
     "customer_table": _over_customers("select * from customers"),
     "scan_csv": _over_customers("select * from customers"),
+    "scan_csv_quoted": _over_customers(
+        """select * replace (
+          case age % 5 when 0 then city || chr(10) || '"' || gender || '",' || chr(10) || segment
+            when 1 then 'a' || chr(10) || ',"' || chr(10) || '"' || city else city end as city,
+          case age % 5 when 1 then preferred_channel || '"' || chr(10) || chr(10) || 'x' when 2 then '5" "'
+            else preferred_channel end as preferred_channel) from customers"""
+    ),
     "table_roundtrip": _over_customers("select * from customers"),
     "key_check": _over_customers(
         """select cast(sum(n) as bigint) n_rows, count(customer_id) n_keys,

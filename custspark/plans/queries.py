@@ -45,6 +45,18 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_customers_csv(spark, path)
 
 
+def scan_csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with line breaks, quotes and commas in most records."""
+    path = shared_folder(spark, "csv")
+    rows = customers(spark, sf_dir)
+    broken = _by_age(
+        {0: F.concat("city", F.lit('\n"'), "gender", F.lit('",\n'), "segment"), 1: F.concat(F.lit('a\n,"\n"'), "city")}, F.col("city")
+    )
+    channel = _by_age({1: F.concat("preferred_channel", F.lit('"\n\nx')), 2: F.lit('5" "')}, F.col("preferred_channel"))
+    write_customers_csv(rows.withColumns({"city": broken, "preferred_channel": channel}), path)
+    return read_customers_csv(spark, path)
+
+
 def table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"customers_{uuid.uuid4().hex}"
     path = shared_folder(spark, "table")
@@ -409,6 +421,7 @@ def train_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "customer_table": customer_table,
     "scan_csv": scan_csv,
+    "scan_csv_quoted": scan_csv_quoted,
     "table_roundtrip": table_roundtrip,
     "key_check": key_check,
     "feature_projection": feature_projection,

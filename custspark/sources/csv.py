@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from custspark.functions.missing import text_or_null
 from custspark.schema import CUSTOMER_SCHEMA
+from custspark.sources.quoted import records
 
 
 class LoadError(RuntimeError):
@@ -54,6 +55,28 @@ def _complete_lines(raw: DataFrame, names: list[str]) -> DataFrame:
     return raw.filter(too_long.otherwise(F.lit(True)))
 
 
+def _stitched(spark: SparkSession, path: str | list[str], names: list[str]) -> DataFrame | None:
+    """The cells of files that have line breaks inside quotes; None if there are none."""
+    first = spark.read.text(path, lineSep="\n").limit(1).collect()
+    # Lines that end in a carriage return alone are all one line to the reader above.
+    line_sep = "\r" if first and "\r" in first[0]["value"].rstrip("\r") else "\n"
+    found = records(spark, path, line_sep)
+    if not found.broken:
+        return None
+    if found.unclosed:
+        raise LoadError(f"cannot load customers: quotes are never closed in {', '.join(found.unclosed)}")
+    if len({h.strip('\ufeff\r').replace('"', "") for h in found.headers}) > 1:
+        raise LoadError(f"cannot load customers: files with different headers: {found.headers}")
+    cells = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    parsed = F.from_csv("value", F.lit(cells), {**FORMAT, "multiLine": "true"})
+    rows = found.read().select("value", "whole", parsed.alias("cells"))
+    surplus = F.col("cells").getField(f"c{len(names)}")
+    message = F.concat(F.lit("more cells than columns: "), F.col("value"))
+    too_long = F.when(F.col("whole") & surplus.isNotNull(), F.raise_error(message).cast("boolean"))
+    checked = rows.filter(too_long.otherwise(F.lit(True)))
+    return checked.select(*[F.col("cells").getField(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def read_customers_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -72,8 +95,11 @@ def read_customers_csv(
     whole-number column is such a cell, unless ``fractions="keep"`` reads all those
     columns as doubles. Further
     columns are kept behind the known ones as text. Files with another header
-    than the first are refused. ``multi_line`` allows line breaks inside
-    quotes, at the price of one task per file.
+    than the first are refused.
+
+    Line breaks inside quotes are read as part of their cell. To find them all lines are looked at
+    when this function is called; a large file is read by many tasks all the same. ``multi_line`` leaves
+    that to Spark's reader, at the price of one task per file.
     """
     if on_bad_cell not in ("fail", "null"):
         raise ValueError("on_bad_cell is 'fail' or 'null'")
@@ -95,7 +121,8 @@ def read_customers_csv(
     missing = [f.name for f in required if f.name not in names]
     if missing:
         raise LoadError(f"cannot load customers from {path}: columns missing: {', '.join(missing)}")
-    rows = _complete_lines(raw, header).toDF(*names, MALFORMED)
+    stitched = None if multi_line else _stitched(spark, path, names)
+    rows = _complete_lines(raw, header).toDF(*names, MALFORMED) if stitched is None else stitched
     known = [_typed(f.name, f.dataType, on_bad_cell, fractions) for f in required]
     further = [text_or_null(F.col(f"`{c}`")).alias(c) for c in names if c not in required.names]
     return rows.select(*known, *further)
