@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,4 +51,44 @@ def materialise(df: DataFrame, purpose: str, partition_by: str | None = None) ->
     path = shared_folder(spark, purpose)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for held in _listening:
+        held.append(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _places[stored] = path
+    return stored
+
+
+#: Where the tables that materialise has returned are, and the lists that collect new ones.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_listening: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*stored: DataFrame) -> None:
+    """Delete tables that materialise has returned. Nothing that is still to run may read them."""
+    for df in stored:
+        remove(df.sparkSession, _places.pop(df))
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders that materialise makes meanwhile, for ``discard`` once nothing reads them any more."""
+    held: list[str] = []
+    _listening.append(held)
+    try:
+        yield held
+    finally:
+        _listening[:] = [other for other in _listening if other is not held]
+
+
+def discard(spark: SparkSession, folders: list[str], *keep: DataFrame) -> None:
+    """Delete the folders collected, but those of the tables still to be read."""
+    kept = {_places[df] for df in keep}
+    for path in folders:
+        if path not in kept:
+            remove(spark, path)
