@@ -5,8 +5,8 @@ entities. What a text's words tell about an entity in it, however far off they s
 estimated from the whole corpus. The words on both sides of the entity name a context,
 which has the terms of all texts it stands in:
 
-    p(t|e)  share of the entity's distinct contexts that have the term, smoothed by one
-            more context that has it as often as any text
+    p(t|e)  share of the entity's distinct contexts that have the term: the lower end of its
+            Wilson interval, so that few contexts prove little
     PMI     log2(p(t|e) / p(t)), p(t) from the term's document frequency
     IC(e)   log2(documents / documents with the entity)
 
@@ -15,6 +15,11 @@ text that holds the entity, terms above one threshold are removed, above a lower
 generalised. Contexts count once however often they are copied. Every entity is judged,
 by every term that stands in a second context of it, or in a document without it: a word
 that only copies of one context have leads from nowhere else to the entity, and stays.
+
+A text's terms are stored once. Entities that stand in the same texts, in contexts that are alike,
+have the same counts: they are one group, judged once, however many addresses a text lists. A group's
+contexts and information bound how frequent a term may be to reach the lower threshold; terms above the
+bounds of all groups of a text are left out before the two meet, which changes no verdict.
 """
 
 from __future__ import annotations
@@ -26,12 +31,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from custspark.llm.common import column, emit, prepare, released
-from custspark.session import materialise
+from custspark.session import forget, materialise
 
 # The kinds in their order, and their patterns. Possessive and look-behind forms find
 # the same matches as the plain patterns, without rereading a long run of digits from each of its places.
@@ -56,15 +61,19 @@ LABELS = {
 SIDE_CHARS, SIDE_WORDS = 200, 10
 #: Terms a task counts, or has beside entities, before it passes them on.
 TERMS_AT_ONCE = 300_000
+#: Texts with entities that a task remembers, to store their terms once.
+TEXTS_KNOWN = 200_000
+#: So far above a bound a term is still judged, as both are rounded.
+ROUNDING = 1 + 1e-9
 
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Shares of an entity's information, and the contexts that smooth what is met with it."""
+    """Shares of an entity's information, and the standard errors that p(t|e) is taken below its estimate."""
 
     generalise: float = 0.6
     remove: float = 0.85
-    smoothing: float = 1.0
+    errors: float = 1.645
 
 
 def luhn(digits: str) -> bool:
@@ -94,7 +103,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -123,40 +132,57 @@ def text_key(text: str) -> str:
 
 
 def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """text_key, entity, context, terms: one row for each entity of a text, by its first place there."""
+    """text_key, places (entity and context, by its first place there), terms: a row for each text with entities.
+
+    Where a task meets a text again, places and terms are null.
+    """
+    places_type = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string())]))
 
     def table_of(rows: list[tuple]) -> dict[str, pa.Array]:
-        columns = list(zip(*rows)) if rows else [(), (), (), ()]
-        types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
-        names = ["text_key", "entity", "context", "terms"]
-        return {n: pa.array(list(c), t) for n, c, t in zip(names, columns, types)}
+        keys, places, terms = zip(*rows) if rows else ((), (), ())
+        return {
+            "text_key": pa.array(list(keys), pa.string()),
+            "places": pa.array(list(places), places_type),
+            "terms": pa.array(list(terms), pa.list_(pa.string())),
+        }
 
     def start():
+        known: set[str] = set()
+
         def each(_: pa.Array, texts: pa.Array) -> Iterator[dict[str, pa.Array]]:
             rows: list[tuple] = []
             size = 0
             for text in texts.to_pylist():
                 spans = base_spans(text) if text else []
-                key = text_key(text) if spans else ""
-                terms = sorted(set(_TERM.findall(text.lower()))) if spans else []
-                places: dict[str, tuple[int, int]] = {}
+                if not spans:
+                    continue
+                key = text_key(text)
+                if key in known:
+                    rows.append((key, None, None))
+                    continue
+                if len(known) >= TEXTS_KNOWN:
+                    known.clear()
+                known.add(key)
+                first: dict[str, tuple[int, int]] = {}
                 for a, kind, b in spans:
-                    places.setdefault(entity(kind, text[a:b]), (a, b))
-                for name, (a, b) in places.items():
+                    first.setdefault(entity(kind, text[a:b]), (a, b))
+                places = []
+                for name, (a, b) in first.items():
                     left = _TERM.findall(text[max(0, a - SIDE_CHARS) : a])[-SIDE_WORDS:]
                     right = _TERM.findall(text[b : b + SIDE_CHARS])[:SIDE_WORDS]
                     words = [w.lower() for w in (*left, "", *right)]
-                    context = hashlib.md5(" ".join(words).encode()).hexdigest()
-                    rows.append((key, name, context, terms))
-                    size += len(terms)
-                    if size >= TERMS_AT_ONCE:
-                        yield table_of(rows)
-                        rows, size = [], 0
+                    places.append({"entity": name, "context": hashlib.md5(" ".join(words).encode()).hexdigest()})
+                terms = sorted(set(_TERM.findall(text.lower())))
+                rows.append((key, places, terms))
+                size += len(terms) + 4 * len(places)
+                if size >= TERMS_AT_ONCE:
+                    yield table_of(rows)
+                    rows, size = [], 0
             yield table_of(rows)
 
         return each
 
-    schema = "text_key string, entity string, context string, terms array<string>"
+    schema = "text_key string, places array<struct<entity:string,context:string>>, terms array<string>"
     return emit(docs, start, schema, None, text_col)
 
 
@@ -183,38 +209,73 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(column(docs, text_col).cast("string").alias("text")).mapInArrow(released(run), "term string, n bigint")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, limits: Thresholds = Thresholds(), text_col: str = "text") -> DataFrame:
-    """entity, term, share, kind: the terms that give away so much of an entity's information.
+def _lower_end(k: Column, n: Column, errors: float) -> Column:
+    """The lower end of the Wilson interval of k out of n."""
+    z2 = F.lit(errors * errors)
+    share = k / n
+    half = F.lit(errors) * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))
+    return (share + z2 / (2 * n) - half) / (1 + z2 / n)
+
+
+def groups(texts: DataFrame, n_docs: int, limits: Thresholds) -> DataFrame:
+    """g1, g2 (a group of entities), text_key, label (of the context), n, n_contexts, information, bound.
+
+    ``texts`` is the stored table of distinct texts. A context's label is the smallest text it stands in, so
+    that contexts of different entities can be alike; a group's name is a digest of its texts and labels, made
+    without gathering them. ``bound`` is the p(t) above which no term can reach the lower threshold.
+    """
+    placed = texts.select("text_key", "n", F.inline("places"))
+    labels = placed.groupBy("entity", "context").agg(F.min("text_key").alias("label"))
+    labelled = placed.join(labels, ["entity", "context"]).drop("context")
+    mark = F.xxhash64("text_key", "label")
+    facts = labelled.groupBy("entity").agg(
+        F.bit_xor(mark).alias("g1"),
+        F.sum(F.pmod(F.xxhash64("label", "text_key"), F.lit((1 << 31) - 1))).alias("g2"),
+        F.count_if(F.col("text_key") == F.col("label")).alias("n_contexts"),
+        F.sum("n").alias("n_entity"),
+    )
+    information = F.log2(F.lit(n_docs) / F.col("n_entity"))
+    most = _lower_end(F.col("n_contexts"), F.col("n_contexts"), limits.errors)
+    bound = F.when(information > 0, most / F.pow(F.lit(2.0), limits.generalise * information)).otherwise(F.lit(0.0))
+    facts = facts.select("entity", "g1", "g2", "n_contexts", information.alias("information"), bound.alias("bound"))
+    # Of a group one entity stands for all.
+    one = facts.groupBy("g1", "g2").agg(F.min("entity").alias("entity"))
+    return labelled.join(facts.join(one, ["g1", "g2", "entity"]), "entity").drop("entity")
+
+
+def disclosing(docs: DataFrame, texts: DataFrame, limits: Thresholds = Thresholds(), text_col: str = "text") -> DataFrame:
+    """text_key, term, share, kind: the terms of a text that give away so much of an entity of it.
 
-    ``found`` is the stored table of contexts. Counts are over all documents.
+    ``texts`` is the stored table of distinct texts. Counts are over all documents.
     """
+    n_docs = docs.count()
+    in_groups = materialise(groups(texts, n_docs, limits), "disclosure-groups")
+    bounds = in_groups.groupBy("text_key").agg(F.max("bound").alias("most"))
+    spread = texts.join(bounds, "text_key").select("text_key", "most", F.explode("terms").alias("term"))
+    counts = term_counts(docs, text_col).groupBy("term").agg(F.sum("n").alias("n_term"))
+    usual = F.col("n_term") / F.lit(n_docs)
+    rare = spread.join(counts, "term").filter(usual <= F.col("most") * ROUNDING)
+    rare = materialise(rare.select("text_key", "term", "n_term"), "disclosure-terms")
+    met = rare.join(in_groups, "text_key").filter(usual <= F.col("bound") * ROUNDING)
+    met = materialise(met, "disclosure-met")
+    group = ["g1", "g2", "term"]
     pairs = (
-        found.groupBy("text_key", "entity", "context", "terms")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("entity", "context", F.explode("terms").alias("term"), "n")
-        .groupBy("entity", "context", "term")
+        met.groupBy(*group, "label", "n_contexts", "information", "n_term")
         .agg(F.sum("n").alias("n"))
-        .groupBy("entity", "term")
+        .groupBy(*group, "n_contexts", "information", "n_term")
         .agg(F.count(F.lit(1)).alias("n_both"), F.sum("n").alias("n_docs"))
+        # Judged is what also stands elsewhere: in another context of the entity, or without it.
+        .filter((F.col("n_both") > 1) | (F.col("n_term") > F.col("n_docs")))
     )
-    pairs = materialise(pairs, "disclosure-pairs")
-    met = found.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_contexts"))
-    entities = found.select("entity", "text_key").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    candidates = pairs.select("term").distinct()
-    terms = term_counts(docs, text_col).join(candidates, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
-    n_docs = docs.count()
-    # Written, so that their sizes are known before the joins.
-    sizes = materialise(met.join(entities, "entity"), "disclosure-entities")
-    known = pairs.join(sizes, "entity").join(materialise(terms, "disclosure-terms"), "term")
-    # Judged is what also stands elsewhere: in another context of the entity, or without it.
-    known = known.filter((F.col("n_both") > 1) | (F.col("n_term") > F.col("n_docs")))
-    usual = F.col("n_term") / F.lit(n_docs)
-    given = (F.col("n_both") + limits.smoothing * usual) / (F.col("n_contexts") + limits.smoothing)
-    pmi = F.log2(given / usual)
-    information = F.log2(F.lit(n_docs) / F.col("n_entity"))
-    share = F.when(information > 0, pmi / information)
+    share = F.log2(_lower_end(F.col("n_both"), F.col("n_contexts"), limits.errors) / usual) / F.col("information")
     kind = F.when(share >= limits.remove, F.lit("remove")).when(share >= limits.generalise, F.lit("generalise"))
-    return known.select("entity", "term", share.alias("share"), kind.alias("kind")).filter("kind is not null")
+    judged = pairs.select(*group, share.alias("share"), kind.alias("kind")).filter("kind is not null")
+    # Written, so that its size is known before the join.
+    judged = materialise(judged, "disclosure-judged")
+    found = met.select("text_key", *group).join(judged, group)
+    found = materialise(found.groupBy("text_key", "term").agg(F.max("share").alias("share"), F.max("kind").alias("kind")), "disclosure-harmful")
+    forget(in_groups, rare, met, judged)
+    return found
 
 
 def _measure_spans(texts: list[str | None], rules: list[list[dict] | None]) -> list[tuple]:
@@ -225,7 +286,7 @@ def _measure_spans(texts: list[str | None], rules: list[list[dict] | None]) -> l
         counts = [sum(k == i for _, k, _ in base) for i in range(4)]
         spans = list(base)
         if ruled:
-            kinds = {r["term"]: KINDS.index(r["kind"]) for r in sorted(ruled, key=lambda r: KINDS.index(r["kind"]))}
+            kinds = {r["term"]: KINDS.index(r["kind"]) for r in ruled}
             for m in _TERM.finditer(text):
                 kind = kinds.get(m[0].lower())
                 if kind is not None and not any(a < m.end() and m.start() < b for a, _, b in base):
@@ -264,16 +325,17 @@ def sanitise(
     """
     prepare(docs.sparkSession)
     found = materialise(contexts(docs, text_col), "disclosure-contexts")
-    harmful = materialise(disclosing(docs, found, limits, text_col), "disclosure-harmful")
+    known = found.groupBy("text_key").agg(
+        F.count(F.lit(1)).alias("n"), F.first("places", True).alias("places"), F.first("terms", True).alias("terms")
+    )
+    distinct = materialise(known, "disclosure-texts")
+    forget(found)
+    harmful = disclosing(docs, distinct, limits, text_col)
     # Written, so that its size is known before the join with the texts, and a hot text's rows can be split.
     rules = materialise(
-        found.select("text_key", "entity", F.explode("terms").alias("term"))
-        .distinct()
-        .join(harmful, ["entity", "term"])
-        .groupBy("text_key")
-        .agg(F.collect_set(F.struct("term", "kind")).alias("rules")),
-        "disclosure-rules",
+        harmful.groupBy("text_key").agg(F.collect_list(F.struct("term", "kind")).alias("rules")), "disclosure-rules"
     )
+    forget(distinct, harmful)
     packed = docs.select(
         F.struct(*[column(docs, c) for c in keep]).alias("row"), column(docs, text_col).cast("string").alias("text")
     )
@@ -287,12 +349,13 @@ def sanitise(
 
         return run
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterator[pa.RecordBatch], searched: bool = True) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             rules = batch.column("rules").to_pylist() if "rules" in batch.schema.names else [None] * batch.num_rows
-            made = list(zip(*_measure_spans(batch.column("text").to_pylist(), rules)))
+            texts_here = batch.column("text").to_pylist()
+            made = list(zip(*(_measure_spans(texts_here, rules) if searched else [(0, 0, 0, 0, 0, "", "", t) for t in texts_here])))
             types = [pa.int64()] * 5 + [pa.string()] * 3
             arrays = [pa.array(list(c), t) for c, t in zip(made, types)]
             if not texts:
@@ -302,7 +365,7 @@ def sanitise(
     schema = T.StructType([packed.schema["row"], *T._parse_datatype_string(FIELDS).fields])
     out_names = ["row", *[x.split(" ")[0] for x in FIELDS.split(", ")]]
     # One function where there is nothing to join, so that a task needs one worker.
-    free = packed.mapInArrow(released(lambda batches: finish(having(False)(batches))), schema)
+    free = packed.mapInArrow(released(lambda batches: finish(having(False)(batches), False)), schema)
     bound = packed.mapInArrow(released(having(True)), packed.schema).withColumn("text_key", F.md5(F.col("text").cast("binary")))
     bound = bound.join(rules, "text_key", "left").select("row", "text", "rules").mapInArrow(released(finish), schema)
     return free.unionByName(bound)

@@ -1,6 +1,7 @@
 """The text operators against brute force, on small tables with edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -479,6 +480,32 @@ def test_links_equal_brute_force(docs, texts, none, monkeypatch):
     assert _sorted(jaccard.join(docs).select(*columns).collect()) == want
 
 
+def test_a_group_of_near_copies_has_few_links(spark, monkeypatch):
+    """In proportion to the group, with lists short and long; counted where components meet them."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(4):
+            words[rng.randrange(400)] = f"x{rng.random()}"
+        rows.append((i, " ".join(words)))
+    fed = []
+    found = jaccard.components
+
+    def counted(links):
+        fed.append(links.count())
+        return found(links)
+
+    monkeypatch.setattr(jaccard, "components", counted)
+    for most in (128, 60):
+        monkeypatch.setattr(jaccard, "PAIR_LIST", most)
+        fed.clear()
+        got = jaccard.join(_docs(spark, rows), 4, 85).select("doc_id", "n_shingles", "component_id").collect()
+        assert _sorted(got) == _sorted(_brute_components(rows, 4, 85))
+        assert sum(fed) <= 8 * len(rows)
+
+
 def test_one_of_each_component_stays(docs, texts):
     kept = jaccard.first_of_each(docs)
     assert kept.columns == docs.columns
@@ -602,6 +629,83 @@ def test_terms_far_from_an_entity_are_removed(spark):
     assert all("Zanzibarus" not in got[i] and got[i].count("word") == 80 for i in range(200, 205))
 
 
+def _verdicts(rows, limits):
+    """(text, term) to kind: the rule in plain Python, entity by entity."""
+    z2 = limits.errors**2
+
+    def low(k, n):
+        p = k / n
+        return (p + z2 / (2 * n) - limits.errors * math.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+    terms = {t: set(re.findall(r"[^\W\d_]{2,}", t.lower())) for _, t in rows}
+    n_term = Counter(x for _, t in rows for x in terms[t])
+    met = {}
+    for _, t in rows:
+        first = {}
+        for a, kind, b in disclosure.base_spans(t):
+            first.setdefault(disclosure.entity(kind, t[a:b]), (a, b))
+        for name, (a, b) in first.items():
+            sides = re.findall(r"[^\W\d_]{2,}", t[max(0, a - 200) : a])[-10:], re.findall(r"[^\W\d_]{2,}", t[b : b + 200])[:10]
+            context = tuple(tuple(w.lower() for w in side) for side in sides)
+            met.setdefault(name, {}).setdefault(context, []).append(t)
+    out = {}
+    for contexts in met.values():
+        information = math.log2(len(rows) / sum(map(len, contexts.values())))
+        for term in set().union(*(terms[t] for ts in contexts.values() for t in ts)):
+            n_both = sum(any(term in terms[t] for t in ts) for ts in contexts.values())
+            n_docs = sum(term in terms[t] for ts in contexts.values() for t in ts)
+            if information > 0 and (n_both > 1 or n_term[term] > n_docs):
+                share = math.log2(low(n_both, len(contexts)) / (n_term[term] / len(rows))) / information
+                kind = "remove" if share >= limits.remove else "generalise" if share >= limits.generalise else None
+                for t in {t for ts in contexts.values() for t in ts if kind and term in terms[t]}:
+                    out[t, term] = max(kind, out.get((t, term), ""))
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(11)
+    names = [f"{a}{b}name" for a in "pqrstuv" for b in "aeiou"]
+    entities = [f"user{i}@mail.example.org" for i in range(12)] + ["10.0.0.1", "10.0.0.2"]
+    rows = []
+    for i in range(260):
+        words = _prose(rng, rng.randrange(5, 40)).split() + rng.choices(names, k=rng.randrange(3))
+        held = rng.sample(entities, rng.choice([0, 0, 1, 2, 5])) + (["10.0.0.1"] if i % 3 == 0 else [])
+        rng.shuffle(words)
+        at = rng.randrange(len(words))
+        rows.append((i, " ".join(words[:at] + held + words[at:])))
+    # Copies, one context in two texts, and many addresses of one text.
+    rows += [(300 + i, rows[i % 7][1]) for i in range(20)]
+    rows += [(400, rows[3][1] + " " * 300 + "zebra"), (401, "zebra " + " ".join(f"a{i}@b.example.com" for i in range(300)) + " quagga"), (402, "quagga")]
+    limits = disclosure.Thresholds(0.35, 0.6)
+    got = {}
+    for r in disclosure.sanitise(_docs(spark, rows).repartition(3), ["doc_id"], limits).select("row.doc_id", "spans").collect():
+        text = dict(rows)[r["doc_id"]]
+        for kind, a, b in (s.split(":") for s in r["spans"].split(",") if s):
+            if kind in ("generalise", "remove"):
+                got[text, text[int(a) : int(b)].lower()] = kind
+    want = {}
+    for (t, term), kind in _verdicts(rows, limits).items():
+        base = disclosure.base_spans(t)
+        if any(m[0].lower() == term and not any(a < m.end() and m.start() < b for a, _, b in base) for m in re.finditer(r"[^\W\d_]{2,}", t)):
+            want[t, term] = kind
+    assert got == want and set(got.values()) == {"generalise", "remove"}
+
+
+def test_entities_of_the_same_texts_are_one_group(spark):
+    text = " ".join(f"a{i}@b.example.com word{'abcdefghij'[i % 10]}" for i in range(500))
+    docs = _docs(spark, [(1, text), (2, "a1@b.example.com alone"), (3, text)])
+    known = disclosure.contexts(docs.coalesce(1)).groupBy("text_key").agg(
+        F.count(F.lit(1)).alias("n"), F.first("places", True).alias("places"), F.first("terms", True).alias("terms")
+    )
+    grouped = disclosure.groups(known, 3, disclosure.Thresholds()).collect()
+    assert len({(r["g1"], r["g2"]) for r in grouped}) == 2 and len(grouped) == 3
+
+
+def test_long_runs_of_digits_are_no_address():
+    assert disclosure.base_spans("1.2.3." + "0" * 5000) == [(0, 1, 5006)]
+    assert disclosure.base_spans("1.2.3." + "9" * 5000 + " 1.2.3.256 01.002.0003.00") == [(5017, 1, 5031)]
+
+
 # ---- dialogues ----
 
 
