@@ -13,8 +13,9 @@ estimates to be cheapest: a longer prefix meets more lists but asks for more mat
 4. Short lists give pairs, whose matches are counted, and bounded by position, before any set
    is compared. A list longer than PAIR_LIST never becomes pairs: its members are compared
    block by block, each pair of blocks in a task of its own, which returns a spanning forest.
-5. Each set's best pairs are verified first; of the rest only pairs that join different
-   components are.
+5. Each set's best pairs are verified first. Of the rest, in rounds, each component's best pairs
+   with other components are; what they link is contracted to one, and pairs inside it are
+   verified no more. Each round takes more pairs of a component, so rounds are few.
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custspark.llm.common import ASCII_LOWER, Measure, Windows, extend, mixed, prepare, raw_texts, released, signed, word_hashes
 from custspark.llm.components import components
-from custspark.session import materialise
+from custspark.session import collected, discard, forget, materialise
 
 #: Longest list that becomes pairs, members of a block of a longer one, longest l, pairs verified first per set.
 PAIR_LIST, BLOCK, MOST_MATCHES, BEST = 128, 512, 8, 3
+#: Lanes in which a component's pairs are ranked before they meet.
+LANES = 16
 #: Verifying one token against scanning one list entry, for the choice of l.
 VERIFY_COST = 0.05
 
@@ -99,8 +102,8 @@ def _sets(docs: DataFrame, rows: DataFrame, width: int, percent: int, id_col: st
         .join(alone, "k1", "left")
         .filter(F.coalesce("n_alone", F.lit(0)) <= _slack(F.col("n"), percent))
     )
-    classes = materialise(classes.select("k1", "k2", "n", "rep"), "jaccard-classes")
-    classes = classes.withColumn("cid", F.monotonically_increasing_id())
+    stored = materialise(classes.select("k1", "k2", "n", "rep"), "jaccard-classes")
+    classes = stored.withColumn("cid", F.monotonically_increasing_id())
     windows_of = Windows
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +128,9 @@ def _sets(docs: DataFrame, rows: DataFrame, width: int, percent: int, id_col: st
     # An id that several texts share brings them all; the class keys sort them out.
     sets = classes.join(full, ["k1", "k2"]).dropDuplicates(["cid"])
     prepare(spark)
-    return materialise(sets.select("cid", "k1", "k2", "n", "tokens"), "jaccard-sets")
+    stored_sets = materialise(sets.select("cid", "k1", "k2", "n", "tokens"), "jaccard-sets")
+    forget(stored, reps)
+    return stored_sets
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
@@ -157,7 +162,7 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     )
     chosen = grouped.withColumn("matches", F.array_min(choices)["matches"])
     prefix = F.slice("shared", F.lit(1), F.col("first") + F.col("matches") - 1)
-    return materialise(
+    postings = materialise(
         chosen.select("cid", "n", "first", "matches", F.posexplode(prefix).alias("at", "t")).select(
             F.col("t.token").alias("token"),
             "cid",
@@ -167,6 +172,8 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
         ),
         "jaccard-postings",
     )
+    forget(shared)
+    return postings
 
 
 def _pairs(listed: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +213,6 @@ def overlap_links(percent: int, cids: np.ndarray, sets: list[np.ndarray], other:
             x = parent[x]
         return x
 
-    links = []
     for i in range(other or len(sets)):
         low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
         width = high - low
@@ -219,8 +225,11 @@ def overlap_links(percent: int, cids: np.ndarray, sets: list[np.ndarray], other:
             x, y = find(i), find(j)
             if x != y:
                 parent[x] = y
-                links.append((int(cids[i]), int(cids[j])))
-    return links
+    # Every tree is a star round its smallest id: the same, whichever token the sets have met by.
+    least: dict[int, int] = {}
+    for i, cid in enumerate(cids.tolist()):
+        least[find(i)] = min(least.get(find(i), cid), cid)
+    return [(least[find(i)], cid) for i, cid in enumerate(cids.tolist()) if least[find(i)] != cid]
 
 
 def _block_links(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,26 +273,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").filter(alike).select("a", "b")
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b (class ids): enough links for all components, a stored table."""
+def _best(pairs: DataFrame, most: int) -> DataFrame:
+    """a, b of the pairs (a, b, met, x, y) that are among the best of x or of y; ranked in lanes first, as x may have very many."""
+    either = pairs.select("a", "b", "met", F.col("x").alias("of")).union(pairs.select("a", "b", "met", F.col("y").alias("of")))
+    order = [F.col("met").desc(), F.col("a"), F.col("b")]
+    lanes = Window.partitionBy("of", "lane").orderBy(*order)
+    ranked = either.withColumn("lane", F.pmod(F.xxhash64("a", "b"), F.lit(LANES))).withColumn("rank", F.row_number().over(lanes))
+    ranked = ranked.filter(F.col("rank") <= most).withColumn("rank", F.row_number().over(Window.partitionBy("of").orderBy(*order)))
+    return ranked.filter(F.col("rank") <= most).select("a", "b").distinct()
+
+
+def rooted(sets: DataFrame, percent: int) -> DataFrame:
+    """node, root (class ids): the smallest class of each component of more than one class; a stored table."""
     postings = _postings(sets, percent)
     sizes = materialise(postings.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "jaccard-lists")
     short = postings.join(sizes.filter(F.col("size") <= PAIR_LIST).select("token"), "token")
     long = postings.join(sizes.filter(F.col("size") > PAIR_LIST).select("token"), "token", "left_semi")
     pairs = materialise(_pairs(short, percent), "jaccard-pairs")
-    either = pairs.select(F.col("a").alias("x"), F.struct(-F.col("met"), "a", "b").alias("p")).union(
-        pairs.select(F.col("b").alias("x"), F.struct(-F.col("met"), "a", "b").alias("p"))
-    )
-    best = either.groupBy("x").agg(F.slice(F.sort_array(F.collect_list("p")), 1, BEST).alias("ps"))
-    first = best.select(F.explode("ps").alias("p")).select("p.a", "p.b").distinct()
-    sure = _verified(first, sets, percent).union(_block_links(long, sets, percent))
+    first = materialise(_best(pairs.withColumns({"x": F.col("a"), "y": F.col("b")}), BEST), "jaccard-first")
+    sure = _verified(first, sets, percent).union(_block_links(long, sets, percent)).distinct()
     sure = materialise(sure, "jaccard-links")
+    forget(postings, sizes)
     roots = components(sure)
-    ra, rb = roots.toDF("a", "ra"), roots.toDF("b", "rb")
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
-    apart = rest.filter(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b")))
-    more = materialise(_verified(apart, sets, percent), "jaccard-links")
-    return sure.union(more)
+    left = pairs.join(first, ["a", "b"], "left_anti")
+    done, most = [pairs, first, sure], BEST
+    while True:
+        # Pairs whose sets are in different components; the components stand for the sets.
+        ra, rb = roots.toDF("a", "x"), roots.toDF("b", "y")
+        apart = left.select("a", "b", "met").join(ra, "a", "left").join(rb, "b", "left")
+        apart = apart.select("a", "b", "met", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+        apart = materialise(apart.filter("x <> y"), "jaccard-apart")
+        forget(*done)
+        if apart.isEmpty():
+            forget(apart)
+            return roots
+        most *= 4
+        chosen = materialise(_best(apart, most), "jaccard-chosen-pairs")
+        joined = _verified(chosen, sets, percent).join(apart, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        up = components(joined).toDF("root", "now")
+        # Every component that has joined another one, and the sets in it; a set alone is its own component.
+        moved = roots.join(up, "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+        alone = up.join(roots, up.root == roots.node, "left_anti").select(F.col("root").alias("node"), F.col("now").alias("root"))
+        roots = materialise(moved.union(alone), "jaccard-roots")
+        left, done = apart.join(chosen, ["a", "b"], "left_anti"), [apart, chosen]
 
 
 def join(
@@ -297,20 +329,22 @@ def join(
     and so one component. A null id is never the smallest; among null ids alone the
     component's id is null.
     """
-    stored = materialise(keyed(docs, [id_col], width, True, id_col, text_col), "jaccard-keys")
-    rows = stored.withColumn("doc_id", F.col("row").getField(id_col)).drop("row")
-    sets = _sets(docs, rows, width, percent, id_col, text_col)
-    roots = components(links(sets, percent))
-    names = sets.select("cid", "k1", "k2")
-    linked = roots.join(names, roots.node == names.cid).select("k1", "k2", F.col("root").alias("cid"))
-    linked = linked.join(names.select("cid", F.struct("k1", "k2").alias("root")), "cid").drop("cid")
-    classes = rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("smallest"))
-    rooted = materialise(
-        classes.join(linked, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", F.struct("k1", "k2"))), "jaccard-rooted"
-    )
-    ids = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    # Written, so that its size is known and a class with very many copies can be split in the join.
-    placed = materialise(rooted.join(ids, "root").select("k1", "k2", "root", "component_id"), "jaccard-components")
+    with collected() as held:
+        stored = materialise(keyed(docs, [id_col], width, True, id_col, text_col), "jaccard-keys")
+        rows = stored.withColumn("doc_id", F.col("row").getField(id_col)).drop("row")
+        sets = _sets(docs, rows, width, percent, id_col, text_col)
+        roots = rooted(sets, percent)
+        names = sets.select("cid", "k1", "k2")
+        linked = roots.join(names, roots.node == names.cid).select("k1", "k2", F.col("root").alias("cid"))
+        linked = linked.join(names.select("cid", F.struct("k1", "k2").alias("root")), "cid").drop("cid")
+        classes = rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("smallest"))
+        placed_classes = materialise(
+            classes.join(linked, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", F.struct("k1", "k2"))), "jaccard-rooted"
+        )
+        ids = placed_classes.groupBy("root").agg(F.min("smallest").alias("component_id"))
+        # Written, so that its size is known and a class with very many copies can be split in the join.
+        placed = materialise(placed_classes.join(ids, "root").select("k1", "k2", "root", "component_id"), "jaccard-components")
+    discard(docs.sparkSession, held, stored, placed)
     full = rows.filter("k1 is not null").join(placed, ["k1", "k2"])
     out = ["doc_id", "n_shingles", "component_id", "k1", "k2", "root"]
     none = rows.filter("k1 is null").withColumns(
@@ -327,16 +361,18 @@ def first_of_each(
     Documents without words are all kept. Of rows that repeat the smallest id inside a
     component one is kept; a component of null ids keeps one of them.
     """
-    placed = materialise(
-        join(docs, width, percent, id_col, text_col)
-        .filter("root is not null")
-        .groupBy("k1", "k2", "root", "component_id")
-        .agg(F.min("doc_id").alias("class_id")),
-        "jaccard-classes-placed",
-    )
-    # Classes that hold none of their component's smallest id have nothing to keep; of those that do, one.
-    chosen = placed.filter(F.col("class_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
-    chosen = materialise(chosen.select("class_id", "k1", "k2"), "jaccard-chosen")
+    with collected() as held:
+        placed = materialise(
+            join(docs, width, percent, id_col, text_col)
+            .filter("root is not null")
+            .groupBy("k1", "k2", "root", "component_id")
+            .agg(F.min("doc_id").alias("class_id")),
+            "jaccard-classes-placed",
+        )
+        # Classes that hold none of their component's smallest id have nothing to keep; of those that do, one.
+        chosen = placed.filter(F.col("class_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+        chosen = materialise(chosen.select("class_id", "k1", "k2"), "jaccard-chosen")
+    discard(docs.sparkSession, held, chosen)
     marked = keyed(docs, docs.columns, width, False, id_col, text_col).select("row", "k1", "k2")
     marked = marked.withColumn("doc_id", F.col("row").getField(id_col))
     # By id and set together, so that the copies of one text are dealt to all tasks.
