@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custspark.llm import bpe, disclosure, fertility, fmindex, jaccard
 from custspark.llm.common import table
-from custspark.session import materialise
+from custspark.session import collected, discard, materialise
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Near duplicates share this percentage of their shingles of so many words.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -44,12 +49,34 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("row.*", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+#: Folders that the stages called last have made for themselves.
+_held: list[str] = []
+
+
+def _after_the_others(stage: Stage) -> Stage:
+    """The stage, which first deletes what the one before has made for itself.
+
+    A stage's result must be stored before the next stage is called, as ``run`` does: then nothing
+    reads its intermediate tables any more, and they would only fill the shared folder.
+    """
+
+    @wraps(stage)
+    def called(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _held)
+        with collected() as folders:
+            out = stage(spark, docs, sf_dir)
+        _held[:] = folders
+        return out
+
+    return called
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", decontamination),
-    ("PII", personal_data),
-    ("BPE encoding and decoding", encoding),
+    ("quality rules", _after_the_others(quality_rules)),
+    ("n-gram Jaccard join", _after_the_others(near_duplicates)),
+    ("benchmark decontamination", _after_the_others(decontamination)),
+    ("PII", _after_the_others(personal_data)),
+    ("BPE encoding and decoding", _after_the_others(encoding)),
 ]
 
 #: Fertility, disclosure and byte-pair encoding have no SQL form.
