@@ -283,26 +283,50 @@ def _best(pairs: DataFrame, most: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= most).select("a", "b").distinct()
 
 
+def _contracted(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The roots after edges (a, b) between components; a class without a root is a component of its own."""
+    up = components(edges).toDF("root", "now")
+    moved = roots.join(up, "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    alone = up.join(roots, up.root == roots.node, "left_anti").select(F.col("root").alias("node"), F.col("now").alias("root"))
+    return materialise(moved.union(alone), "jaccard-roots")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of classes of different components, which are x and y."""
+    ra, rb = roots.toDF("a", "x"), roots.toDF("b", "y")
+    known = pairs.join(ra, "a", "left").join(rb, "b", "left")
+    return known.withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")}).filter("x <> y")
+
+
 def rooted(sets: DataFrame, percent: int) -> DataFrame:
     """node, root (class ids): the smallest class of each component of more than one class; a stored table."""
     postings = _postings(sets, percent)
     sizes = materialise(postings.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "jaccard-lists")
     short = postings.join(sizes.filter(F.col("size") <= PAIR_LIST).select("token"), "token")
-    long = postings.join(sizes.filter(F.col("size") > PAIR_LIST).select("token"), "token", "left_semi")
+    long = postings.select("token", "cid").join(sizes.filter(F.col("size") > PAIR_LIST), "token")
     pairs = materialise(_pairs(short, percent), "jaccard-pairs")
     first = materialise(_best(pairs.withColumns({"x": F.col("a"), "y": F.col("b")}), BEST), "jaccard-first")
-    sure = _verified(first, sets, percent).union(_block_links(long, sets, percent)).distinct()
-    sure = materialise(sure, "jaccard-links")
-    forget(postings, sizes)
+    # Of the long lists that a set is in it meets one at first, the shortest: near copies choose alike.
+    own = long.groupBy("cid").agg(F.min(F.struct("size", "token")).alias("least")).select("least.token", "cid")
+    sure = materialise(_verified(first, sets, percent).union(_block_links(own, sets, percent)).distinct(), "jaccard-links")
     roots = components(sure)
+    # Long lists inside one component have nothing left to find; the others are compared whole.
+    component = F.coalesce("root", "cid")
+    mixed = (
+        long.join(roots, F.col("cid") == F.col("node"), "left")
+        .groupBy("token")
+        .agg(F.min(component).alias("low"), F.max(component).alias("high"))
+        .filter("low < high")
+    )
+    mixed = materialise(mixed.select("token"), "jaccard-mixed")
+    across = materialise(_block_links(long.select("token", "cid").join(mixed, "token"), sets, percent).distinct(), "jaccard-across")
+    forget(postings, sizes, mixed)
+    roots = _contracted(roots, _apart(across, roots).select(F.col("x").alias("a"), F.col("y").alias("b")))
     left = pairs.join(first, ["a", "b"], "left_anti")
-    done, most = [pairs, first, sure], BEST
+    done, most = [pairs, first, sure, across], BEST
     while True:
         # Pairs whose sets are in different components; the components stand for the sets.
-        ra, rb = roots.toDF("a", "x"), roots.toDF("b", "y")
-        apart = left.select("a", "b", "met").join(ra, "a", "left").join(rb, "b", "left")
-        apart = apart.select("a", "b", "met", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-        apart = materialise(apart.filter("x <> y"), "jaccard-apart")
+        apart = materialise(_apart(left.select("a", "b", "met"), roots), "jaccard-apart")
         forget(*done)
         if apart.isEmpty():
             forget(apart)
@@ -310,11 +334,7 @@ def rooted(sets: DataFrame, percent: int) -> DataFrame:
         most *= 4
         chosen = materialise(_best(apart, most), "jaccard-chosen-pairs")
         joined = _verified(chosen, sets, percent).join(apart, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        up = components(joined).toDF("root", "now")
-        # Every component that has joined another one, and the sets in it; a set alone is its own component.
-        moved = roots.join(up, "root", "left").select("node", F.coalesce("now", "root").alias("root"))
-        alone = up.join(roots, up.root == roots.node, "left_anti").select(F.col("root").alias("node"), F.col("now").alias("root"))
-        roots = materialise(moved.union(alone), "jaccard-roots")
+        roots = _contracted(roots, joined)
         left, done = apart.join(chosen, ["a", "b"], "left_anti"), [apart, chosen]
 
 
