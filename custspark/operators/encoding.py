@@ -13,10 +13,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import IndexToString, StringIndexerModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from custspark.functions.missing import category
+from custspark.functions.missing import category, exact
 from custspark.schema import CATEGORICALS
 from custspark.session import materialise
 
@@ -62,6 +62,19 @@ def rank_labels(labels: DataFrame) -> DataFrame:
     )
 
 
+def _packed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows as the struct ``row``, so that no name of theirs can clash, and the columns' texts as text0, text1, ..."""
+    texts = [category(exact(c)).alias(f"text{i}") for i, c in enumerate(columns)]
+    return df.select(F.struct(*[exact(c) for c in df.columns]).alias("row"), *texts)
+
+
+def _unpacked(packed: DataFrame, df: DataFrame, encoded: dict[str, Column]) -> DataFrame:
+    """The columns of ``df`` and the encoded ones; earlier encodings of the same columns are replaced."""
+    new = {f"{c}_encoded": index for c, index in encoded.items()}
+    own = [F.col("row").getField(c).alias(c) for c in df.columns if c not in new]
+    return packed.select(*own, *[index.alias(c) for c, index in new.items()])
+
+
 @dataclass(frozen=True)
 class CategoryEncoding:
     """Fitted encoding; every fit makes a new one.
@@ -89,28 +102,29 @@ class CategoryEncoding:
 
     def _lookup(self, df: DataFrame, column: str) -> DataFrame:
         """By a join with the labels; whether they are broadcast is decided by their size in bytes."""
-        rows = list(enumerate(self.labels[column]))
-        table = df.sparkSession.createDataFrame(rows, "_idx bigint, _label string")
-        joined = df.join(table, category(column) == F.col("_label"), "left")
-        index = F.coalesce("_idx", F.lit(UNSEEN).cast("bigint"))
-        return joined.withColumn(f"{column}_encoded", index).drop("_idx", "_label")
+        table = df.sparkSession.createDataFrame(list(enumerate(self.labels[column])), "idx bigint, label string")
+        joined = _packed(df, [column]).join(table, F.col("text0") == F.col("label"), "left")
+        return _unpacked(joined, df, {column: F.coalesce("idx", F.lit(UNSEEN).cast("bigint"))})
 
     def _index(self, df: DataFrame, names: list[str]) -> DataFrame:
         """By Spark ML's indexer."""
+        places = range(len(names))
         # "keep" gives every unknown label the index behind the last one.
         model = StringIndexerModel.from_arrays_of_labels(
             [self.labels[c] for c in names],
-            inputCols=[f"_{c}_text" for c in names],
-            outputCols=[f"_{c}_index" for c in names],
+            inputCols=[f"text{i}" for i in places],
+            outputCols=[f"index{i}" for i in places],
             handleInvalid="keep",
         )
-        indexed = model.transform(df.withColumns({f"_{c}_text": category(c) for c in names}))
-        encoded = {
-            f"{c}_encoded": F.when(F.col(f"_{c}_index") < len(self.labels[c]), F.col(f"_{c}_index").cast("bigint"))
-            .otherwise(F.lit(UNSEEN))
-            for c in names
-        }
-        return indexed.withColumns(encoded).drop(*model.getInputCols(), *model.getOutputCols())
+        indexed = model.transform(_packed(df, names))
+        return _unpacked(
+            indexed,
+            df,
+            {
+                c: F.when(F.col(f"index{i}") < len(self.labels[c]), F.col(f"index{i}").cast("bigint")).otherwise(F.lit(UNSEEN))
+                for i, c in enumerate(names)
+            },
+        )
 
     @staticmethod
     def _join(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
@@ -121,19 +135,16 @@ class CategoryEncoding:
         partition is part of the salt, so that copies are spread as well; it is
         the same when a task runs again.
         """
-        hot = table.filter("is_hot").select(F.col("label").alias("_hot_label"), F.col("idx").alias("_hot_idx"))
-        cold = table.filter("not is_hot").select(
-            F.col("label").alias("_label"), F.col("idx").alias("_idx"), F.lit(0).alias("_label_salt")
-        )
-        salt = (F.pmod(F.xxhash64(F.spark_partition_id(), *df.columns), F.lit(SALTS)) + 1).cast("int")
+        hot = table.filter("is_hot").select(F.col("label").alias("hot_label"), F.col("idx").alias("hot_idx"))
+        cold = table.filter("not is_hot").select("label", "idx", F.lit(0).alias("label_salt"))
+        salt = (F.pmod(F.xxhash64(F.spark_partition_id(), "row"), F.lit(SALTS)) + 1).cast("int")
         rows = (
-            df.withColumn("_text", category(column))
-            .join(F.broadcast(hot), F.col("_text") == F.col("_hot_label"), "left")
-            .withColumn("_salt", F.when(F.col("_hot_idx").isNotNull(), salt).otherwise(F.lit(0)))
+            _packed(df, [column])
+            .join(F.broadcast(hot), F.col("text0") == F.col("hot_label"), "left")
+            .withColumn("salt", F.when(F.col("hot_idx").isNotNull(), salt).otherwise(F.lit(0)))
         )
-        joined = rows.join(cold, (F.col("_text") == F.col("_label")) & (F.col("_salt") == F.col("_label_salt")), "left")
-        index = F.coalesce("_hot_idx", "_idx", F.lit(UNSEEN).cast("bigint"))
-        return joined.withColumn(f"{column}_encoded", index).select(*df.columns, f"{column}_encoded")
+        joined = rows.join(cold, (F.col("text0") == F.col("label")) & (F.col("salt") == F.col("label_salt")), "left")
+        return _unpacked(joined, df, {column: F.coalesce("hot_idx", "idx", F.lit(UNSEEN).cast("bigint"))})
 
     def save(self, path: str, spark: SparkSession) -> None:
         rows = [(c, label, i) for c, labels in self.labels.items() for i, label in enumerate(labels)]

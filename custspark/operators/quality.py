@@ -24,22 +24,31 @@ def _violations(df: DataFrame, ranges: dict, domains: dict) -> dict[str, Column]
     return rules
 
 
-def with_violations(df: DataFrame, ranges: dict = RANGES, domains: dict = DOMAINS) -> DataFrame:
-    """Add ``violations``, the names of the broken rules, and ``is_valid``."""
+def _broken(df: DataFrame, ranges: dict, domains: dict) -> Column:
+    """The names of the broken rules."""
     rules = _violations(df, ranges, domains)
     if not rules:
-        return df.withColumns({"violations": F.array().cast("array<string>"), "is_valid": F.lit(True)})
-    broken = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
-    return df.withColumn("violations", broken).withColumn("is_valid", F.size("violations") == 0)
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+
+
+def _refuse(df: DataFrame, *names: str) -> None:
+    taken = [n for n in names if n in df.columns]
+    if taken:
+        raise ValueError(f"columns of these names are added, the input has them already: {', '.join(taken)}")
+
+
+def with_violations(df: DataFrame, ranges: dict = RANGES, domains: dict = DOMAINS) -> DataFrame:
+    """Add ``violations``, the names of the broken rules, and ``is_valid``; the input must not have them."""
+    _refuse(df, "violations", "is_valid")
+    return df.withColumn("violations", _broken(df, ranges, domains)).withColumn("is_valid", F.size("violations") == 0)
 
 
 def split_valid(df: DataFrame, ranges: dict = RANGES, domains: dict = DOMAINS) -> tuple[DataFrame, DataFrame]:
-    """Valid rows, and rejected rows with their ``violations``."""
-    checked = with_violations(df, ranges, domains)
-    return (
-        checked.filter("is_valid").drop("violations", "is_valid"),
-        checked.filter(~F.col("is_valid")).drop("is_valid"),
-    )
+    """Valid rows with the input's columns, and rejected rows with their ``violations``."""
+    _refuse(df, "violations")
+    broken = _broken(df, ranges, domains)
+    return df.filter(F.size(broken) == 0), df.filter(F.size(broken) > 0).withColumn("violations", broken)
 
 
 def with_quality_flags(df: DataFrame) -> DataFrame:

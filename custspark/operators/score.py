@@ -12,7 +12,7 @@ from custspark.functions.scores import with_engagement
 from custspark.operators.encoding import decode_segment
 from custspark.operators.features import assemble, with_features
 from custspark.operators.train import CustomerModels
-from custspark.schema import NOT_NEEDED_FOR_SCORING
+from custspark.schema import SCORING_COLUMNS
 
 
 def score(
@@ -25,9 +25,10 @@ def score(
 
     One plan without a shuffle; the best engagement of the batch is the only
     other pass and reads two columns, or all features where rows may be skipped. Known labels of the input, such as its
-    own ``churn_probability``, do not reach the result.
+    own ``churn_probability``, do not reach the result, and no column beyond the features' is looked at: a table
+    that holds earlier scores can be scored again.
     """
-    inputs = df.drop(*NOT_NEEDED_FOR_SCORING)
+    inputs = df.select(*SCORING_COLUMNS)
     rows = assemble(with_features(inputs, models.encoding), handle_invalid=handle_invalid)
     if reference_max is not None:
         highest = F.lit(float(reference_max))

@@ -19,7 +19,7 @@ from custspark.operators.evaluate import accuracy, as_rows, mean_absolute_error,
 from custspark.operators.features import assemble, with_features
 from custspark.operators.scaling import Standardizer, fit_vector_standardizer
 from custspark.operators.split import SEED, is_train
-from custspark.schema import FEATURES, KEY
+from custspark.schema import CUSTOMER_SCHEMA, FEATURES, KEY
 from custspark.session import materialise
 
 # Features that give the purchase frequency away when it is the label.
@@ -36,6 +36,7 @@ USUAL_TASKS = 8
 # Up to this size per task, keeping each row's node in every tree beats finding it again.
 NODE_ID_BYTES_PER_TASK = 32 * 1024 * 1024
 
+TRAINING_COLUMNS = [c for c in CUSTOMER_SCHEMA.names if c != "registration_date"]
 LABELS = ["churn_label", "customer_lifetime_value", "purchase_frequency", "segment_label"]
 
 
@@ -142,15 +143,25 @@ def prepare(
 ) -> DataFrame:
     """The training table: key, vector, the four labels and the side of the split, written once.
 
-    Rows are dealt out evenly, whatever keys or copies they hold, and sorted, so
-    the fits' tasks are of one size and another run on the same files draws the
-    same samples. The split is a folder level: a fit reads training rows only.
+    The split is a folder level: a fit reads training rows only. ``deal`` is a digest of
+    the row, by which ``dealt`` hands rows to the fits' tasks.
     """
     rows = with_features(df, encoding)
     rows = encode_segment(rows, segment_labels, skip=handle_invalid == "skip").withColumn("churn_label", churn_label(F.col("churn_probability")))
     rows = assemble(rows, handle_invalid=handle_invalid).withColumn("is_train", is_train())
-    placed = rows.select(KEY, "features", *LABELS, "is_train").repartition(tasks)
-    return materialise(placed.sortWithinPartitions("is_train", KEY), "training", partition_by="is_train")
+    deal = F.xxhash64(KEY, *FEATURES, *LABELS).alias("deal")
+    placed = rows.select(KEY, "features", *LABELS, "is_train", deal).repartition(tasks, "deal")
+    return materialise(placed.sortWithinPartitions("is_train", "deal", KEY), "training", partition_by="is_train")
+
+
+def dealt(table: DataFrame, tasks: int) -> DataFrame:
+    """The rows of each task, and their order, from the rows alone.
+
+    A forest's samples are drawn by a row's task and its place there. So both depend on the row's digest, and
+    neither on the files that the customers came from nor on how many cores read the training table.
+    Rows that are equal in all columns go to one task.
+    """
+    return table.repartition(tasks, "deal").sortWithinPartitions("deal", KEY)
 
 
 def _check_labels(table: DataFrame) -> None:
@@ -181,16 +192,18 @@ def train(
     ``df`` is read three times (rows, labels, training table), so it should be
     a table and not a long plan. Gives the models and a (model, metric,
     value) DataFrame. The fits are independent and each leaves executors idle
-    between its stages, so ``parallel_fits`` of them run at a time.
+    between its stages, so ``parallel_fits`` of them run at a time. Columns beyond the
+    customer table's are not looked at.
     """
     spark = df.sparkSession
+    df = df.select(*TRAINING_COLUMNS)
     encoding, segment_labels = fit_encoding_and_segments(df)
     n_rows = df.count()
     tasks = task_count(n_rows)
     table = prepare(df, encoding, segment_labels, tasks, handle_invalid)
     _check_labels(table)
 
-    training = table.filter("is_train").coalesce(tasks)
+    training = dealt(table.filter("is_train"), tasks)
     scaler = fit_vector_standardizer(training, "features", FEATURES)
     left_out = FREQUENCY_TARGET_FEATURES if exclude_target_features else []
     frequency_features = [c for c in FEATURES if c not in left_out]

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from custspark.operators import explore, quality, split
+from custspark.operators import encoding, explore, quality, split
 from custspark.schema import DEFAULTS, KEY
 
 
@@ -105,3 +105,18 @@ def test_split_is_complete_disjoint_and_stable(spark, customer_rows):
     for other in (customer_rows.repartition(3), customer_rows.orderBy(F.desc("age")), customer_rows.coalesce(1)):
         assert {r[KEY] for r in split.split(other)[0].select(KEY).collect()} == keys
     assert {r[KEY] for r in split.split(customer_rows, seed=7)[0].select(KEY).collect()} != keys
+
+
+def test_names_with_dots_and_names_in_use(spark):
+    rows = edge_rows(spark).withColumns({"a.b": F.lit(float("nan")), "text0": F.lit("t"), "salt": F.lit("s")})
+    assert explore.kpi_summary(rows).first()["total_columns"] == len(rows.columns)
+    valid, rejected = quality.split_valid(rows.withColumn("is_valid", F.lit("own")))
+    assert {r["is_valid"] for r in [*valid.collect(), *rejected.collect()]} == {"own"}
+    with pytest.raises(ValueError, match="violations"):
+        quality.with_violations(rows.withColumn("violations", F.lit(1)))
+    for most in (0, 10):
+        fitted = encoding.fit_encoding(rows, ["gender", "city"], max_in_memory=most)
+        for df in (fitted.transform(rows), fitted.transform(fitted.transform(rows))):
+            assert df.columns == [*rows.columns, *[c for c in df.columns if c.endswith("_encoded")]]
+            assert {(r["text0"], r["salt"]) for r in df.collect()} == {("t", "s")}
+            assert all((r["gender"] == "F") == (r["gender_encoded"] == 0) for r in df.collect())

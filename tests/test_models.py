@@ -182,3 +182,25 @@ def test_whole_flow(spark, customer_rows, tmp_path):
     assert (scores.count(), refused.count()) == (1, 1)
     valid, rejected = app.validate(app.load())
     assert valid.count() + rejected.count() == customer_rows.count()
+
+
+def test_models_depend_on_rows_and_not_on_files(spark, tmp_path):
+    """Several tasks of rows, from one, five and fifty files."""
+    from custspark.plans.customers import customers
+
+    rows = customers(spark, "/root/testdata/sf0.1")
+    rows.coalesce(1).write.parquet(str(tmp_path / "1"))
+    one = spark.read.parquet(str(tmp_path / "1"))
+    assert task_count(one.count()) > 4
+    for n in (5, 50):
+        one.repartition(n).write.parquet(str(tmp_path / str(n)))
+    got = [values(train(spark.read.parquet(str(tmp_path / str(n))), QUICK)[1]) for n in (1, 5, 50)]
+    assert got[0] == pytest.approx(got[1], rel=1e-9) and got[0] == pytest.approx(got[2], rel=1e-9)
+
+
+def test_tables_with_other_columns(customer_rows, trained):
+    """Names that training and scoring use themselves, and one with a dot, change nothing."""
+    names = ["features", "frequency_vector", "segment_label", "predicted_clv", "will_churn", "gender_encoded", "is_train", "a.b", "text0", "deal"]
+    wide = customer_rows.withColumns({n: F.lit("x") for n in names})
+    assert values(train(wide, QUICK)[1]) == values(trained[1])
+    assert rows_of(score(wide, trained[0])) == rows_of(score(customer_rows, trained[0]))
