@@ -33,6 +33,10 @@ class CustomerAnalytics:
     def save(self, df: DataFrame, check_key: bool = False) -> None:
         tables.save_table(df, self.table, check_key=check_key)
 
+    def replace(self, df: DataFrame, path: str, **options) -> None:
+        """Replace the table by a new version below ``path``; ``key`` makes it a primary key."""
+        tables.replace_table(df, self.table, path, **options)
+
     def load(self) -> DataFrame:
         return tables.load_table(self.spark, self.table)
 
@@ -66,16 +70,19 @@ class CustomerAnalytics:
     def load_models(self, path: str) -> None:
         self.models = CustomerModels.load(path)
 
-    def report(self, df: DataFrame | None = None) -> dict[str, DataFrame]:
-        """The KPI cards and the data of every chart, each a lazy DataFrame."""
+    def report(self, df: DataFrame | None = None, exact: bool = False, points: int | None = None) -> dict[str, DataFrame]:
+        """The KPI cards and the data of every chart, each a lazy DataFrame.
+
+        ``exact`` makes the means independent of the rows' layout; ``points`` bounds the scatter plot's per segment.
+        """
         df = self.load() if df is None else df
         return {
-            "kpi_summary": explore.kpi_summary(df),
+            "kpi_summary": explore.kpi_summary(df, exact=exact),
             "preview": explore.preview(df),
             "segment_distribution": explore.segment_distribution(df),
-            "clv_by_segment": explore.mean_by_segment(df, "customer_lifetime_value", "avg_lifetime_value"),
+            "clv_by_segment": explore.mean_by_segment(df, "customer_lifetime_value", "avg_lifetime_value", exact),
             "spend_histogram": explore.histogram(df, "total_spent"),
-            "freq_vs_clv": explore.frequency_vs_lifetime_value(df),
+            "freq_vs_clv": explore.frequency_vs_lifetime_value(df, points),
             "churn_bands": explore.churn_bands(df),
-            "churn_by_segment": explore.mean_by_segment(df, "churn_probability", "avg_churn_probability"),
+            "churn_by_segment": explore.mean_by_segment(df, "churn_probability", "avg_churn_probability", exact),
         }

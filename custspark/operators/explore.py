@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from custspark.functions.churn import is_at_risk, risk_band
 from custspark.functions.missing import nan_to_null
+from custspark.operators.exact_sums import exact_means
+from custspark.operators.selection import sample_by_group
+from custspark.operators.split import SEED
 from custspark.schema import HIGH_VALUE_SEGMENT, KEY
 
 
-def kpi_summary(df: DataFrame, total_columns: int | None = None) -> DataFrame:
+def kpi_summary(df: DataFrame, total_columns: int | None = None, exact: bool = False) -> DataFrame:
     """All KPI cards in one pass over the data; NaN counts as missing.
 
-    ``total_columns`` is the table's number of columns where ``df`` has only those that are read.
+    ``total_columns`` is the table's number of columns where ``df`` has only those that are read. With
+    ``exact`` the means do not depend on the rows' layout, not even in the last bit, for a second pass.
     """
     columns = len(df.columns) if total_columns is None else total_columns
+    if exact:
+        return _exact_kpis(df, columns)
     return nan_to_null(df).agg(
         F.count(F.lit(1)).alias("total_customers"),
         F.lit(columns).cast("bigint").alias("total_columns"),
@@ -27,6 +33,23 @@ def kpi_summary(df: DataFrame, total_columns: int | None = None) -> DataFrame:
     )
 
 
+def _exact_kpis(df: DataFrame, columns: int) -> DataFrame:
+    names = {
+        "customer_lifetime_value": "avg_lifetime_value",
+        "churn_probability": "avg_churn",
+        "purchase_frequency": "avg_purchase_frequency",
+    }
+    means = exact_means(df, names).select(F.struct(*names.values())).scalar()
+    counts = kpi_summary(df.select("segment", "churn_probability", *[F.lit(None).cast("double").alias(c) for c in names if c != "churn_probability"]), columns)
+    return counts.withColumn("means", means).withColumns(
+        {
+            "avg_lifetime_value": F.col("means.avg_lifetime_value"),
+            "avg_churn_percent": F.col("means.avg_churn") * 100,
+            "avg_purchase_frequency": F.col("means.avg_purchase_frequency"),
+        }
+    ).drop("means")
+
+
 def high_value(df: DataFrame) -> DataFrame:
     return df.filter(F.col("segment") == HIGH_VALUE_SEGMENT)
 
@@ -39,8 +62,14 @@ def row_count(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
-def mean_by_segment(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Mean per segment in segment order; rows without a segment belong to none, NaN is missing."""
+def mean_by_segment(df: DataFrame, column: str, name: str, exact: bool = False) -> DataFrame:
+    """Mean per segment in segment order; rows without a segment belong to none, NaN is missing.
+
+    With ``exact`` a mean is the exact sum's, and so does not depend on the rows' layout.
+    """
+    if exact:
+        present = df.select("segment", column).filter(F.col("segment").isNotNull())
+        return exact_means(present, {column: name}, ["segment"]).orderBy("segment")
     return nan_to_null(df.select("segment", column)).filter(F.col("segment").isNotNull()).groupBy("segment").agg(F.avg(column).alias(name)).orderBy("segment")
 
 
@@ -63,9 +92,10 @@ def churn_bands(df: DataFrame) -> DataFrame:
     )
 
 
-def frequency_vs_lifetime_value(df: DataFrame) -> DataFrame:
-    """The scatter plot's points; all of them."""
-    return df.select(KEY, "segment", "purchase_frequency", "customer_lifetime_value")
+def frequency_vs_lifetime_value(df: DataFrame, size: int | None = None, seed: int = SEED) -> DataFrame:
+    """The scatter plot's points: all of them, or ``size`` of each segment with their ``weight``."""
+    points = df.select(KEY, "segment", "purchase_frequency", "customer_lifetime_value")
+    return points if size is None else sample_by_group(points, size, "segment", seed=seed)
 
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:

@@ -12,6 +12,11 @@ TRAIN_PERCENT = 80
 SEED = 42
 
 
+def key_digest(key: str = KEY, seed: int = SEED) -> Column:
+    """MD5 of seed and key in hex, by which rows are chosen."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)).cast("binary"))
+
+
 def is_train(key: str = KEY, percent: int = TRAIN_PERCENT, seed: int = SEED) -> Column:
     """Whether a row is for training, from its key alone.
 
@@ -19,8 +24,7 @@ def is_train(key: str = KEY, percent: int = TRAIN_PERCENT, seed: int = SEED) ->
     or a task's retry, and for all models. The key's MD5 can be recomputed in
     any other engine.
     """
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)).cast("binary"))
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100
+    bucket = F.conv(F.substring(key_digest(key, seed), 1, 8), 16, 10).cast("bigint") % 100
     return bucket < percent
 
 

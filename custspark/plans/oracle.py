@@ -208,6 +208,15 @@ _MAE = "avg(abs({0} - ({1})))"
 _CLV = ("customer_lifetime_value", "total_spent * 0.4::double")
 _FREQUENCY = ("purchase_frequency", "total_spent / 250000.0")
 
+
+
+def _exact_mean(column: str, bits: int) -> str:
+    """A mean from whole numbers: the column's values are multiples of 2^-bits."""
+    return f"cast(cast(sum(cast({column} * pow(2.0, {bits}) as hugeint)) as varchar) as double) / pow(2.0, {bits}) / count(*)"
+
+
+_CLV_MEAN, _CHURN_MEAN = _exact_mean("customer_lifetime_value", 50), _exact_mean("churn_probability", 64)
+
 ORACLE: dict[str, str] = {
     "customer_table": _over_customers("select * from customers"),
     "scan_csv": _over_customers("select * from customers"),
@@ -363,6 +372,37 @@ ORACLE: dict[str, str] = {
           round(avg(customer_lifetime_value), 4) avg_lifetime_value
         from {_GAPS} where segment is not null group by segment"""
     ),
+    "split_exact": _over_customers(
+        """select customer_id, rank() over (order by md5('42|' || customer_id)) > (count(*) over () * 20 + 99) // 100 is_train
+        from customers"""
+    ),
+    "freq_vs_clv_sample": _over_customers(
+        """select customer_id, segment, purchase_frequency, customer_lifetime_value, n / least(n, 100)::double weight
+        from (select *, row_number() over (partition by segment order by md5('42|' || customer_id)) place,
+          count(*) over (partition by segment) n from customers) where place <= 100"""
+    ),
+    "kpi_summary_exact": _over_customers(
+        f"""select count(*) total_customers, 24::bigint total_columns, {_CLV_MEAN} avg_lifetime_value,
+          {_CHURN_MEAN} * 100 avg_churn_percent,
+          count(*) filter (segment = 'High-Value Loyal') high_value_customers,
+          count(*) filter (churn_probability > 0.5) at_risk_customers,
+          sum(purchase_frequency)::double / count(*) avg_purchase_frequency from customers"""
+    ),
+    "means_exact": _over_customers(
+        f"""select segment, {_CHURN_MEAN} avg_churn_probability, {_CLV_MEAN} avg_lifetime_value
+        from customers where segment is not null group by segment"""
+    ),
+    "scan_csv_inferred": _over_customers(
+        """select customer_id, age, age * 3 a_whole, age / 4.0::double a_fraction, age % 2 = 0 a_flag,
+          case when age % 5 <> 0 then age::double end a_gap,
+          case when age = 74 then 'seventy-four' else age::varchar end a_late, null::double a_nothing from customers"""
+    ),
+    "preview_file_order": _over_customers("select * from customers order by customer_id desc limit 10"),
+    "table_replaced": _over_customers("select * from customers where age > 30"),
+    "key_check_bucketed": _over_customers(
+        """select count(*) n_rows, count(distinct customer_id) n_keys, 0::bigint n_missing_keys,
+          0::bigint n_duplicate_keys from customers where age > 30"""
+    ),
     "score_contract": _over_customers(
         """select customer_id, true probability_fits, true class_fits, true priority_fits, true health_fits,
           true clv_fits, true frequency_fits, true segment_fits from customers"""

@@ -15,13 +15,14 @@ from custspark.functions.scores import email_engagement, with_engagement, with_r
 from custspark.operators import encoding, evaluate, explore, quality, scaling
 from custspark.operators.features import assemble, project_features, with_features
 from custspark.operators.score import score
+from custspark.operators.selection import is_exact_train, test_cut
 from custspark.operators.split import is_train
 from custspark.operators.train import SMALL_FORESTS, ForestParams, train
 from custspark.plans.customers import customers
 from custspark.schema import CATEGORICALS, CUSTOMER_SCHEMA, DEFAULTS, FEATURES, KEY
 from custspark.session import materialise, shared_folder
-from custspark.sources.csv import read_customers_csv, write_customers_csv
-from custspark.sources.tables import create_table, duplicate_keys, key_report, load_table, save_table
+from custspark.sources.csv import preview_csv, read_customers_csv, write_customers_csv
+from custspark.sources.tables import create_table, duplicate_keys, key_report, load_table, replace_table, save_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -370,6 +371,78 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_keys(rows.union(rows.filter(F.col("age") % 5 == 0)))
 
 
+def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split with exactly a fifth of the rows, rounded up, on the test side."""
+    rows = materialise(customers(spark, sf_dir, [KEY]), "keys")
+    return rows.withColumn("is_train", is_exact_train(test_cut(rows)))
+
+
+def freq_vs_clv_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred points of each segment, with the customers each stands for."""
+    columns = [KEY, "segment", "purchase_frequency", "customer_lifetime_value"]
+    return explore.frequency_vs_lifetime_value(customers(spark, sf_dir, columns), size=100)
+
+
+def kpi_summary_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialise(customers(spark, sf_dir, KPI_INPUTS), "kpi")
+    return explore.kpi_summary(rows, len(CUSTOMER_SCHEMA.names), exact=True)
+
+
+def means_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means by segment to the last bit."""
+    rows = materialise(customers(spark, sf_dir, KPI_INPUTS), "means")
+    churn = explore.mean_by_segment(rows, "churn_probability", "avg_churn_probability", exact=True)
+    return churn.join(explore.mean_by_segment(rows, "customer_lifetime_value", "avg_lifetime_value", exact=True), "segment")
+
+
+def scan_csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns beyond the schema, with the types of all their cells."""
+    path = shared_folder(spark, "csv")
+    rows = customers(spark, sf_dir, [KEY, "age"]).withColumns(
+        {
+            "a_whole": F.col("age") * 3,
+            "a_fraction": F.col("age") / F.lit(4.0),
+            "a_flag": F.col("age") % 2 == 0,
+            "a_gap": F.when(F.col("age") % 5 != 0, F.col("age")),
+            "a_late": F.when(F.col("age") == 74, F.lit("seventy-four")).otherwise(F.col("age").cast("string")),
+            "a_nothing": F.lit(None).cast("string"),
+        }
+    )
+    write_customers_csv(rows, path)
+    required = T.StructType([f for f in CUSTOMER_SCHEMA if f.name in (KEY, "age")])
+    return read_customers_csv(spark, path, required, further="infer")
+
+
+def preview_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a folder of CSV files, of which only the first are opened."""
+    path = shared_folder(spark, "csv")
+    write_customers_csv(customers(spark, sf_dir).orderBy(F.desc(KEY)), path)
+    return preview_csv(spark, path, 10)
+
+
+def _replaced(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A table with a primary key that was replaced by rows made from itself."""
+    name, path = f"customers_{uuid.uuid4().hex}", shared_folder(spark, "table")
+    replace_table(customers(spark, sf_dir), name, path, key=KEY, buckets=8)
+    replace_table(load_table(spark, name).filter("age > 30"), name, path, key=KEY, buckets=8)
+    return name, path
+
+
+def table_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, _ = _replaced(spark, sf_dir)
+    rows = load_table(spark, name)
+    spark.sql(f"DROP TABLE {name}")  # the name goes; the rows stay in the folder
+    return rows
+
+
+def key_check_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key check on a table that is bucketed by key: no shuffle by key."""
+    name, _ = _replaced(spark, sf_dir)
+    report = key_report(load_table(spark, name))
+    spark.sql(f"DROP TABLE {name}")
+    return report
+
+
 FEW_TREES = ForestParams(trees=8, depth=5)
 
 
@@ -465,6 +538,14 @@ QUERIES: dict[str, Query] = {
     "rejected_rows": rejected_rows,
     "quality_flags": quality_flags,
     "duplicate_keys": repeated_keys,
+    "split_exact": split_exact,
+    "freq_vs_clv_sample": freq_vs_clv_sample,
+    "kpi_summary_exact": kpi_summary_exact,
+    "means_exact": means_exact,
+    "scan_csv_inferred": scan_csv_inferred,
+    "preview_file_order": preview_file_order,
+    "table_replaced": table_replaced,
+    "key_check_bucketed": key_check_bucketed,
     "score_contract": score_contract,
     "train_floors": train_floors,
 }

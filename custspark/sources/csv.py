@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from custspark.functions.missing import text_or_null
 from custspark.schema import CUSTOMER_SCHEMA
+from custspark.sources.inference import with_inferred_types
 from custspark.sources.quoted import records
 
 
@@ -84,6 +85,7 @@ def read_customers_csv(
     on_bad_cell: str = "fail",
     fractions: str = "fail",
     multi_line: bool = False,
+    further: str = "text",
 ) -> DataFrame:
     """Customers from one or more CSV files with a header row.
 
@@ -94,7 +96,8 @@ def read_customers_csv(
     ``on_bad_cell="null"``; a line with too many cells always does. A fraction in a
     whole-number column is such a cell, unless ``fractions="keep"`` reads all those
     columns as doubles. Further
-    columns are kept behind the known ones as text. Files with another header
+    columns are kept behind the known ones as text; ``further="infer"`` looks at all their cells
+    when this function is called and gives them the narrowest type that holds all. Files with another header
     than the first are refused.
 
     Line breaks inside quotes are read as part of their cell. To find them all lines are looked at
@@ -105,6 +108,8 @@ def read_customers_csv(
         raise ValueError("on_bad_cell is 'fail' or 'null'")
     if fractions not in ("fail", "keep"):
         raise ValueError("fractions is 'fail' or 'keep'")
+    if further not in ("text", "infer"):
+        raise ValueError("further is 'text' or 'infer'")
     options = {"header": True, "multiLine": multi_line, **FORMAT}
     try:
         header = spark.read.csv(path, inferSchema=False, **options).schema.names
@@ -124,8 +129,26 @@ def read_customers_csv(
     stitched = None if multi_line else _stitched(spark, path, names)
     rows = _complete_lines(raw, header).toDF(*names, MALFORMED) if stitched is None else stitched
     known = [_typed(f.name, f.dataType, on_bad_cell, fractions) for f in required]
-    further = [text_or_null(F.col(f"`{c}`")).alias(c) for c in names if c not in required.names]
-    return rows.select(*known, *further)
+    others = [c for c in names if c not in required.names]
+    found = rows.select(*known, *[text_or_null(F.col(f"`{c}`")).alias(c) for c in others])
+    return with_inferred_types(found, others) if further == "infer" else found
+
+
+def preview_csv(spark: SparkSession, path: str | list[str], n: int = 10, **options) -> DataFrame:
+    """The first ``n`` customers in the order of the files' names and of the lines in them.
+
+    Files are opened one after another until there are enough rows, and read from their start no
+    further than that. ``n`` rows are held by the driver. Options as of ``read_customers_csv``.
+    """
+    required = options.get("required", CUSTOMER_SCHEMA)
+    rows, schema = [], required
+    for file in sorted(spark.read.text(path).inputFiles()):
+        # With one task a file and its lines in order, a limit ends the reading.
+        first = read_customers_csv(spark, file, **{**options, "multi_line": True}).limit(n - len(rows))
+        rows, schema = [*rows, *first.collect()], first.schema
+        if len(rows) >= n:
+            break
+    return spark.createDataFrame(rows, schema)
 
 
 def write_customers_csv(df: DataFrame, path: str) -> None:
