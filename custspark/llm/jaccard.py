@@ -265,7 +265,9 @@ def _block_links(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that are similar enough: both sets' tokens meet once for each pair."""
+    """The pairs a, b that are similar enough: both sets' tokens meet once for each pair; other sets don't move."""
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    sets = sets.join(ids, "cid", "left_semi")
     left = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
