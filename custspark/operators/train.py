@@ -52,6 +52,7 @@ class ForestParams:
     max_bins: int = 32
     max_memory_mb: int = 256
     cache_node_ids: bool | None = None  # None: if they are small; the models are the same either way
+    bootstrap: bool = True  # False: every tree sees every training row once
 
     def as_arguments(self, rows_per_task: int, regression: bool = False) -> dict:
         node_ids = rows_per_task * self.trees * 4
@@ -64,6 +65,7 @@ class ForestParams:
             "maxBins": self.max_bins,
             "maxMemoryInMB": self.max_memory_mb,
             "cacheNodeIds": cached,
+            "bootstrap": self.bootstrap,
         }
 
 

@@ -217,6 +217,84 @@ def _exact_mean(column: str, bits: int) -> str:
 
 _CLV_MEAN, _CHURN_MEAN = _exact_mean("customer_lifetime_value", 50), _exact_mean("churn_probability", 64)
 
+
+
+def _level(depth: int) -> list[str]:
+    """From each customer's node in the four trees to the node one level below.
+
+    The best cut has the least squares left around the means of its two sides. For classes, whose targets are
+    one column of 0 and 1 each, that is the Gini impurity. Cuts that are equally good go by feature, then by value.
+    """
+    return [
+        f"""sums{depth} as (
+          select model, k, node, position, value, count(*) n, sum(y) s
+          from node{depth} join target using (customer_id, model) join entry using (customer_id)
+          where is_train group by all)""",
+        f"""sides{depth} as (
+          select *, sum(n) over below nl, sum(s) over below sl, sum(n) over whole nt, sum(s) over whole st,
+            (value + lead(value) over below) / 2 cut
+          from sums{depth}
+          window whole as (partition by model, k, node, position), below as (whole order by value))""",
+        f"""cuts{depth} as (
+          select model, node, position, cut, sum(sl * sl / nl + (st - sl) * (st - sl) / (nt - nl)) gain, sum(st * st / nt) base
+          from sides{depth} where cut is not null group by all)""",
+        f"""best{depth} as (
+          select * from (select *, max(gain) over (partition by model, node) top from cuts{depth})
+          where top > base * (1 + 1e-12)
+          qualify row_number() over (partition by model, node order by round(gain / top, 12) desc, position, cut) = 1)""",
+        f"""node{depth + 1} as (
+          select n.customer_id, n.is_train, n.model,
+            case when b.node is null then n.node else n.node * 2 + cast(e.value > b.cut as int) end node
+          from node{depth} n left join best{depth} b on b.model = n.model and b.node = n.node
+            left join entry e on e.customer_id = n.customer_id and e.position = b.position)""",
+    ]
+
+
+def _trees(select: str, depth: int = 3) -> str:
+    """Four trees grown in SQL; ``predicted`` has each customer's features, labels and predictions."""
+    entries = [f"select customer_id, {i} position, cast({c} as double) as value from features" for i, c in enumerate(FEATURES)]
+    ctes = [
+        _FEATURES,
+        f"entry as ({' union all '.join(entries)})",
+        "names as (select segment, row_number() over (order by segment) - 1 k from (select distinct segment from customers))",
+        """target as (
+          select customer_id, 'churn' model, 0 k, cast(churn_probability > 0.5 as int)::double y from customers
+          union all select customer_id, 'clv', 0, customer_lifetime_value from customers
+          union all select customer_id, 'frequency', 0, purchase_frequency::double from customers
+          union all select customer_id, 'segment', k, cast(c.segment = names.segment as int)::double from customers c, names)""",
+        f"""node0 as (select customer_id, {_SIDE} is_train, model, 1 node
+          from customers, (values ('churn'), ('clv'), ('frequency'), ('segment')) m(model))""",
+    ]
+    for level in range(depth):
+        ctes += _level(level)
+    ctes += [
+        f"""leaf as (select model, k, node, avg(y) y from node{depth} join target using (customer_id, model)
+          where is_train group by all)""",
+        f"""met as (select customer_id, is_train, model, k, y from node{depth} join leaf using (model, node))""",
+        """guess as (
+          select customer_id, is_train, max(y) filter (model = 'churn') p, max(y) filter (model = 'clv') clv,
+            max(y) filter (model = 'frequency') frequency,
+            arg_min(k, (-y, k)) filter (model = 'segment') k
+          from met group by customer_id, is_train)""",
+        """predicted as (
+          select f.*, is_train, p, clv, frequency, names.segment guessed
+          from features f join guess using (customer_id) join names using (k))""",
+    ]
+    return _over_customers(select, *ctes)
+
+
+_TREE_METRICS = " union all ".join(
+    f"select '{model}' as model, '{metric}' as metric, round({value}, {digits}) as value from predicted where not is_train"
+    for model, metric, value, digits in (
+        ("churn", "accuracy", "avg(((churn_probability > 0.5) = (p > 0.5))::int)", 6),
+        ("clv", "r2", _R2.format("customer_lifetime_value", "clv"), 6),
+        ("clv", "mae", _MAE.format("customer_lifetime_value", "clv"), 2),
+        ("frequency", "r2", _R2.format("purchase_frequency", "frequency"), 6),
+        ("frequency", "mae", _MAE.format("purchase_frequency", "frequency"), 2),
+        ("segment", "accuracy", "avg((segment = guessed)::int)", 6),
+    )
+)
+
 ORACLE: dict[str, str] = {
     "customer_table": _over_customers("select * from customers"),
     "scan_csv": _over_customers("select * from customers"),
@@ -403,6 +481,14 @@ ORACLE: dict[str, str] = {
         """select count(*) n_rows, count(distinct customer_id) n_keys, 0::bigint n_missing_keys,
           0::bigint n_duplicate_keys from customers where age > 30"""
     ),
+    "tree_metrics": _trees(_TREE_METRICS),
+    "tree_scores": _trees(
+        """select customer_id, round(p, 9) churn_probability, cast(p > 0.5 as int) will_churn,
+          round(clv, 2) predicted_clv, round(frequency, 6) predicted_frequency, guessed predicted_segment,
+          round(((1 - p) * 0.4::double + email_engagement / (max(email_engagement) over () + 0.01::double) * 0.3::double
+            + (nps_score + 100) / 200.0::double * 0.3::double) * 100, 6) customer_health_score,
+          case when p > 0.5 then 'HIGH' when p > 0.3 then 'MEDIUM' else 'LOW' end retention_priority from predicted"""
+    ),
     "score_contract": _over_customers(
         """select customer_id, true probability_fits, true class_fits, true priority_fits, true health_fits,
           true clv_fits, true frequency_fits, true segment_fits from customers"""

@@ -443,13 +443,34 @@ def key_check_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report
 
 
-FEW_TREES = ForestParams(trees=8, depth=5)
+# One tree a model, which sees every row and feature, with a bin for each value: SQL can grow the same one.
+PLAIN_TREES = ForestParams(
+    trees=1, depth=3, feature_subset="all", regression_subset="all", max_bins=16_384, bootstrap=False
+)
+
+
+def tree_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six metrics of ``PLAIN_TREES``, by value.
+
+    Equal to SQL as long as no feature has more distinct values than the trees have bins.
+    """
+    _, metrics = train(materialise(customers(spark, sf_dir), "customers"), PLAIN_TREES)
+    rounded = F.when(F.col("metric") == "mae", F.round("value", 2)).otherwise(F.round("value", 6))
+    return metrics.select("model", "metric", rounded.alias("value"))
+
+
+def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scores of every customer by ``PLAIN_TREES``, by value; see ``tree_metrics``."""
+    rows = materialise(customers(spark, sf_dir), "customers")
+    scored = score(rows, train(rows, PLAIN_TREES)[0])
+    digits = {"churn_probability": 9, "predicted_clv": 2, "predicted_frequency": 6, "customer_health_score": 6}
+    return scored.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each customer's scores agree with each other, with the formulas and with the labels' range; for ``FEW_TREES`` alone."""
+    """Whether each customer's scores agree with each other, with the formulas and with the labels' range; for ``SMALL_FORESTS``."""
     rows = materialise(customers(spark, sf_dir), "customers")
-    models, _ = train(rows, FEW_TREES)
+    models, _ = train(rows, SMALL_FORESTS)
     inputs = ["email_open_rate", "click_through_rate", "nps_score"]
     best = rows.agg(F.max(F.col("email_open_rate") * F.col("click_through_rate"))).scalar()
     low, high = (rows.agg(f("customer_lifetime_value")).scalar() for f in (F.min, F.max))
@@ -469,9 +490,9 @@ def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each model beats the prediction that knows the labels' distribution alone; for ``FEW_TREES`` alone."""
+    """Whether each model beats the prediction that knows the labels' distribution alone; for ``SMALL_FORESTS``."""
     rows = materialise(customers(spark, sf_dir), "customers")
-    _, metrics = train(rows, FEW_TREES)
+    _, metrics = train(rows, SMALL_FORESTS)
     test = rows.filter(~is_train())
     share = F.greatest(F.avg((F.col("churn_probability") > 0.5).cast("int")), F.avg((F.col("churn_probability") <= 0.5).cast("int")))
     churn = test.agg(share).scalar()
@@ -546,6 +567,8 @@ QUERIES: dict[str, Query] = {
     "preview_file_order": preview_file_order,
     "table_replaced": table_replaced,
     "key_check_bucketed": key_check_bucketed,
+    "tree_metrics": tree_metrics,
+    "tree_scores": tree_scores,
     "score_contract": score_contract,
     "train_floors": train_floors,
 }
