@@ -75,6 +75,26 @@ def _unpacked(packed: DataFrame, df: DataFrame, encoded: dict[str, Column]) -> D
     return packed.select(*own, *[index.alias(c) for c, index in new.items()])
 
 
+def _met(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """The packed rows with ``hot_idx`` or ``idx`` from a (label, idx, is_hot) table; both NULL for an unknown label.
+
+    Frequent labels come by a broadcast of fewer than ``HOT_SHARE`` rows, the others by a
+    shuffle. A row with a frequent label has its index before the shuffle; its salt,
+    which matches nothing, only spreads it over the tasks. The input
+    partition is part of the salt, so that copies are spread as well; it is
+    the same when a task runs again.
+    """
+    hot = table.filter("is_hot").select(F.col("label").alias("hot_label"), F.col("idx").alias("hot_idx"))
+    cold = table.filter("not is_hot").select("label", "idx", F.lit(0).alias("label_salt"))
+    salt = (F.pmod(F.xxhash64(F.spark_partition_id(), "row"), F.lit(SALTS)) + 1).cast("int")
+    rows = (
+        _packed(df, [column])
+        .join(F.broadcast(hot), F.col("text0") == F.col("hot_label"), "left")
+        .withColumn("salt", F.when(F.col("hot_idx").isNotNull(), salt).otherwise(F.lit(0)))
+    )
+    return rows.join(cold, (F.col("text0") == F.col("label")) & (F.col("salt") == F.col("label_salt")), "left")
+
+
 @dataclass(frozen=True)
 class CategoryEncoding:
     """Fitted encoding; every fit makes a new one.
@@ -128,23 +148,7 @@ class CategoryEncoding:
 
     @staticmethod
     def _join(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
-        """Frequent labels by a broadcast of fewer than ``HOT_SHARE`` rows, the others by a shuffle.
-
-        A row with a frequent label has its index before the shuffle; its salt,
-        which matches nothing, only spreads it over the tasks. The input
-        partition is part of the salt, so that copies are spread as well; it is
-        the same when a task runs again.
-        """
-        hot = table.filter("is_hot").select(F.col("label").alias("hot_label"), F.col("idx").alias("hot_idx"))
-        cold = table.filter("not is_hot").select("label", "idx", F.lit(0).alias("label_salt"))
-        salt = (F.pmod(F.xxhash64(F.spark_partition_id(), "row"), F.lit(SALTS)) + 1).cast("int")
-        rows = (
-            _packed(df, [column])
-            .join(F.broadcast(hot), F.col("text0") == F.col("hot_label"), "left")
-            .withColumn("salt", F.when(F.col("hot_idx").isNotNull(), salt).otherwise(F.lit(0)))
-        )
-        joined = rows.join(cold, (F.col("text0") == F.col("label")) & (F.col("salt") == F.col("label_salt")), "left")
-        return _unpacked(joined, df, {column: F.coalesce("hot_idx", "idx", F.lit(UNSEEN).cast("bigint"))})
+        return _unpacked(_met(df, column, table), df, {column: F.coalesce("hot_idx", "idx", F.lit(UNSEEN).cast("bigint"))})
 
     def save(self, path: str, spark: SparkSession) -> None:
         rows = [(c, label, i) for c, labels in self.labels.items() for i, label in enumerate(labels)]
@@ -193,33 +197,57 @@ def _sorted_labels(pairs: list, columns: list[str]) -> dict[str, list[str]]:
     return {c: sorted(label for column, label in pairs if column == c) for c in columns}
 
 
-def fit_segment_labels(df: DataFrame, column: str = "segment") -> list[str]:
-    """The sorted class labels, however many: a forest holds a count for each class anyway."""
-    fitted = fit_encoding(df.filter(F.col(column).isNotNull()), [column])
+#: Sorted class labels, or (label, idx, is_hot) where there are more than the driver may hold.
+ClassLabels = list[str] | DataFrame
+
+
+def fit_segment_labels(df: DataFrame, column: str = "segment", max_in_memory: int = MAX_IN_MEMORY) -> ClassLabels:
+    """The class labels, however many: a forest holds a count for each class anyway."""
+    fitted = fit_encoding(df.filter(F.col(column).isNotNull()), [column], max_in_memory)
     return _class_labels(fitted, column)
 
 
-def fit_encoding_and_segments(df: DataFrame, column: str = "segment") -> tuple[CategoryEncoding, list[str]]:
+def fit_encoding_and_segments(
+    df: DataFrame, column: str = "segment", max_in_memory: int = MAX_IN_MEMORY
+) -> tuple[CategoryEncoding, ClassLabels]:
     """Categories and class labels in one pass over the data."""
-    fitted = fit_encoding(df, [*CATEGORICALS, column])
+    fitted = fit_encoding(df, [*CATEGORICALS, column], max_in_memory)
     labels = {c: values for c, values in fitted.labels.items() if c != column}
     tables = {c: table for c, table in fitted.tables.items() if c != column}
     return CategoryEncoding(labels, tables), _class_labels(fitted, column)
 
 
-def _class_labels(fitted: CategoryEncoding, column: str) -> list[str]:
-    if column in fitted.labels:
-        return fitted.labels[column]
-    return [row["label"] for row in fitted.tables[column].orderBy("idx").select("label").collect()]
-
+def _class_labels(fitted: CategoryEncoding, column: str) -> ClassLabels:
+    return fitted.labels[column] if column in fitted.labels else fitted.tables[column]
 
-def encode_segment(df: DataFrame, labels: list[str], column: str = "segment", skip: bool = False) -> DataFrame:
-    """Add ``segment_label``; a missing or unknown segment stops the job, or its row is left out with ``skip``."""
-    model = StringIndexerModel.from_labels(
-        labels, inputCol=column, outputCol="segment_label", handleInvalid="skip" if skip else "error"
-    )
-    return model.transform(df)
 
+def encode_segment(df: DataFrame, labels: ClassLabels, column: str = "segment", skip: bool = False) -> DataFrame:
+    """Add ``segment_label``; a missing or unknown segment stops the job, or its row is left out with ``skip``.
 
-def decode_segment(df: DataFrame, labels: list[str], input_column: str, output_column: str) -> DataFrame:
-    return IndexToString(inputCol=input_column, outputCol=output_column, labels=labels).transform(df)
+    The number of classes goes with the column. Labels in a table meet the rows in a join, as large categories do.
+    """
+    if isinstance(labels, list):
+        model = StringIndexerModel.from_labels(
+            labels, inputCol=column, outputCol="segment_label", handleInvalid="skip" if skip else "error"
+        )
+        return model.transform(df)
+    met = _met(df, column, labels)
+    index = F.when(F.col("row").getField(column).isNotNull(), F.coalesce("hot_idx", "idx")).cast("double")
+    if skip:
+        met = met.filter(index.isNotNull())
+    else:
+        told = F.concat(F.lit("NULL or unseen label: "), F.col("text0"))
+        index = F.coalesce(index, F.raise_error(told).cast("double"))
+    own = [F.col("row").getField(c).alias(c) for c in df.columns]
+    classes = {"ml_attr": {"type": "nominal", "name": "segment_label", "num_vals": labels.count()}}
+    return met.select(*own, index.alias("segment_label", metadata=classes))
+
+
+def decode_segment(df: DataFrame, labels: ClassLabels, input_column: str, output_column: str) -> DataFrame:
+    """Add the label of each class; Spark decides by its size whether a table of labels is broadcast."""
+    if isinstance(labels, list):
+        return IndexToString(inputCol=input_column, outputCol=output_column, labels=labels).transform(df)
+    row = F.struct(*[exact(c) for c in df.columns])
+    packed = df.select(row.alias("row"), exact(input_column).cast("bigint").alias("class"))
+    met = packed.join(labels.select("idx", "label"), F.col("class") == F.col("idx"), "left")
+    return met.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.col("label").alias(output_column))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custspark.functions.churn import churn_label
-from custspark.operators.encoding import CategoryEncoding, encode_segment, fit_encoding_and_segments
+from custspark.operators.encoding import MAX_IN_MEMORY, CategoryEncoding, ClassLabels, encode_segment, fit_encoding_and_segments
 from custspark.operators.evaluate import accuracy, as_rows, mean_absolute_error, r2
 from custspark.operators.features import assemble, with_features
 from custspark.operators.scaling import Standardizer, fit_vector_standardizer
@@ -80,7 +80,7 @@ class CustomerModels:
 
     encoding: CategoryEncoding
     scaler: Standardizer
-    segment_labels: list[str]
+    segment_labels: ClassLabels
     frequency_features: list[str]
     params: ForestParams
     churn: RandomForestClassificationModel
@@ -92,8 +92,11 @@ class CustomerModels:
         spark = SparkSession.active()
         self.encoding.save(f"{path}/encoding", spark)
         self.scaler.save(f"{path}/scaler", spark)
+        listed = isinstance(self.segment_labels, list)
+        if not listed:
+            self.segment_labels.write.mode("overwrite").parquet(f"{path}/segment_labels")
         facts = {
-            "segment_labels": self.segment_labels,
+            "segment_labels": self.segment_labels if listed else None,
             "frequency_features": self.frequency_features,
             "params": asdict(self.params),
         }
@@ -105,10 +108,11 @@ class CustomerModels:
     def load(cls, path: str) -> CustomerModels:
         spark = SparkSession.active()
         facts = json.loads(spark.read.text(f"{path}/facts").first()["value"])
+        labels = facts["segment_labels"]
         return cls(
             encoding=CategoryEncoding.load(f"{path}/encoding", spark),
             scaler=Standardizer.load(f"{path}/scaler", spark),
-            segment_labels=facts["segment_labels"],
+            segment_labels=spark.read.parquet(f"{path}/segment_labels") if labels is None else labels,
             frequency_features=facts["frequency_features"],
             params=ForestParams(**facts["params"]),
             churn=RandomForestClassificationModel.load(f"{path}/churn"),
@@ -141,7 +145,7 @@ def task_count(rows: int) -> int:
 
 
 def prepare(
-    df: DataFrame, encoding: CategoryEncoding, segment_labels: list[str], tasks: int, handle_invalid: str
+    df: DataFrame, encoding: CategoryEncoding, segment_labels: ClassLabels, tasks: int, handle_invalid: str
 ) -> DataFrame:
     """The training table: key, vector, the four labels and the side of the split, written once.
 
@@ -188,6 +192,7 @@ def train(
     exclude_target_features: bool = False,
     handle_invalid: str = "error",
     parallel_fits: int = 4,
+    max_labels_in_memory: int = MAX_IN_MEMORY,
 ) -> tuple[CustomerModels, DataFrame]:
     """Fit the four models on 80 % of the customers and evaluate them on the rest.
 
@@ -199,7 +204,7 @@ def train(
     """
     spark = df.sparkSession
     df = df.select(*TRAINING_COLUMNS)
-    encoding, segment_labels = fit_encoding_and_segments(df)
+    encoding, segment_labels = fit_encoding_and_segments(df, max_in_memory=max_labels_in_memory)
     n_rows = df.count()
     tasks = task_count(n_rows)
     table = prepare(df, encoding, segment_labels, tasks, handle_invalid)

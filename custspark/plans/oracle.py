@@ -393,6 +393,9 @@ ORACLE: dict[str, str] = {
     "segment_encode": _over_customers(
         "select customer_id, dense_rank() over (order by segment) - 1 segment_label from customers"
     ),
+    "segment_labels_large": _over_customers(
+        "select customer_id, dense_rank() over (order by customer_id) - 1 segment_label, customer_id original from customers"
+    ),
     "segment_decode": _over_customers("select customer_id, segment from customers"),
     "standardize": _standardize(),
     "assembled_features": _assembled(),

@@ -215,6 +215,15 @@ def segment_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.decode_segment(encoded, labels, "segment_label", "segment").select(KEY, "segment")
 
 
+def segment_labels_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More classes than the driver may hold, there and back: every customer's key is a class of its own."""
+    rows = materialise(customers(spark, sf_dir, [KEY]), "segments")
+    labels = encoding.fit_segment_labels(rows, KEY, max_in_memory=0)
+    encoded = encoding.encode_segment(rows, labels, KEY).withColumnRenamed(KEY, "original")
+    decoded = encoding.decode_segment(encoded, labels, "segment_label", KEY)
+    return decoded.select(KEY, F.col("segment_label").cast("bigint").alias("segment_label"), "original")
+
+
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(customers(spark, sf_dir), "customers")
     features = with_features(rows, encoding.fit_encoding(rows)).select(KEY, *FEATURES)
@@ -540,6 +549,7 @@ QUERIES: dict[str, Query] = {
     "label_encode_large": label_encode_large,
     "segment_encode": segment_encode,
     "segment_decode": segment_decode,
+    "segment_labels_large": segment_labels_large,
     "standardize": standardize,
     "assembled_features": assembled_features,
     "split_rows": split_rows,

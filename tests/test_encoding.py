@@ -129,8 +129,34 @@ def test_any_number_of_classes(spark, monkeypatch):
     df = spark.range(150).select(F.col("id").cast("string").alias("segment"))
     want = sorted(str(i) for i in range(150))
     assert encoding.fit_segment_labels(df) == want
-    tables = encoding.fit_encoding(df, ["segment"], max_in_memory=10)
-    assert encoding._class_labels(tables, "segment") == want
+    table = encoding.fit_segment_labels(df, max_in_memory=10)
+    assert [r["label"] for r in table.orderBy("idx").collect()] == want
+
+
+def test_more_classes_than_the_driver_may_hold(spark):
+    hot = spark.range(60_000).select(F.lit("s7").alias("segment"))
+    df = spark.range(150_000).select(F.concat(F.lit("s"), "id").alias("segment")).union(hot).repartition(8)
+    df = df.withColumn("a.b", F.lit(1)).withColumn("label", F.lit("own"))
+    labels = encoding.fit_segment_labels(df)
+    assert not isinstance(labels, list) and labels.count() == 150_000
+    coded = encoding.encode_segment(df, labels)
+    assert coded.columns == [*df.columns, "segment_label"]
+    assert coded.schema["segment_label"].metadata["ml_attr"]["num_vals"] == 150_000
+    back = encoding.decode_segment(coded, labels, "segment_label", "again")
+    facts = back.agg(
+        F.count(F.lit(1)), F.count_distinct("segment_label"), F.max("segment_label"), F.count_if(F.col("segment") == F.col("again"))
+    )
+    assert tuple(facts.first()) == (210_000, 150_000, 149_999.0, 210_000)
+
+
+def test_labels_in_a_table_stop_at_what_they_do_not_know(spark):
+    fitted = encoding.fit_segment_labels(spark.createDataFrame([("a",), ("b",)], "segment string"), max_in_memory=0)
+    df = spark.createDataFrame([("a",), (None,), ("b",), ("new",)], "segment string")
+    coded = encoding.encode_segment(df, fitted, skip=True)
+    assert {tuple(r) for r in coded.collect()} == {("a", 0.0), ("b", 1.0)}
+    for odd in ("segment is null", "segment = 'new'"):
+        with pytest.raises(Exception, match="NULL or unseen label"):
+            encoding.encode_segment(df.filter(odd), fitted).collect()
 
 
 def test_rows_without_a_segment_can_be_left_out(spark):

@@ -134,6 +134,16 @@ def test_many_segments_train_and_score(customer_rows):
     assert score(many, models).count() == many.count()
 
 
+def test_class_labels_in_a_table_give_the_same_models(spark, customer_rows, trained, tmp_path):
+    models, metrics = train(customer_rows, QUICK, max_labels_in_memory=0)
+    assert not isinstance(models.segment_labels, list)
+    assert values(metrics) == values(trained[1])
+    want = rows_of(score(customer_rows, trained[0]))
+    assert rows_of(score(customer_rows, models)) == want
+    models.save(str(tmp_path / "m"))
+    assert rows_of(score(customer_rows, CustomerModels.load(str(tmp_path / "m")))) == want
+
+
 def test_skipped_rows_set_no_scale_and_missing_segments_can_be_skipped(customer_rows, trained):
     best = customer_rows.agg(F.max(F.col("email_open_rate") * F.col("click_through_rate"))).first()[0]
     usual = rows_of(score(customer_rows, trained[0], reference_max=best))
