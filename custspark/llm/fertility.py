@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custspark.llm.common import Measure, extend, raw_texts
+from custspark.llm.common import Measure, column, extend, raw_texts
 from custspark.session import materialise
 
 #: Words whose tokens a task keeps.
@@ -151,17 +151,24 @@ def measure(
     keep: list[str],
     path: str | None = None,
     rules: BaseRules = BaseRules(),
-    id_col: str = "doc_id",
     text_col: str = "text",
+    by_script: Column | None = None,
 ) -> DataFrame:
-    """Struct ``row`` of the columns kept, and the measures; a null text has no words."""
+    """Struct ``row`` of the columns kept, and the measures; a null text has no words.
+
+    The script is null where ``by_script`` is not true.
+    """
     where = path or default_vocabulary()
+    wanted = "by_script"
+    while wanted in docs.columns:
+        wanted += "_"
+    docs = docs.withColumn(wanted, F.lit(True) if by_script is None else by_script)
 
     def start() -> Measure:
         tokens = word_tokens(where)
         kept: dict[bytes, bytes] = {}  # of this task alone
 
-        def each(_: pa.Array, texts: pa.Array) -> list[pa.Array]:
+        def each(scripts: pa.Array, texts: pa.Array) -> list[pa.Array]:
             raws = raw_texts(texts)
             docs = [raw.split() for raw in raws]
             ids = tokens.of(docs, kept)
@@ -186,12 +193,15 @@ def measure(
             return [
                 *(pa.array(x, pa.int64()) for x in numbers),
                 *(pa.array(x, pa.float64()) for x in shares),
-                pa.array([script(raw.decode("utf-8", "ignore")) for raw in raws], pa.string()),
+                pa.array(
+                    [script(raw.decode("utf-8", "ignore")) if s else None for raw, s in zip(raws, scripts.to_pylist())],
+                    pa.string(),
+                ),
             ]
 
         return each
 
-    return extend(docs, start, FIELDS, keep, id_col, text_col)
+    return extend(docs, start, FIELDS, keep, wanted, text_col)
 
 
 def _median(measured: DataFrame, name: str, step: float) -> DataFrame:
@@ -243,17 +253,17 @@ def judge(
     path: str | None = None,
     bands: Bands = Bands(),
     rules: BaseRules = BaseRules(),
-    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
     """Struct ``row`` of the columns kept, with measures and verdict of each document.
 
     Null and empty texts have no words and fail the base rule. Repeated rows are judged
-    alike. A missing language column, or a null in it, groups by script.
+    alike; an empty table gives no row. A missing language column, or a null in it, groups by script.
     """
     carried = [*dict.fromkeys([*keep, *([lang_col] if lang_col in docs.columns else [])])]
-    measured = materialise(measure(docs, carried, path, rules, id_col, text_col), "fertility")
+    unknown = column(docs, lang_col).isNull() if lang_col in docs.columns else None
+    measured = materialise(measure(docs, carried, path, rules, text_col, unknown), "fertility")
     by_script = F.concat(F.lit("script:"), F.col("script"))
     if lang_col in docs.columns:
         group = F.coalesce(F.concat(F.lit("lang:"), column_of_row(lang_col)), by_script)
