@@ -22,8 +22,14 @@ BLOCK_TURNS, SALTS = 64, 32
 BEGIN, END, SYSTEM, UNKNOWN = "<|im_start|>", "<|im_end|>\n", "system", "unknown"
 
 
+def _safe(text: Column) -> Column:
+    """Marks inside it lose their meaning by a space."""
+    return F.replace(text, F.lit("<|im_"), F.lit("<| im_"))
+
+
 def _head(role: Column, speaker: Column) -> Column:
-    named = F.concat(F.lit(f"{BEGIN}user name="), role, F.lit("\n"))
+    # A name stays in its line, so that no role can close its head and open another turn.
+    named = F.concat(F.lit(f"{BEGIN}user name="), _safe(F.translate(role, "\n\r", "  ")), F.lit("\n"))
     return (
         F.when(role == SYSTEM, F.lit(f"{BEGIN}{SYSTEM}\n"))
         .when(role == speaker, F.lit(f"{BEGIN}assistant\n"))
@@ -46,9 +52,11 @@ def rotate(
     numbers repeat. mask is an array of (start, end) in characters of the text, end
     exclusive. Dialogues without a speaker (only system turns) have no row; a null role is
     the speaker "unknown", a null text is empty, null conversation ids are one dialogue,
-    repeated rows are repeated turns. Marks inside a text lose their meaning by a space.
+    repeated rows are repeated turns, an empty table gives no row. Marks inside a text or a role lose their
+    meaning by a space, and line breaks in a role become spaces where it names a user; speakers are told
+    apart by their roles as they are.
     """
-    safe = F.replace(F.coalesce(column(turns, text_col).cast("string"), F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
+    safe = _safe(F.coalesce(column(turns, text_col).cast("string"), F.lit("")))
     rows = turns.select(
         column(turns, conv_col).alias("conv_id"),
         column(turns, turn_col).cast("bigint").alias("turn"),

@@ -317,7 +317,8 @@ ORACLE: dict[str, str] = {
         m as (
             select n.conv_id, speaker, block, cast((pos - 1) // 64 as bigint) as part, pos, role, said,
                 case when role = 'system' then '<|im_start|>system' when role = speaker then '<|im_start|>assistant'
-                    else '<|im_start|>user name=' || role end || chr(10) as head
+                    else '<|im_start|>user name=' || replace(translate(role, chr(10) || chr(13), '  '), '<|im_', '<| im_')
+                    end || chr(10) as head
             from n join s on n.conv_id is not distinct from s.conv_id
         ),
         e as (
