@@ -14,6 +14,10 @@ from custspark.operators.features import assemble, with_features
 from custspark.operators.train import CustomerModels
 from custspark.schema import SCORING_COLUMNS
 
+# Tasks per core that score: a row of a few hundred bytes goes through hundreds of trees, so the files' sizes
+# say nothing of the work, and a table in one file would be scored by one task.
+TASKS_PER_CORE = 4
+
 
 def score(
     df: DataFrame,
@@ -23,13 +27,14 @@ def score(
 ) -> DataFrame:
     """One row per customer: probabilities, predictions, health score and priority.
 
-    One plan without a shuffle; the best engagement of the batch is the only
+    One plan that deals the rows to all cores once; the best engagement of the batch is the only
     other pass and reads two columns, or all features where rows may be skipped. Known labels of the input, such as its
     own ``churn_probability``, do not reach the result, and no column beyond the features' is looked at: a table
     that holds earlier scores can be scored again.
     """
     inputs = df.select(*SCORING_COLUMNS)
-    rows = assemble(with_features(inputs, models.encoding), handle_invalid=handle_invalid)
+    spread = inputs.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    rows = assemble(with_features(spread, models.encoding), handle_invalid=handle_invalid)
     if reference_max is not None:
         highest = F.lit(float(reference_max))
     elif handle_invalid == "skip":

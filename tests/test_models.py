@@ -49,6 +49,13 @@ def test_same_seed_gives_the_same_models(customer_rows, trained):
     assert values(again[1]) == values(trained[1])
 
 
+def test_a_table_in_one_file_is_scored_by_all_cores(customer_rows, trained):
+    one = customer_rows.coalesce(1)
+    df = score(one, trained[0])
+    assert df.rdd.getNumPartitions() >= one.sparkSession.sparkContext.defaultParallelism
+    assert df.count() == one.count()
+
+
 def test_scores(customer_rows, trained):
     df = score(customer_rows, trained[0])
     assert df.columns == RESULT
