@@ -9,7 +9,7 @@ more share is left for words never seen: so every word has a probability, and al
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -121,8 +121,16 @@ def windows_of(docs: list[np.ndarray], shape: Shape, start: int) -> Iterator[tup
         yield np.where(real, inputs[at], start), np.where(real, targets[at], 0), begins[at] & real, who
 
 
+#: Lanes and tokens of a window in scoring. Nothing is learned between windows, so these change no score; wide lanes need fewer steps.
+SCORING_LANES, SCORING_TOKENS = 1536, 12_288
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 #: Logits are cut here before exp: far above what bounded states and trained weights give, and safe in single precision.
@@ -144,18 +152,23 @@ def forward(
     fed = model.inputs[x] + model.gates
     states = np.empty((n, k, hid), np.float32)
     kept = {name: np.empty((n, k, hid) if learn else 0, np.float32) for name in ("before", "z", "r", "new", "inner")}
+    some_fresh = fresh.any(1)
     for t in range(n):
-        if fresh[t].any():
+        if some_fresh[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
         turned = h @ model.recurrent
-        gates = _sigmoid(fed[t, :, : 2 * hid] + turned[:, : 2 * hid])
+        turned[:, : 2 * hid] += fed[t, :, : 2 * hid]
+        gates = _sigmoid(turned[:, : 2 * hid])
         z, r, inner = gates[:, :hid], gates[:, hid:], turned[:, 2 * hid :]
-        new = np.tanh(fed[t, :, 2 * hid :] + r * inner)
+        new = r * inner
+        new += fed[t, :, 2 * hid :]
+        np.tanh(new, out=new)
         if learn:
             for name, value in (("before", h), ("z", z), ("r", r), ("new", new), ("inner", inner)):
                 kept[name][t] = value
-        h = new + z * (h - new)
-        states[t] = h
+        h = np.subtract(h, new, out=states[t])
+        h *= z
+        h += new
     return states, kept
 
 
@@ -207,20 +220,29 @@ def backward(model: Model, x: np.ndarray, fresh: np.ndarray, kept: dict, back: n
     """Backpropagation through the window's steps."""
     n, k, hid = back.shape
     fed = np.empty((n, k, 3 * hid), np.float32)
+    turned = np.empty((n, k, 3 * hid), np.float32)
+    z, r, new, inner, before = (kept[s] for s in ("z", "r", "new", "inner", "before"))
+    # What does not depend on later steps, for the whole window at once: each gate's change by dh.
+    by_new = (1 - z) * (1 - new * new)
+    by_z = (before - new) * z * (1 - z)
+    by_r = by_new * inner * r * (1 - r)
+    by_turned = by_new * r
+    across = np.ascontiguousarray(model.recurrent.T)
     dh = np.zeros((k, hid), np.float32)
+    some_fresh = fresh.any(1)
     for t in reversed(range(n)):
-        dh = dh + back[t]
-        z, r, new, inner, before = (kept[s][t] for s in ("z", "r", "new", "inner", "before"))
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before - new) * z * (1 - z)
-        dr = dnew * inner * r * (1 - r)
-        fed[t, :, :hid], fed[t, :, hid : 2 * hid], fed[t, :, 2 * hid :] = dz, dr, dnew
-        turned = fed[t].copy()
-        turned[:, 2 * hid :] *= r
-        grad.recurrent += before.T @ turned
-        dh = dh * z + turned @ model.recurrent.T
-        if fresh[t].any():
+        dh += back[t]
+        step = turned[t]
+        np.multiply(dh, by_z[t], out=step[:, :hid])
+        np.multiply(dh, by_r[t], out=step[:, hid : 2 * hid])
+        np.multiply(dh, by_turned[t], out=step[:, 2 * hid :])
+        np.multiply(dh, by_new[t], out=fed[t, :, 2 * hid :])
+        dh *= z[t]
+        dh += step @ across
+        if some_fresh[t]:
             dh[fresh[t]] = 0
+    fed[:, :, : 2 * hid] = turned[:, :, : 2 * hid]
+    grad.recurrent += before.reshape(-1, hid).T @ turned.reshape(-1, 3 * hid)
     flat, rows = x.ravel(), fed.reshape(-1, 3 * hid)
     grad.gates += rows.sum(0)
     order = np.argsort(flat, kind="stable")
@@ -234,6 +256,7 @@ class Trainer:
     def __init__(self, model: Model) -> None:
         self.model, self.grad = model, Model(model.shape, model.words)
         self.seen = np.full_like(model.vector, 1e-2)
+        self.spare = np.empty_like(model.vector)
         self.tokens = 0
 
     def train(self, docs: list[np.ndarray], start: int) -> None:
@@ -249,11 +272,13 @@ class Trainer:
             full = np.zeros_like(flat)
             full[real] = back
             backward(model, x, fresh, kept, full.reshape(states.shape), grad)
-            g = grad.vector
+            g, spare = grad.vector, self.spare
             # By a full window's size: the last few long texts of a batch move the model no more than their share.
             g /= np.float32(np.sqrt(model.shape.window * model.shape.lanes))
-            self.seen += g * g
-            model.vector -= np.float32(model.shape.rate) * g / np.sqrt(self.seen)
+            self.seen += np.multiply(g, g, out=spare)
+            g *= np.float32(model.shape.rate)
+            g /= np.sqrt(self.seen, out=spare)
+            model.vector -= g
             self.tokens += int(real.sum())
 
 
@@ -261,7 +286,10 @@ def log10_likelihood(model: Model, docs: list[np.ndarray], start: int) -> np.nda
     """Of each document: its tokens' classes and words, with the state carried from window to window."""
     scores = np.zeros(len(docs))
     h = None
-    for x, y, fresh, who in windows_of(docs, model.shape, start):
+    sizes = [len(d) for d in docs]
+    wide = min(SCORING_LANES, -(-sum(sizes) // max([1, *sizes])) * 2)
+    shape = replace(model.shape, lanes=SCORING_LANES, window=max(1, SCORING_TOKENS // max(1, wide)))
+    for x, y, fresh, who in windows_of(docs, shape, start):
         h = np.zeros((x.shape[1], model.shape.hidden), np.float32) if h is None else h[: x.shape[1]]
         states, _ = forward(model, x, fresh, h, learn=False)
         h = states[-1]

@@ -31,6 +31,8 @@ from custspark.session import materialise
 FREQUENT, FREQUENT_BYTES, WORDS_AT_ONCE = 1 << 17, 64, 300_000
 #: Tokens that are dealt to the model's lanes at once, and the share of documents of the first round.
 TOKENS_AT_ONCE, FIRST_ROUND = 1_500_000, 16
+#: Tokens that are scored at once: the longest text's steps serve more of the others, and nothing is learned between them.
+SCORED_AT_ONCE = 4_000_000
 #: Parameters per row on their way to the average, and partial averages of each such block.
 BLOCK, PARTIAL = 8192, 32
 
@@ -123,7 +125,9 @@ def lexicon_of(counts: DataFrame, shape: Shape, frequent: int = FREQUENT) -> tup
     return lexicon, int(n_tokens), int(n_words)
 
 
-def _super_batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, columns: int) -> Iterator[tuple]:
+def _super_batches(
+    batches: Iterator[pa.RecordBatch], lexicon: Lexicon, columns: int, most: int = TOKENS_AT_ONCE
+) -> Iterator[tuple]:
     """Rows of several batches, with their model ids and numbers, up to a number of tokens."""
     rows: list[pa.RecordBatch] = []
     ids: list[np.ndarray] = []
@@ -137,9 +141,9 @@ def _super_batches(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, columns:
             model, number = lexicon.ids(tokens)
             ids.append(model.astype(np.int32))
             numbers.append(number.astype(np.int32))
-            texts.append([w for w, n in zip(tokens, number.tolist()) if n < 0])
+            texts.append([tokens[at] for at in np.flatnonzero(number < 0).tolist()])
             size += len(tokens)
-        if size >= TOKENS_AT_ONCE:
+        if size >= most:
             yield rows, ids, numbers, texts
             rows, ids, numbers, texts, size = [], [], [], [], 0
     if ids:
@@ -246,7 +250,7 @@ def score(
         mine: Lexicon = known.value
         model = _model(mine, sent.value)
         logs_of = np.log10(mine.counts + 1)
-        for rows, ids, numbers, unknown in _super_batches(batches, mine, 2):
+        for rows, ids, numbers, unknown in _super_batches(batches, mine, 2, SCORED_AT_ONCE):
             scores = log10_likelihood(model, ids, mine.end)
             out: list[tuple] = []
             for k, (model_ids, number) in enumerate(zip(ids, numbers)):

@@ -826,3 +826,20 @@ def test_repeated_keys_overflow(spark):
     docs = spark.range(1000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("same").alias("text"))
     counts = Counter(r["shard"] for r in ring.shard(docs, 16).collect())
     assert len(counts) == 16 and max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_scoring_needs_few_steps_and_lanes_change_no_score(monkeypatch):
+    rng = np.random.default_rng(3)
+    shape = gru.Shape(words=10, class_words=4, other_classes=3, hidden=5)
+    model = gru.Model.fresh(shape, np.arange(10, 0, -1), np.array([3, 2, 1]))
+    docs = [rng.integers(0, 13, n) for n in [*rng.integers(1, 40, 30000), 400]]
+    alone = [gru.log10_likelihood(model, [d], 0)[0] for d in docs[::5000]]
+    steps, forward = [], gru.forward
+
+    def counted(model, x, *rest, **more):
+        steps.append(len(x))
+        return forward(model, x, *rest, **more)
+
+    monkeypatch.setattr(gru, "forward", counted)
+    assert np.allclose(gru.log10_likelihood(model, docs, 0)[::5000], alone, rtol=1e-4)
+    assert sum(steps) <= 600
