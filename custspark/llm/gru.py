@@ -222,27 +222,28 @@ def backward(model: Model, x: np.ndarray, fresh: np.ndarray, kept: dict, back: n
     fed = np.empty((n, k, 3 * hid), np.float32)
     turned = np.empty((n, k, 3 * hid), np.float32)
     z, r, new, inner, before = (kept[s] for s in ("z", "r", "new", "inner", "before"))
-    # What does not depend on later steps, for the whole window at once: each gate's change by dh.
-    by_new = (1 - z) * (1 - new * new)
-    by_z = (before - new) * z * (1 - z)
-    by_r = by_new * inner * r * (1 - r)
-    by_turned = by_new * r
-    across = np.ascontiguousarray(model.recurrent.T)
+    # What does not depend on later steps, for the whole window at once.
+    rest_z, rest_r, slope, moved = 1 - z, 1 - r, 1 - new * new, before - new
     dh = np.zeros((k, hid), np.float32)
     some_fresh = fresh.any(1)
     for t in reversed(range(n)):
         dh += back[t]
-        step = turned[t]
-        np.multiply(dh, by_z[t], out=step[:, :hid])
-        np.multiply(dh, by_r[t], out=step[:, hid : 2 * hid])
-        np.multiply(dh, by_turned[t], out=step[:, 2 * hid :])
-        np.multiply(dh, by_new[t], out=fed[t, :, 2 * hid :])
+        step, dnew = turned[t], fed[t, :, 2 * hid :]
+        np.multiply(dh, rest_z[t], out=dnew)
+        dnew *= slope[t]
+        dz = np.multiply(dh, moved[t], out=step[:, :hid])
+        dz *= z[t]
+        dz *= rest_z[t]
+        dr = np.multiply(dnew, inner[t], out=step[:, hid : 2 * hid])
+        dr *= r[t]
+        dr *= rest_r[t]
+        np.multiply(dnew, r[t], out=step[:, 2 * hid :])
+        grad.recurrent += before[t].T @ step
         dh *= z[t]
-        dh += step @ across
+        dh += step @ model.recurrent.T
         if some_fresh[t]:
             dh[fresh[t]] = 0
     fed[:, :, : 2 * hid] = turned[:, :, : 2 * hid]
-    grad.recurrent += before.reshape(-1, hid).T @ turned.reshape(-1, 3 * hid)
     flat, rows = x.ravel(), fed.reshape(-1, 3 * hid)
     grad.gates += rows.sum(0)
     order = np.argsort(flat, kind="stable")
