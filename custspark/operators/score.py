@@ -19,6 +19,11 @@ from custspark.schema import SCORING_COLUMNS
 TASKS_PER_CORE = 4
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The columns that scoring reads, with the rows dealt to all cores."""
+    return df.select(*SCORING_COLUMNS).repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def score(
     df: DataFrame,
     models: CustomerModels,
@@ -27,14 +32,13 @@ def score(
 ) -> DataFrame:
     """One row per customer: probabilities, predictions, health score and priority.
 
-    One plan that deals the rows to all cores once; the best engagement of the batch is the only
+    One plan without a shuffle; the best engagement of the batch is the only
     other pass and reads two columns, or all features where rows may be skipped. Known labels of the input, such as its
     own ``churn_probability``, do not reach the result, and no column beyond the features' is looked at: a table
     that holds earlier scores can be scored again.
     """
     inputs = df.select(*SCORING_COLUMNS)
-    spread = inputs.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
-    rows = assemble(with_features(spread, models.encoding), handle_invalid=handle_invalid)
+    rows = assemble(with_features(inputs, models.encoding), handle_invalid=handle_invalid)
     if reference_max is not None:
         highest = F.lit(float(reference_max))
     elif handle_invalid == "skip":

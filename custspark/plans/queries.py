@@ -14,7 +14,7 @@ from custspark.functions.churn import churn_label, health_score, retention_prior
 from custspark.functions.scores import email_engagement, with_engagement, with_rfm_scores
 from custspark.operators import encoding, evaluate, explore, quality, scaling
 from custspark.operators.features import assemble, project_features, with_features
-from custspark.operators.score import score
+from custspark.operators.score import score, spread
 from custspark.operators.selection import is_exact_train, test_cut
 from custspark.operators.split import is_train
 from custspark.operators.train import SMALL_FORESTS, ForestParams, train
@@ -262,7 +262,7 @@ def train_metrics_small(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(customers(spark, sf_dir), "customers")
     models, _ = train(rows)
-    return score(rows, models)
+    return score(spread(rows), models)
 
 
 def eval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:

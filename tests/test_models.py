@@ -2,7 +2,7 @@ import pytest
 from edge import edge_rows
 from pyspark.sql import functions as F
 
-from custspark.operators.score import score
+from custspark.operators.score import score, spread
 from custspark.operators.train import SMALL_FORESTS, CustomerModels, ForestParams, task_count, train
 from custspark.app import CustomerAnalytics
 from custspark.schema import KEY, SCORING_COLUMNS
@@ -51,7 +51,7 @@ def test_same_seed_gives_the_same_models(customer_rows, trained):
 
 def test_a_table_in_one_file_is_scored_by_all_cores(customer_rows, trained):
     one = customer_rows.coalesce(1)
-    df = score(one, trained[0])
+    df = score(spread(one), trained[0])
     assert df.rdd.getNumPartitions() >= one.sparkSession.sparkContext.defaultParallelism
     assert df.count() == one.count()
 
