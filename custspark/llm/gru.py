@@ -137,76 +137,113 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 _MOST_LOGIT = np.float32(60)
 
 
-def _exp_sum(x: np.ndarray) -> np.ndarray:
-    """Each row's exps, in place; their sums (as a product, which is the fastest reduction)."""
-    np.minimum(x, _MOST_LOGIT, out=x)
-    np.exp(x, out=x)
-    return x @ np.ones(x.shape[1], np.float32)
+def _exps(x: np.ndarray, cut: bool) -> np.ndarray:
+    """In place."""
+    if cut:
+        np.minimum(x, _MOST_LOGIT, out=x)
+    return np.exp(x, out=x)
+
+
+def _may_exceed(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether a logit can be so large that it must be cut: states are between -1 and 1."""
+    reach = np.abs(weights) @ np.ones(weights.shape[1], np.float32)
+    return not float((reach + bias).max(initial=0)) < _MOST_LOGIT - 1
 
 
 def forward(
     model: Model, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, learn: bool = True
 ) -> tuple[np.ndarray, dict]:
-    """The states after each input of a window, and what the way back needs."""
+    """The states after each input of a window, and what the way back needs, by time, feature and lane."""
     n, k, hid = *x.shape, model.shape.hidden
-    fed = model.inputs[x] + model.gates
-    states = np.empty((n, k, hid), np.float32)
-    kept = {name: np.empty((n, k, hid) if learn else 0, np.float32) for name in ("before", "z", "r", "new", "inner")}
+    fed = model.inputs + model.gates
+    # Features first, so that each gate of all lanes is one block. Without the way back, one step's gates are enough.
+    deep = n if learn else 1
+    states = np.empty((n, hid, k), np.float32)
+    gates, before, news = (np.empty((deep, m, k), np.float32) for m in (3 * hid, hid, hid))
+    taken, product, both = np.empty((3, k, 3 * hid), np.float32)
     some_fresh = fresh.any(1)
+    h = h.T
     for t in range(n):
+        at = t if learn else 0
+        old, new, turned = before[at], news[at], gates[at]
+        old[:] = h
         if some_fresh[t]:
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-        turned = h @ model.recurrent
-        turned[:, : 2 * hid] += fed[t, :, : 2 * hid]
-        gates = _sigmoid(turned[:, : 2 * hid])
-        z, r, inner = gates[:, :hid], gates[:, hid:], turned[:, 2 * hid :]
-        new = r * inner
-        new += fed[t, :, 2 * hid :]
+            old[:, fresh[t]] = 0
+        np.take(fed, x[t], axis=0, out=taken, mode="clip")
+        np.matmul(old.T, model.recurrent, out=product)
+        np.add(product, taken, out=both)
+        turned[: 2 * hid] = both[:, : 2 * hid].T
+        turned[2 * hid :] = product[:, 2 * hid :].T
+        _sigmoid(turned[: 2 * hid])
+        np.multiply(turned[hid : 2 * hid], turned[2 * hid :], out=new)
+        new += taken[:, 2 * hid :].T
         np.tanh(new, out=new)
-        if learn:
-            for name, value in (("before", h), ("z", z), ("r", r), ("new", new), ("inner", inner)):
-                kept[name][t] = value
-        h = np.subtract(h, new, out=states[t])
-        h *= z
+        h = np.subtract(old, new, out=states[t])
+        h *= turned[:hid]
         h += new
-    return states, kept
+    kept = {"before": before, "gates": gates, "new": news} if learn else {}
+    return np.ascontiguousarray(states.transpose(0, 2, 1)), kept
+
+
+#: Rows whose logits are worked on at once, so that they stay in a core's cache. The last piece is the larger one:
+#: a product of few rows may be rounded in another order than one of many.
+_ROWS = 2304
 
 
 def output(model: Model, states: np.ndarray, y: np.ndarray, grad: Model | None) -> tuple[np.ndarray, np.ndarray | None]:
     """log10 of each target's class and word given the state; with `grad`, gradients too."""
     # In order of the classes, so that each class's states are one slice.
     cls = model.class_of(y)
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.min_scalar_type(model.classes)), kind="stable")
     states, y, cls = states[order], y[order], cls[order]
-    p = states @ model.class_out
-    p += model.class_bias
     every = np.arange(len(y))
-    logs = np.minimum(p[every, cls], _MOST_LOGIT).astype(np.float64)
-    sums = _exp_sum(p)
-    logs -= np.log(sums)
-    back = None
+    logs = np.empty(len(y))
+    edges = [*range(0, len(y) - _ROWS + 1, _ROWS)] or [0]
+    p = np.empty((len(y) if grad is not None else min(2 * _ROWS, len(y)), model.classes), np.float32)
+    back = None if grad is None else np.empty_like(states)
+    ones = np.ones(model.classes, np.float32)
+    cut = _may_exceed(model.class_out.T, model.class_bias)
+    for low, high in zip(edges, [*edges[1:], len(y)]):
+        rows = slice(low, high)
+        own, at = cls[rows], every[: high - low]
+        part = np.matmul(states[rows], model.class_out, out=p[rows] if grad is not None else p[: len(own)])
+        part += model.class_bias
+        inside = np.minimum(part[at, own], _MOST_LOGIT)
+        # The sum as a product, which is the fastest reduction.
+        sums = _exps(part, cut) @ ones
+        logs[rows] = inside
+        logs[rows] -= np.log(sums)
+        if grad is not None:
+            part *= (1 / sums)[:, None]
+            part[at, own] -= 1
+            np.matmul(part, model.class_out.T, out=back[rows])
     if grad is not None:
-        p *= (1 / sums)[:, None]
-        p[every, cls] -= 1
         grad.class_out += states.T @ p
         grad.class_bias += np.ones(len(y), np.float32) @ p
-        back = p @ model.class_out.T
     size = model.shape.class_words
-    edges = np.searchsorted(cls, np.arange(model.word_classes + 1))
-    for c in np.flatnonzero(np.diff(edges)).tolist():
-        rows, block = slice(edges[c], edges[c + 1]), slice(c * size, (c + 1) * size)
-        mine, own, at = states[rows], y[rows] - c * size, every[: edges[c + 1] - edges[c]]
-        q = mine @ model.word_out[block].T
-        q += model.word_bias[block]
-        inside = np.minimum(q[at, own], _MOST_LOGIT)
-        sums = _exp_sum(q)
-        logs[rows] += inside - np.log(sums)
-        if grad is not None:
-            q *= (1 / sums)[:, None]
-            q[at, own] -= 1
-            grad.word_out[block] += q.T @ mine
-            grad.word_bias[block] += np.ones(len(at), np.float32) @ q
-            back[rows] += q @ model.word_out[block]
+    cut = _may_exceed(model.word_out, model.word_bias)
+    edges = np.searchsorted(cls, np.arange(model.word_classes + 1)).tolist()
+    inner = [(slice(low, high), slice(c * size, (c + 1) * size)) for c, (low, high) in enumerate(zip(edges, edges[1:])) if high > low]
+    q = np.empty((edges[-1], size), np.float32)
+    for rows, block in inner:
+        part = np.matmul(states[rows], model.word_out[block].T, out=q[rows])
+        part += model.word_bias[block]
+    at, own = every[: len(q)], y[: len(q)] % size
+    inside = np.minimum(q[at, own], _MOST_LOGIT)
+    _exps(q, cut)
+    # The sums class by class, as rows of one product may be rounded by their place.
+    sums, ones = np.empty(len(q), np.float32), np.ones(size, np.float32)
+    for rows, _ in inner:
+        sums[rows] = q[rows] @ ones
+    logs[: len(q)] += inside - np.log(sums)
+    if grad is not None:
+        q *= (1 / sums)[:, None]
+        q[at, own] -= 1
+        for rows, block in inner:
+            part = q[rows]
+            grad.word_out[block] += part.T @ states[rows]
+            grad.word_bias[block] += np.ones(len(part), np.float32) @ part
+            back[rows] += part @ model.word_out[block]
     out = np.empty_like(logs)
     out[order] = logs / np.log(10)
     if back is None:
@@ -219,34 +256,35 @@ def output(model: Model, states: np.ndarray, y: np.ndarray, grad: Model | None)
 def backward(model: Model, x: np.ndarray, fresh: np.ndarray, kept: dict, back: np.ndarray, grad: Model) -> None:
     """Backpropagation through the window's steps."""
     n, k, hid = back.shape
-    fed = np.empty((n, k, 3 * hid), np.float32)
-    turned = np.empty((n, k, 3 * hid), np.float32)
-    z, r, new, inner, before = (kept[s] for s in ("z", "r", "new", "inner", "before"))
+    back = np.ascontiguousarray(back.transpose(0, 2, 1))
+    turned, dnews = np.empty((n, 3 * hid, k), np.float32), np.empty((n, hid, k), np.float32)
+    gates, new, before = kept["gates"], kept["new"], kept["before"]
+    z, r, inner = gates[:, :hid], gates[:, hid : 2 * hid], gates[:, 2 * hid :]
     # What does not depend on later steps, for the whole window at once.
-    rest_z, rest_r, slope, moved = 1 - z, 1 - r, 1 - new * new, before - new
-    dh = np.zeros((k, hid), np.float32)
+    rest, slope, moved = 1 - gates[:, : 2 * hid], 1 - new * new, before - new
+    dh = np.zeros((hid, k), np.float32)
     some_fresh = fresh.any(1)
     for t in reversed(range(n)):
         dh += back[t]
-        step, dnew = turned[t], fed[t, :, 2 * hid :]
-        np.multiply(dh, rest_z[t], out=dnew)
+        step, dnew = turned[t], dnews[t]
+        np.multiply(dh, rest[t, :hid], out=dnew)
         dnew *= slope[t]
-        dz = np.multiply(dh, moved[t], out=step[:, :hid])
-        dz *= z[t]
-        dz *= rest_z[t]
-        dr = np.multiply(dnew, inner[t], out=step[:, hid : 2 * hid])
-        dr *= r[t]
-        dr *= rest_r[t]
-        np.multiply(dnew, r[t], out=step[:, 2 * hid :])
-        grad.recurrent += before[t].T @ step
+        np.multiply(dh, moved[t], out=step[:hid])
+        np.multiply(dnew, inner[t], out=step[hid : 2 * hid])
+        step[: 2 * hid] *= gates[t, : 2 * hid]
+        step[: 2 * hid] *= rest[t]
+        np.multiply(dnew, r[t], out=step[2 * hid :])
+        grad.recurrent += before[t] @ step.T
         dh *= z[t]
-        dh += step @ model.recurrent.T
+        dh += (step.T @ model.recurrent.T).T
         if some_fresh[t]:
-            dh[fresh[t]] = 0
-    fed[:, :, : 2 * hid] = turned[:, :, : 2 * hid]
-    flat, rows = x.ravel(), fed.reshape(-1, 3 * hid)
+            dh[:, fresh[t]] = 0
+    rows = np.empty((n, k, 3 * hid), np.float32)
+    rows[:, :, : 2 * hid] = turned[:, : 2 * hid].transpose(0, 2, 1)
+    rows[:, :, 2 * hid :] = dnews.transpose(0, 2, 1)
+    flat, rows = x.ravel(), rows.reshape(-1, 3 * hid)
     grad.gates += rows.sum(0)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat.astype(np.min_scalar_type(len(model.inputs))), kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
     grad.inputs[flat[order[first]]] += np.add.reduceat(rows[order], first, axis=0)
 
@@ -269,9 +307,12 @@ class Trainer:
             real = who.ravel() >= 0
             grad.vector[:] = 0
             flat = states.reshape(-1, model.shape.hidden)
-            _, back = output(model, flat[real], y.ravel()[real], grad)
-            full = np.zeros_like(flat)
-            full[real] = back
+            if real.all():
+                _, full = output(model, flat, y.ravel(), grad)
+            else:
+                _, back = output(model, flat[real], y.ravel()[real], grad)
+                full = np.zeros_like(flat)
+                full[real] = back
             backward(model, x, fresh, kept, full.reshape(states.shape), grad)
             g, spare = grad.vector, self.spare
             # By a full window's size: the last few long texts of a batch move the model no more than their share.

@@ -11,24 +11,23 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custspark.llm.common import ASCII_LOWER, column, prepare, raw_texts, released, signed
+from custspark.llm.common import ASCII_LOWER, column, prepare, released
 from custspark.llm.gru import Model, Shape, Trainer, log10_likelihood
 from custspark.session import materialise
 
-#: Frequent words known to every task, the bytes such a word may have, and distinct words a task counts before it passes them on.
-FREQUENT, FREQUENT_BYTES, WORDS_AT_ONCE = 1 << 17, 64, 300_000
+#: Frequent words known to every task, the bytes such a word may have, and tokens a task counts before it passes them on.
+FREQUENT, FREQUENT_BYTES, COUNTED_AT_ONCE = 1 << 17, 64, 3_000_000
 #: Tokens that are dealt to the model's lanes at once, and the share of documents of the first round.
 TOKENS_AT_ONCE, FIRST_ROUND = 1_500_000, 16
 #: Tokens that are scored at once: the longest text's steps serve more of the others, and nothing is learned between them.
@@ -39,9 +38,31 @@ BLOCK, PARTIAL = 8192, 32
 END = b""
 
 
-def tokens_of(raw: bytes) -> list[bytes]:
-    """Words of the text in lower-case ASCII, and the end."""
-    return [*raw.translate(ASCII_LOWER).split(), END]
+#: For each byte, whether it belongs to a word.
+_IN_WORD = bytes(b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256))
+
+
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of the texts in lower-case ASCII, each text's end after them; and the number of tokens of each text.
+
+    A null text has an end only. All texts are cut at once, by their bytes.
+    """
+    raw = pc.fill_null(texts.cast(pa.large_string()).cast(pa.large_binary()), b"")
+    edges = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = (raw.buffers()[2] or pa.py_buffer(b""))[edges[0] : edges[-1]].to_pybytes()
+    edges = edges - edges[0]
+    inside = np.frombuffer(data.translate(_IN_WORD), np.bool_)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = edges[:-1][edges[:-1] < len(data)]
+    begins[heads] = inside[heads]
+    packed = np.frombuffer(data.translate(ASCII_LOWER), np.uint8)[inside]
+    at = np.append(np.flatnonzero(begins[inside]), len(packed))
+    words = np.searchsorted(np.flatnonzero(begins), edges[1:])
+    # The end is an empty word where the text's last word has ended.
+    offsets = np.insert(at, words, at[words])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(packed)]
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers), np.diff(words, prepend=0) + 1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,7 +74,7 @@ def held_out(doc_id: Column) -> Column:
 class Lexicon:
     """What a task knows about words: frequent ones by number, with their counts; others by class."""
 
-    index: dict[bytes, int]
+    words: pa.Array
     counts: np.ndarray
     model_words: int
     other_tokens: np.ndarray
@@ -64,41 +85,53 @@ class Lexicon:
         return zlib.crc32(word[-2:]) % self.shape.other_classes
 
     def __post_init__(self) -> None:
-        words = list(self.index)
-        outside = [self.model_words + self.other_class(w) for w in words[self.model_words :]]
-        self.model_id = np.array([*range(self.model_words), *outside, 0], np.int64)
-
-    def ids(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # The class of each word's end: of two bytes, of one and of none.
+        pairs = [bytes([a, b]) for a in range(256) for b in range(256)]
+        ends = [*pairs, *(bytes([a]) for a in range(256)), b""]
+        self.end_classes = np.array([self.other_class(e) for e in ends], np.int32) + np.int32(self.model_words)
+        outside = [self.model_words + self.other_class(w) for w in self.words[self.model_words :].to_pylist()]
+        self.model_id = np.array([*range(self.model_words), *outside, 0], np.int32)
+
+    def ids(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The model's input ids, and each token's number among frequent words or -1."""
-        number = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
+        number = pc.fill_null(pc.index_in(tokens, value_set=self.words), -1).to_numpy()
         model = self.model_id[number]
-        for at in np.flatnonzero(number < 0).tolist():
-            model[at] = self.model_words + self.other_class(tokens[at])
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            _, offsets, raw = tokens.buffers()
+            offsets = np.frombuffer(offsets, np.int64)[tokens.offset :]
+            raw = np.frombuffer(raw if raw is not None and raw.size else b"\0", np.uint8)
+            high = offsets[unknown + 1]
+            size = high - offsets[unknown]
+            last, second = raw[np.maximum(high - 1, 0)].astype(np.int64), raw[np.maximum(high - 2, 0)]
+            end = np.where(size > 1, second * np.int64(256) + last, np.where(size == 1, 65536 + last, 65792))
+            model[unknown] = self.end_classes[end]
         return model, number
 
     @property
     def end(self) -> int:
-        number = self.index.get(END, -1)
-        return number if 0 <= number < self.model_words else self.model_words + self.other_class(END)
+        return int(self.ids(pa.array([END], pa.large_binary()))[0][0])
 
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """word, n of the training documents: counted per task, then summed. The end is the empty word."""
 
-    def batch_of(counts: Counter[bytes]) -> pa.RecordBatch:
-        words = pa.array(counts.keys(), pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([words, pa.array(counts.values(), pa.int64())], names=["word", "n"])
+    def batch_of(tokens: list[pa.Array]) -> pa.RecordBatch:
+        counts = pa.chunked_array(tokens).value_counts()
+        words = counts.field(0).cast(pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([words, counts.field(1)], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        kept: list[pa.Array] = []
+        size = 0
         for batch in batches:
-            for raw in raw_texts(batch.column(0)):
-                counts.update(tokens_of(raw))
-                if len(counts) >= WORDS_AT_ONCE:
-                    yield batch_of(counts)
-                    counts = Counter()
-        if counts:
-            yield batch_of(counts)
+            kept.append(tokens_of(batch.column(0))[0])
+            size += len(kept[-1])
+            if size >= COUNTED_AT_ONCE:
+                yield batch_of(kept)
+                kept, size = [], 0
+        if size:
+            yield batch_of(kept)
 
     learned = docs.filter(~held_out(column(docs, id_col))).select(column(docs, text_col).cast("string").alias("text"))
     return learned.mapInArrow(released(run), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -118,7 +151,7 @@ def lexicon_of(counts: DataFrame, shape: Shape, frequent: int = FREQUENT) -> tup
     tokens, distinct = np.zeros(shape.other_classes), np.zeros(shape.other_classes)
     for r in classes:
         tokens[r["c"]], distinct[r["c"]] = r["n"], r["w"]
-    lexicon = Lexicon(dict(zip(words, range(len(words)))), numbers, model_words, tokens, distinct, shape)
+    lexicon = Lexicon(pa.array(words, pa.large_binary()), numbers, model_words, tokens, distinct, shape)
     for word, n in zip(words[:model_words], numbers[:model_words].tolist()):
         tokens[lexicon.other_class(word)] -= n
         distinct[lexicon.other_class(word)] -= 1
@@ -128,26 +161,33 @@ def lexicon_of(counts: DataFrame, shape: Shape, frequent: int = FREQUENT) -> tup
 def _super_batches(
     batches: Iterator[pa.RecordBatch], lexicon: Lexicon, columns: int, most: int = TOKENS_AT_ONCE
 ) -> Iterator[tuple]:
-    """Rows of several batches, with their model ids and numbers, up to a number of tokens."""
+    """Rows of several batches up to a number of tokens: their model ids and numbers, the texts' tokens, unknown words."""
     rows: list[pa.RecordBatch] = []
-    ids: list[np.ndarray] = []
-    numbers: list[np.ndarray] = []
-    texts: list[list[bytes]] = []
+    tokens: list[pa.Array] = []
+    sizes: list[np.ndarray] = []
     size = 0
+
+    def known() -> tuple:
+        every = pa.concat_arrays(tokens)
+        model, number = lexicon.ids(every)
+        return rows, model, number, np.concatenate(sizes), every.filter(pa.array(number < 0))
+
     for batch in batches:
         rows.append(batch.select(range(columns)))
-        for raw in raw_texts(batch.column(columns)):
-            tokens = tokens_of(raw)
-            model, number = lexicon.ids(tokens)
-            ids.append(model.astype(np.int32))
-            numbers.append(number.astype(np.int32))
-            texts.append([tokens[at] for at in np.flatnonzero(number < 0).tolist()])
-            size += len(tokens)
+        found, lengths = tokens_of(batch.column(columns))
+        tokens.append(found)
+        sizes.append(lengths)
+        size += len(found)
         if size >= most:
-            yield rows, ids, numbers, texts
-            rows, ids, numbers, texts, size = [], [], [], [], 0
-    if ids:
-        yield rows, ids, numbers, texts
+            yield known()
+            rows, tokens, sizes, size = [], [], [], 0
+    if size:
+        yield known()
+
+
+def _texts(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The ids of each text."""
+    return np.split(ids, np.cumsum(sizes)[:-1])
 
 
 def _round(docs: DataFrame, lexicon: object, begin: np.ndarray | None, text_col: str) -> np.ndarray | None:
@@ -159,8 +199,8 @@ def _round(docs: DataFrame, lexicon: object, begin: np.ndarray | None, text_col:
         mine: Lexicon = known.value
         model = _model(mine, sent.value)
         trainer = Trainer(model)
-        for _, ids, _, _ in _super_batches(batches, mine, 0):
-            trainer.train(ids, mine.end)
+        for _, ids, _, sizes, _ in _super_batches(batches, mine, 0):
+            trainer.train(_texts(ids, sizes), mine.end)
         if trainer.tokens:
             n = trainer.tokens
             for block, low in enumerate(range(0, len(model.vector), BLOCK)):
@@ -250,28 +290,27 @@ def score(
         mine: Lexicon = known.value
         model = _model(mine, sent.value)
         logs_of = np.log10(mine.counts + 1)
-        for rows, ids, numbers, unknown in _super_batches(batches, mine, 2, SCORED_AT_ONCE):
-            scores = log10_likelihood(model, ids, mine.end)
-            out: list[tuple] = []
-            for k, (model_ids, number) in enumerate(zip(ids, numbers)):
-                seen = number >= 0
-                counted = logs_of[number[seen]]
-                outside = model_ids >= mine.model_words
-                # Words outside the model's: their share of their class; the counts of those not frequent join later.
-                inside = logs_of[number[seen & outside]].sum() - other[model_ids[outside] - mine.model_words].sum()
-                hashes = np.fromiter(
-                    (xxhash.xxh64_intdigest(w, seed=42) for w in unknown[k]), np.uint64, len(unknown[k])
-                )
-                out.append(
-                    (len(number), int(seen.sum()), float(counted.sum()), scores[k] + inside, signed(hashes))
-                )
-            columns = list(zip(*out))
+        for rows, ids, numbers, sizes, unknown in _super_batches(batches, mine, 2, SCORED_AT_ONCE):
+            scores = log10_likelihood(model, _texts(ids, sizes), mine.end)
+            # Every text has an end at least, so no text's slice is empty.
+            firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            seen = numbers >= 0
+            n_known = np.add.reduceat(seen, firsts, dtype=np.int64)
+            counted = np.where(seen, logs_of[numbers], 0)
+            # Words outside the model's: their share of their class; the counts of those not frequent join later.
+            outside = np.maximum(ids - mine.model_words, 0)
+            inside = np.where(ids >= mine.model_words, counted - other[outside], 0)
+            hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in unknown.to_pylist()]
+            ends = np.concatenate([[0], np.cumsum(sizes - n_known)]).astype(np.int32)
+            arrays = [
+                pa.array(sizes, pa.int64()),
+                pa.array(n_known),
+                pa.array(np.add.reduceat(counted, firsts)),
+                pa.array(scores + np.add.reduceat(inside, firsts)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(hashes, np.uint64).view(np.int64))),
+            ]
             table = pa.Table.from_batches(rows).combine_chunks()
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            arrays = [pa.array(list(c), t) for c, t in zip(columns, types)]
-            ends = np.concatenate([[0], np.cumsum([len(h) for h in columns[4]])]).astype(np.int32)
-            others = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[4])))
-            made = pa.table([*table.columns, *arrays, others], names=schema.names)
+            made = pa.table([*table.columns, *arrays], names=schema.names)
             yield from made.to_batches(max_chunksize=2000)
 
     # Stored, so that a row keeps its number from here to the end.

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,37 @@ def test_scores_of_a_table(docs, texts, none):
     assert lm.score(none).count() == 0
 
 
+def test_texts_are_cut_into_tokens_at_once():
+    rng = np.random.default_rng(4)
+    texts = [None, "", " ", "Ab", "a\x0bB\x1fc  ", "x", "\u0130\u3000\u0085 Z"]
+    texts += ["".join(rng.choice(list("aB\u00e9 \t\u6f22"), n)) for n in rng.integers(0, 9, 200)]
+    want = [(t or "").encode().translate(ASCII_LOWER).split() + [b""] for t in texts]
+    tokens, sizes = lm.tokens_of(pa.array([*texts, "cut off"])[: len(texts)])
+    assert tokens.to_pylist() == [w for words in want for w in words]
+    assert sizes.tolist() == [len(words) for words in want]
+    known = [b"a", b"", "\u6f22".encode(), b"b"]
+    lexicon = lm.Lexicon(pa.array(known, pa.large_binary()), np.arange(4), 2, np.ones(32), np.ones(32))
+    ids, numbers = lexicon.ids(tokens)
+    flat = tokens.to_pylist()
+    assert numbers.tolist() == [known.index(w) if w in known else -1 for w in flat]
+    assert ids.tolist() == [known.index(w) if w in known[:2] else 2 + zlib.crc32(w[-2:]) % 32 for w in flat]
+    assert lexicon.end == 1
+
+
+def test_a_large_window_has_the_logs_and_gradients_of_its_halves():
+    shape = gru.Shape(words=10, class_words=4, other_classes=3, hidden=5)
+    model = gru.Model.fresh(shape, np.arange(10, 0, -1), np.array([3, 2, 1]))
+    rng = np.random.default_rng(6)
+    states, y = rng.uniform(-1, 1, (5003, 5)).astype(np.float32), rng.integers(0, 13, 5003)
+    whole, parts = gru.Model(shape, 10), gru.Model(shape, 10)
+    logs, back = gru.output(model, states, y, whole)
+    halves = [gru.output(model, states[part], y[part], parts) for part in (slice(0, 2400), slice(2400, None))]
+    assert np.allclose(logs, np.concatenate([h[0] for h in halves]), rtol=1e-5)
+    assert np.allclose(back, np.concatenate([h[1] for h in halves]), atol=1e-5)
+    assert np.allclose(whole.vector, parts.vector, rtol=1e-3, atol=1e-2)
+    assert np.allclose(gru.output(model, states, y, None)[0], logs, rtol=1e-6)
+
+
 def test_the_model_and_its_first_round_are_not_cut():
     assert gru.Shape().words >= 2048 and lm.FIRST_ROUND <= 16
 
