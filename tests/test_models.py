@@ -1,9 +1,11 @@
+from dataclasses import replace
+
 import pytest
 from edge import edge_rows
 from pyspark.sql import functions as F
 
 from custspark.operators.score import score, spread
-from custspark.operators.train import SMALL_FORESTS, CustomerModels, ForestParams, task_count, train
+from custspark.operators.train import LARGE_FORESTS, MAX_ROWS_PER_TASK, SMALL_FORESTS, CustomerModels, ForestParams, task_count, train
 from custspark.app import CustomerAnalytics
 from custspark.schema import KEY, SCORING_COLUMNS
 
@@ -169,6 +171,14 @@ def test_node_ids_are_cached_while_small():
     assert not ForestParams(cache_node_ids=False).as_arguments(1)["cacheNodeIds"]
 
 
+def test_the_forests_in_use_keep_node_ids_whatever_the_rows(customer_rows):
+    for forests in (LARGE_FORESTS, SMALL_FORESTS):
+        assert forests.as_arguments(MAX_ROWS_PER_TASK)["cacheNodeIds"]
+        assert forests.as_arguments(MAX_ROWS_PER_TASK, regression=True)["cacheNodeIds"]
+    kept, found = (values(train(customer_rows, replace(QUICK, cache_node_ids=c))[1]) for c in (True, False))
+    assert kept == pytest.approx(found, rel=1e-9)
+
+
 def test_forest_sizes():
     assert (ForestParams().trees, ForestParams().depth, ForestParams().seed) == (100, 10, 42)
     assert (SMALL_FORESTS.trees, SMALL_FORESTS.depth) == (50, 8)
